@@ -1,8 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from . import simhash
+from . import mixing, simhash
 
 QUERIES = {
+    "op6_mixing": mixing.query,
     "op9_simhash": simhash.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.oracle(),
+}
