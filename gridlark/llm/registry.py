@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import mixing, simhash
+from . import bpe, mixing, simhash
 
 QUERIES = {
     "op6_mixing": mixing.query,
+    "op7_bpe": bpe.query,
     "op9_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {
