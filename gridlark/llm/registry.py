@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, mixing, simhash
+from . import bpe, mixing, simhash, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op6_mixing": mixing.query,
     "op7_bpe": bpe.query,
     "op9_simhash": simhash.query,
