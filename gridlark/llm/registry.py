@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, mixing, secrets, simhash, toxicity
+from . import bpe, mixing, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
+    "op4_token_counts": token_counts.query,
     "op5_secrets": secrets.query,
     "op6_mixing": mixing.query,
     "op7_bpe": bpe.query,
