@@ -7,7 +7,9 @@ writes the word starts.
 
 Within a word a second transducer reads bytes. Each transition carries the change in the number of emitted tokens.
 It is compiled as words need it: the token that ends a prefix is the one that stands after the token before it in
-the encoding of both, so a state is what the last few prefixes ended with. Counts of short words are remembered.
+the encoding of both. So a state need only know, for each suffix that may yet grow into a token, which token stands
+before it and how many tokens that is; words with the same such suffixes share their transitions. Counts of short
+words are remembered.
 """
 
 from __future__ import annotations
@@ -137,15 +139,16 @@ class MergeTransducer:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks.setdefault((raw[a], raw[b]), rank)
-        self.longest = max(map(len, self.tokens))
+        #: Bytes that may grow into a longer token.
+        self.growing = {t[:i] for t in self.tokens for i in range(1, len(t))}
         self.whole: dict[bytes, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: A state: the last bytes, the tokens that end the last prefixes (the empty prefix: no bytes), and these
-        #: prefixes' token counts relative to the present one.
-        self.states: list[tuple[bytes, tuple[bytes, ...], tuple[int, ...]]] = [(b"", (b"",), (0,))]
+        #: A state: for each suffix that may grow, from the longest to the empty one, the suffix, the token before it
+        #: (at a word's start: no bytes) and that prefix's token count relative to the whole.
+        self.states: list[tuple[tuple[bytes, bytes, int], ...]] = [((b"", b"", 0),)]
         self.numbers = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
@@ -173,17 +176,15 @@ class MergeTransducer:
         return known
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
-        tail, ends, counts = self.states[state]
-        text, n = tail + bytes([byte]), len(ends)
-        for size in range(min(self.longest, n, len(text)), 0, -1):
-            token, before = text[-size:], ends[n - size]
+        one = bytes([byte])
+        grown = [(suffix + one, before, count) for suffix, before, count in self.states[state]]
+        for token, before, count in grown:
             if token in self.tokens and self._stands(token) and (not before or self._follow(before, token)):
                 break
         else:
             raise ValueError("no token ends here: the vocabulary lacks a byte")
-        change = counts[n - size] + 1
-        keep = self.longest
-        new = (text[-keep:], (*ends, token)[-keep:], (*(c - change for c in counts), 0)[-keep:])
+        change = count + 1
+        new = (*((s, b, c - change) for s, b, c in grown if s in self.growing), (b"", token, 0))
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
