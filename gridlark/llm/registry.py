@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, mixing, secrets, simhash, token_counts, toxicity
+from . import bpe, mixing, quartile_digest, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_secrets": secrets.query,
     "op6_mixing": mixing.query,
     "op7_bpe": bpe.query,
+    "op8_fingerprints": quartile_digest.query,
     "op9_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {
