@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, mixing, quartile_digest, secrets, simhash, token_counts, toxicity
+from . import bpe, mixing, quartile_digest, secrets, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op7_bpe": bpe.query,
     "op8_fingerprints": quartile_digest.query,
     "op9_simhash": simhash.query,
+    "op10_warc": warc.query,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.oracle(),
+    "op10_warc": warc.ORACLE,
 }
