@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, mixing, quartile_digest, secrets, simhash, token_counts, toxicity, warc
+from . import bpe, mixing, packing, quartile_digest, secrets, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
+    "op3_packing": packing.query,
     "op4_token_counts": token_counts.query,
     "op5_secrets": secrets.query,
     "op6_mixing": mixing.query,
