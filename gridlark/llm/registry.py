@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, mixing, packing, quartile_digest, secrets, simhash, token_counts, toxicity, warc
+from . import bpe, hnsw, mixing, packing, quartile_digest, secrets, simhash, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_hnsw": hnsw.query,
     "op2_toxicity": toxicity.query,
     "op3_packing": packing.query,
     "op4_token_counts": token_counts.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_hnsw": hnsw.ORACLE,
     "op6_mixing": mixing.oracle(),
     "op10_warc": warc.ORACLE,
 }
