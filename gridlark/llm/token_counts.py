@@ -257,16 +257,14 @@ class TokenCounter:
                 limit = int(starts[-1])
             else:
                 limit = stop - begin
-            cuts = starts.tolist()
-            bounds = zip(cuts, [*cuts[1:], limit], strict=True) if stop == len(stream) else zip(cuts[:-1], cuts[1:], strict=True)
-            isend = np.zeros(limit + 1, bool)
-            isend[ends[ends < limit]] = True
+            stops = np.append(starts[1:], limit)
+            words_only = starts < limit
+            words_only &= classes[np.minimum(starts, len(classes) - 1)] != END
+            starts, stops = starts[words_only], stops[words_only]
             text = stream[begin:stop]
-            spans = [(a, b) for a, b in bounds if not isend[a]]
-            n = self._words([text[a:b] for a, b in spans])
-            if spans:
-                at = np.searchsorted(end, begin + np.fromiter((a for a, _ in spans), np.int64, len(spans)))
-                np.add.at(total, owner_of[at], n)
+            n = self._words([text[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+            at = np.searchsorted(end, begin + starts)
+            total += np.bincount(owner_of[at], weights=n, minlength=len(total)).astype(np.int64)
             begin, size = begin + limit, self.block
         return total
 
