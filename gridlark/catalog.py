@@ -1,5 +1,10 @@
-"""All registered queries: importing the modules registers what they hold."""
+"""All registered queries: importing the modules of plans registers what they hold."""
+
+import importlib
 
 from .registry import ORACLES, QUERIES
 
+for _module in ("profiling",):
+    importlib.import_module(f"gridlark.plans.{_module}")
+
 __all__ = ["ORACLES", "QUERIES"]
