@@ -42,9 +42,9 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_forecasts(wide(spark, sf_dir))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a fixed number of digits, without a negative zero: what the queries return."""
-    return df.select([(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, other: dict[str, int] | None = None) -> DataFrame:
+    """Doubles to a fixed number of digits (``other``: by column), without a negative zero: what the queries return."""
+    return df.select([(F.round(c, (other or {}).get(c, digits)) + 0.0).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint", "tinyint") else F.col(c) for c, t in df.dtypes])
 
 
 RAW = """raw AS (SELECT 'c_' || user_id AS container_id, event_type AS machine_id, floor(epoch(ts))::BIGINT AS time_stamp,
