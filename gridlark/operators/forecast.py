@@ -22,7 +22,8 @@ def wide_forecasts(panel: DataFrame, horizons: tuple[int, ...], per_day: int) ->
     Models: the value now, the value a day before the target, means of the last 6 and 24 values.
     """
     cols = {f"y_{h}": F.lead(CPU, h).over(by_time()) for h in horizons} | {f"s_{h}": F.lag(CPU, max(per_day - h, 0)).over(by_time()) for h in horizons}
-    means = {"mean6": F.avg(CPU).over(by_time().rowsBetween(-5, 0)), "mean24": F.avg(CPU).over(by_time().rowsBetween(-23, 0))}
+    # rounded, so that the mean of equal values equals them and signs of changes mean something
+    means = {f"mean{n}": F.round(F.avg(CPU).over(by_time().rowsBetween(1 - n, 0)), 9) for n in (6, 24)}
     rows = panel.withColumns(cols | means)
     each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y_{h}").alias("y_true"), F.col(f"s_{h}").alias("seasonal")) for h in horizons])
     rows = rows.withColumn("h", F.explode(each)).select("container_id", "time_stamp", "h.horizon", "h.y_true", F.col(CPU).alias("y_naive"), F.col(CPU).alias("persistence"), "h.seasonal", "mean6", "mean24")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from bisect import bisect_left, insort
+from collections import deque
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import y_pred, y_true
@@ -33,11 +39,11 @@ def interval_scores(rows: DataFrame, by: list[str], alpha: float = 0.2) -> DataF
 
 
 def gaussian_interval(panel: DataFrame, metric: str, length: int = 24, z: float = 1.28) -> DataFrame:
-    """Mean of the last values plus and minus ``z`` deviations, as interval for the next value."""
+    """Mean of the last values plus and minus ``z`` deviations, to six digits, as interval for the next value."""
     w = Window.partitionBy("container_id").orderBy("time_stamp")
     over = w.rowsBetween(-length, -1)
     rows = panel.select("container_id", "time_stamp", F.col(metric).alias("y_true"), F.avg(metric).over(over).alias("m"), F.stddev_samp(metric).over(over).alias("s"), F.count(metric).over(over).alias("n"))
-    return rows.filter(F.col("n") == length).select("container_id", "time_stamp", "y_true", (F.col("m") - z * F.col("s")).alias("lower"), (F.col("m") + z * F.col("s")).alias("upper"))
+    return rows.filter(F.col("n") == length).select("container_id", "time_stamp", "y_true", F.round(F.col("m") - z * F.col("s"), 6).alias("lower"), F.round(F.col("m") + z * F.col("s"), 6).alias("upper"))
 
 
 def to_absolute(rows: DataFrame) -> DataFrame:
@@ -45,33 +51,40 @@ def to_absolute(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lower", F.col("y_naive") + F.col("lower")).withColumn("upper", F.col("y_naive") + F.col("upper"))
 
 
-def adaptive_fold(values: Column, gamma: Column, alpha: float = 0.2, buffer: int = 50) -> Column:
-    """Adaptive conformal intervals over an array of ``(y, p)``: misses and width added up, last alpha.
+def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2, buffer: int = 2000) -> tuple[int, int, float, float]:
+    """Adaptive conformal intervals over one ordered series: steps, misses, width added up, last alpha.
 
     At each step the half-width is the quantile of the last ``buffer`` absolute residuals at ``1 - alpha_t``, the
     smallest of rank ``ceil((1 - alpha_t) n)``; then ``alpha_t`` moves by ``gamma`` times the target less the miss.
     """
-    start = F.struct(F.lit(float(alpha)).alias("a"), F.array().cast("array<double>").alias("buf"), F.lit(0.0).alias("miss"), F.lit(0.0).alias("width"), F.lit(0).alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        e = F.abs(x["y"] - x["p"])
-        have = F.size(acc["buf"])
-        rank = F.greatest(F.lit(1), F.least(have, F.ceil(F.round((1 - acc["a"]) * have, 9)).cast("int")))
-        q = F.when(have > 0, F.try_element_at(F.array_sort(acc["buf"]), rank))
-        miss = F.when(have > 0, (e > q).cast("double")).otherwise(0.0)
-        a = F.when(have > 0, F.greatest(F.lit(0.01), F.least(F.lit(0.99), acc["a"] + gamma * (alpha - miss)))).otherwise(acc["a"])
-        buf = F.concat(F.when(have >= buffer, F.slice(acc["buf"], 2, buffer - 1)).otherwise(acc["buf"]), F.array(e))
-        return F.struct(a.alias("a"), buf.alias("buf"), (acc["miss"] + miss).alias("miss"), (acc["width"] + F.coalesce(2 * q, F.lit(0.0))).alias("width"), (acc["n"] + (have > 0).cast("int")).alias("n"))
-
-    return F.aggregate(values, start, step, lambda acc: F.struct(acc["a"].alias("last_alpha"), acc["miss"].alias("misses"), acc["width"].alias("width"), acc["n"].alias("n")))
-
-
-def adaptive_conformal(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), alpha: float = 0.2, buffer: int = 50) -> DataFrame:
-    """Coverage and mean width of each series' adaptive intervals for each step size; one ordered array a series."""
-    by = ["horizon", "model", "container_id"]
-    arrays = long.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("time_stamp", y_true().alias("y"), y_pred().alias("p")))).alias("v"))
-    rows = arrays.withColumn("gamma", F.explode(F.array(*map(F.lit, gammas)))).withColumn("f", adaptive_fold(F.col("v"), F.col("gamma"), alpha, buffer))
-    return rows.filter("f.n > 0").select(*by, "gamma", F.col("f.n").alias("n"), (1 - F.col("f.misses") / F.col("f.n")).alias("coverage"), (F.col("f.width") / F.col("f.n")).alias("width"), F.col("f.last_alpha").alias("last_alpha"))
+    a, ordered, recent, n, misses, width = alpha, [], deque(), 0, 0, 0.0
+    for e in np.abs(y - p).tolist():
+        if ordered:
+            q = ordered[max(1, min(len(ordered), math.ceil(round((1 - a) * len(ordered), 9)))) - 1]
+            miss = e > q
+            n, misses, width = n + 1, misses + miss, width + 2 * q
+            a = min(0.99, max(0.01, a + gamma * (alpha - miss)))
+        insort(ordered, e)
+        recent.append(e)
+        if len(recent) > buffer:
+            del ordered[bisect_left(ordered, recent.popleft())]
+    return n, misses, width, a
+
+
+def adaptive_conformal(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), alpha: float = 0.2, buffer: int = 2000) -> DataFrame:
+    """Coverage and mean width of each series' adaptive intervals for each step size; a series on its grid is the unit of work."""
+
+    def fold(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("time_stamp")
+        out = []
+        for g in gammas:
+            n, misses, width, last = adaptive_fold(b.y_true.to_numpy(float), b.y_pred.to_numpy(float), g, alpha, buffer)
+            if n:
+                out.append((*key, g, n, 1 - misses / n, width / n, last))
+        return pd.DataFrame(out, columns=["horizon", "model", "container_id", "gamma", "n", "coverage", "width", "last_alpha"])
+
+    rows = long.select(F.col("horizon").cast("int"), "model", "container_id", "time_stamp", "y_true", "y_pred")
+    return rows.groupBy("horizon", "model", "container_id").applyInPandas(fold, "horizon int, model string, container_id string, gamma double, n long, coverage double, width double, last_alpha double")
 
 
 def aggregate_experts(adaptive: DataFrame, eta: float = 10.0) -> DataFrame:

@@ -57,7 +57,7 @@ points AS (SELECT container_id, unnest(generate_series(lo, hi, {STEP}))::BIGINT
 grid AS (SELECT g.container_id, g.time_stamp, p.cpu, p.mem FROM points g ASOF LEFT JOIN panel p ON g.container_id = p.container_id AND g.time_stamp >= p.time_stamp)"""
 _W = "PARTITION BY container_id ORDER BY time_stamp"
 WIDE = GRID + f""",
-moved AS (SELECT container_id, time_stamp, cpu, avg(cpu) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS mean6, avg(cpu) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS mean24,
+moved AS (SELECT container_id, time_stamp, cpu, round(avg(cpu) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 9) AS mean6, round(avg(cpu) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 9) AS mean24,
   {", ".join(f"lead(cpu, {h}) OVER ({_W}) AS y_{h}, lag(cpu, {PER_DAY - h}) OVER ({_W}) AS s_{h}" for h in HORIZONS)} FROM grid),
 wide AS ({" UNION ALL ".join(f"SELECT container_id, time_stamp, {h} AS horizon, y_{h} AS y_true, cpu AS y_naive, cpu AS persistence, s_{h} AS seasonal, mean6, mean24 FROM moved WHERE y_{h} IS NOT NULL AND s_{h} IS NOT NULL AND cpu IS NOT NULL" for h in HORIZONS)})"""
 LONG = WIDE + """,
