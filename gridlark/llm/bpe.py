@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, release_memory
 from .unicode_fit import find_words, lower
 
-#: Words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+#: Words that a worker remembers; beyond that it keeps those of the last round that are met again.
+REMEMBERED = 120_000
 #: Words that are looked up at a time, which bounds what a very long text takes.
 SLICE = 200_000
 VOCABULARY = "word_bpe_49k.json"
@@ -125,6 +125,7 @@ class WordBpe:
         self.ascii_word = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r"))
         #: word -> number of ids, the ids in decimal, the decoded text
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.last: dict[str, tuple[int, str, str]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words in the order of the text; added tokens come as they are."""
@@ -141,9 +142,11 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Make all of ``words`` known; those that aren't yet are encoded together."""
-        new = list(set(words).difference(self.known))
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(set(words))
+            self.known, self.last, new = {}, self.known, set(words)
+        self.known |= {w: self.last[w] for w in new if w in self.last}
+        new = list(new.difference(self.known))
         symbols = []
         for w in new:
             b = w.encode("utf-8", "surrogatepass")
@@ -218,6 +221,7 @@ def digests(path: str, text: F.Column) -> F.Column:
         bpe = codec(path)
         for texts in batches:
             yield pd.DataFrame(list(bpe.digest_batch(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        release_memory()
 
     return of(text)
 

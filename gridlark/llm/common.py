@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound the Arrow batches that Python tasks get, by rows and bytes: texts are long, and a worker holds two batches at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. Its texts go to Python in small batches: a setting of the session, made here."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +34,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridlark-{name}-{uuid.uuid4().hex}"
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: called at a Python task's end, as its worker lives on beside the tasks of other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps start from files, not from the lineage, and survive lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, read_table
+from .common import connected_components, materialise
 
 THRESHOLD = 0.95
 #: Angle within which a vector joins a leader: two members of one leader are then within the threshold's angle.
@@ -365,7 +365,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: near-duplicate classes of all embeddings."""
-    return embedding_components(read_table(spark, sf_dir, "embeddings"))
+    return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 #: All pairs and their closure: for small tables.

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, read_table
+from .common import connected_components, materialise, read_table, release_memory
 
 #: Sample from which the top of the tree is built, and the least number of sampled points in a leaf of that top.
 SAMPLE, SAMPLE_LEAF = 16_384, 32
@@ -47,8 +47,10 @@ def fingerprint_column(text: F.Column, width: int = 3) -> F.Column:
     """``text`` to its fingerprint as a signed long (the same 64 bits)."""
 
     @F.pandas_udf("long")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((simhash(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
+    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.fromiter((simhash(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
+        release_memory()
 
     return fingerprints(text)
 

@@ -16,14 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, release_memory
 
 #: Coordinates (2 ** BITS bounds the weights), labelled rows to learn from at most, files they are written to, passes.
 BITS, LABELLED, FILES, PASSES = 20, 24_000, 6, 8
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
 THRESHOLD = 0.7
 #: Words hashed at a time, which bounds what a very long text takes; words whose hashes a worker remembers.
-SLICE, REMEMBERED = 100_000, 500_000
+SLICE, REMEMBERED = 100_000, 150_000
 
 # Odd multipliers that mix word hashes into coordinates.
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
@@ -99,6 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, passes: int =
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b.id, "toxic": b.toxic, "at": [coordinates(t).astype(np.int32) for t in b.text]})
+        _hashes.clear()
+        release_memory()
 
     rows = labelled_rows(docs, labels, limit)
     rows = rows.mapInPandas(hashed, "id long, toxic int, at array<int>").repartition(FILES, F.xxhash64("id")).sortWithinPartitions("id", "toxic")
@@ -119,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, passes: int =
             used = np.flatnonzero(np.abs(state.z) > 1)
             used = np.union1d(used, [2**BITS])
             yield pd.DataFrame({"at": used, "z": state.z[used], "n": state.n[used]})
+            release_memory()
 
         sums = materialise(rows.mapInPandas(learn, "at long, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("parts")), "tox-pass")
         parts = sums.filter(F.col("at") == 2**BITS).first()  # every part sends the intercept
@@ -146,6 +149,8 @@ def score_column(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], text
         dense[sent.value[0]] = sent.value[1]
         for texts in batches:
             yield pd.Series([_sigmoid(dense[-1] + dense[coordinates(t)].sum()) for t in texts], dtype=float)
+        _hashes.clear()
+        release_memory()
 
     return score(text)
 
