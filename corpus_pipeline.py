@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm import bpe, mixing, secrets, simhash, toxicity
-from gridlark.llm.common import materialise, read_table
+from gridlark.llm.common import materialise, read_table, small_batches
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the row with the smallest id stays; null and empty texts are one component."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -35,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests for each row of the mix; copies have rows of their own."""
+    small_batches(spark)
     return bpe.encode_documents(docs)
 
 
