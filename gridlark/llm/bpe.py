@@ -24,7 +24,7 @@ from .common import read_table, release_memory
 from .unicode_fit import find_words, lower
 
 #: Words that a worker remembers; beyond that it keeps those of the last round that are met again.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 #: Words that are looked up at a time, which bounds what a very long text takes.
 SLICE = 200_000
 VOCABULARY = "word_bpe_49k.json"
@@ -221,6 +221,7 @@ def digests(path: str, text: F.Column) -> F.Column:
         bpe = codec(path)
         for texts in batches:
             yield pd.DataFrame(list(bpe.digest_batch(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.last = {}
         release_memory()
 
     return of(text)
