@@ -2,22 +2,21 @@
 
 Base spans are those of the patterns. Other candidates are runs of 16 or more key-like characters with a letter and
 a digit that touch no base span. Each gets an encoding (hexadecimal, base 32, letters of one case and digits, base
-64) and three tests whose null hypothesis is structured text:
+64). Its p-value for the null hypothesis of structured text is its probability under a model of such text over its
+probability as a random key, by Markov's inequality no less than the model's chance of a ratio so small; the four
+encodings share the keys' probability. The model is a chain of character classes (upper, lower, digit, other) with
+letters by their frequency and by vowel or consonant, and with repeats and successors of the last character.
 
-* chi-squared uniformity over the encoding's alphabet; structured text repeats characters at a rate above 1/k, so
-  under the null the statistic is noncentral, by an amount that grows with the length;
-* runs of character classes (upper, lower, digit, other); structured text rarely changes class;
-* serial correlation of neighbouring codes; structured sequences are correlated.
+A token is not random, whatever the model says, if one of four tests of randomness rejects it far out (about four
+deviations): chi-squared uniformity over the encoding's alphabet, changes of character class, serial correlation of
+neighbouring codes, pairs of neighbours that come again. Its p-value is 1 then.
 
-A candidate's p-value is the largest of the three: it is called random only if every test says so. P-values are
-rounded up to a grid, and Benjamini-Hochberg control runs over all candidates of the corpus in each class of length
-(powers of two), from counts on that grid. What is kept of the corpus for this is one number a class.
+P-values are rounded up to a grid, and Benjamini-Hochberg control runs over all candidates of the corpus in each class
+of length (powers of two), from counts on that grid. What is kept of the corpus for this is one number a class.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +32,40 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Rate of false discoveries, steps of the p-value grid for a factor of two, smallest p-value.
 FDR, GRID, LEAST_P = 0.05, 8, 1e-9
-#: Of structured text: repeat rate of characters by alphabet size, share of class changes, serial correlation.
-REPEATS = {16: 0.105, 32: 0.06, 36: 0.06, 64: 0.045}
-CHANGES, SERIAL = 0.15, 0.6
+#: Characters of candidates; of structured text: percentages of the letters a to z, share of vowels after a vowel, after
+#: a consonant and elsewhere, shares of the next character's class, shares of repeats and of successors.
+KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+LETTERS = (8.5, 1.6, 3.4, 4.2, 13.5, 1.8, 2.0, 3.5, 7.3, 0.4, 0.8, 4.6, 2.8, 7.2, 6.8, 2.4, 0.5, 6.6, 6.6, 7.5, 3.8, 1.2, 1.2, 0.4, 1.0, 0.6)
+VOWELS, AFTER = "aeiouy", {"vowel": 0.15, "consonant": 0.55, "": 0.41}
+NEXT_CLASS = {"l": {"l": 0.80, "U": 0.05, "d": 0.05, "o": 0.10}, "U": {"l": 0.45, "U": 0.45, "d": 0.04, "o": 0.06}, "d": {"l": 0.08, "U": 0.06, "d": 0.66, "o": 0.20}, "o": {"l": 0.57, "U": 0.12, "d": 0.25, "o": 0.06}}
+AGAIN, SUCCESSOR = 0.06, 0.03
+#: Of random keys: share of class changes by alphabet size; deviations at which a test of randomness rejects.
+CHANGES = {16: 0.469, 32: 0.305, 36: 0.401, 64: 0.66}
+FAR = 4.0
+
+
+def _kind(c: str) -> str:
+    return "d" if c.isdigit() else "l" if c.islower() else "U" if c.isupper() else "o"
+
 
-# Coefficients of a published rational approximation of erfc, highest power first.
-_ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+def _sound(c: str) -> str:
+    return "" if not c.isalpha() else "vowel" if c.lower() in VOWELS else "consonant"
 
 
-def normal_cdf(z: Column) -> Column:
-    """Lower tail of the standard normal distribution, to a relative error of about 1e-7."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.5 * x)
-    poly = F.lit(_ERFC[0])
-    for c in _ERFC[1:]:
-        poly = poly * t + c
-    tail = 0.5 * t * F.exp(-x * x + poly)
-    return F.when(z < 0, tail).otherwise(1 - tail)
+def _emission(c: str, after: str) -> float:
+    """Probability of a character in its class, by what sound went before."""
+    if not c.isalpha():
+        return 0.1 if c.isdigit() else 0.25
+    weight = {x: w for x, w in zip("abcdefghijklmnopqrstuvwxyz", LETTERS, strict=True) if _sound(x) == _sound(c)}
+    share = AFTER[after] if _sound(c) == "vowel" else 1 - AFTER[after]
+    return share * weight[c.lower()] / sum(weight.values())
+
+
+#: States of the model (class and sound of the last character), each character's state, probabilities of every character after each state and at the start.
+_STATES = sorted({(_kind(c), _sound(c)) for c in KEY_CHARS})
+_STATE_OF = "".join(str(_STATES.index((_kind(c), _sound(c)))) for c in KEY_CHARS)
+_AFTER_STATE = [(1 - AGAIN - SUCCESSOR) * NEXT_CLASS[k][_kind(c)] * _emission(c, s) for k, s in _STATES for c in KEY_CHARS]
+_AT_START = [0.25 * _emission(c, "") for c in KEY_CHARS]
 
 
 _SPAN = "struct<kind:int,start:int,end:int,token:string>"
@@ -77,29 +93,52 @@ def _alphabet(token: Column) -> Column:
     return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7]+$"), 32).when(token.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), 36).otherwise(64)
 
 
+def _table(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _structured(token: Column, pairs: Column) -> Column:
+    """Base-2 logarithm of the token's probability under the model of structured text."""
+    place = lambda c: F.instr(F.lit(KEY_CHARS), c)
+    state = lambda c: F.substring(F.lit(_STATE_OF), place(c), F.lit(1)).cast("int")
+
+    def step(p: Column) -> Column:
+        a, b = F.substring(p, 1, 1), F.substring(p, 2, 1)
+        chain = F.element_at(_table(_AFTER_STATE), state(a) * len(KEY_CHARS) + place(b))
+        return F.log2(chain + F.when(a == b, AGAIN).when(F.ascii(b) == F.ascii(a) + 1, SUCCESSOR).otherwise(0.0))
+
+    return F.log2(F.element_at(_table(_AT_START), place(F.substring(token, 1, 1)))) + _sum(F.transform(pairs, step))
+
+
 def p_value(token: Column) -> Column:
-    """Largest p-value of the three tests for a token of at least 5 characters."""
+    """P-value of a token of at least 5 characters of ``KEY_CHARS`` for the null hypothesis of structured text."""
     n = F.length(token).cast("double")
     letters = F.split(token, "")
+    pairs = F.zip_with(F.slice(letters, 1, F.length(token) - 1), F.slice(letters, 2, F.length(token) - 1), lambda a, b: F.concat(a, b))
     k = _alphabet(token).cast("double")
-    repeat = F.element_at(F.create_map(*[F.lit(x) for kv in REPEATS.items() for x in (float(kv[0]), kv[1])]), k)
     squares = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi = squares * k / n - n
-    shift = n * (k * repeat - 1)
-    uniform = normal_cdf((chi - (k - 1) - shift) / F.sqrt(2 * (k - 1 + 2 * shift)))
+    uniform = (squares * k / n - n) - (k - 1) <= FAR * F.sqrt(2 * (k - 1) * (n - 1) / n) + 2
 
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "d"), "[+/_-]", "o")
     changes = F.length(F.regexp_replace(classes, r"(.)\1*", "x")) - 1
-    runs = normal_cdf(((n - 1) * CHANGES - changes + 0.5) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES)))
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in CHANGES.items() for x in (float(kv[0]), kv[1])]), k)
+    runs = changes >= (n - 1) * share - FAR * F.sqrt((n - 1) * share * (1 - share))
 
     codes = F.transform(letters, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda acc, x: acc + x) / n
+    mean = _sum(codes) / n
     centred = F.transform(codes, lambda x: x - mean)
-    spread = F.aggregate(centred, F.lit(0.0), lambda acc, x: acc + x * x)
-    product = F.aggregate(F.zip_with(F.slice(centred, 1, F.length(token) - 1), F.slice(centred, 2, F.length(token) - 1), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    r = F.least(F.abs(F.coalesce(product / F.nullif(spread, F.lit(0.0)), F.lit(1.0))), F.lit(0.999999))
-    serial = normal_cdf((F.atanh(r) - math.atanh(SERIAL)) * F.sqrt(n - 4))
-    return F.greatest(uniform, runs, serial)
+    spread = _sum(F.transform(centred, lambda x: x * x))
+    product = _sum(F.zip_with(F.slice(centred, 1, F.length(token) - 1), F.slice(centred, 2, F.length(token) - 1), lambda a, b: a * b))
+    serial = F.abs(F.coalesce(product / F.nullif(spread, F.lit(0.0)), F.lit(1.0))) <= FAR / F.sqrt(n)
+
+    again, expected = n - 1 - F.size(F.array_distinct(pairs)), (n - 1) * (n - 2) / 2 / (k * k)
+    fresh = again <= expected + FAR * F.sqrt(expected) + 2
+    ratio = F.least(F.log2(F.lit(4.0)) + _structured(token, pairs) + n * F.log2(k), F.lit(0.0))
+    return F.when(uniform & runs & serial & fresh, F.greatest(F.pow(F.lit(2.0), ratio), F.lit(LEAST_P))).otherwise(1.0)
 
 
 def length_class(token: Column) -> Column:

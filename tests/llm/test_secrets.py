@@ -63,3 +63,39 @@ def test_redaction(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.find_secrets(docs).count() == 0 and S.redact(docs).count() == 0
+
+
+WORDS = "order export service monitoring weekly report customer rechnung bestellung strasse verbindung maison livre facture bonjour trabajo siguiente pedido ventas kubernetes cluster backup archive image thumbnail profile settings network adapter driver module release candidate version summary schedule holiday picture window terminal session account payment invoice delivery".split()
+
+
+def structured(rnd, n):
+    """A token of ``n`` characters made of words, dates, counters or repeats."""
+    while True:
+        w, num = rnd.choices(WORDS, k=9), str(rnd.choice([rnd.randrange(10), rnd.randrange(1000), rnd.randrange(1990, 2030)]))
+        date = f"{rnd.randint(1990, 2030)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}T{rnd.randint(0, 23):02}-{rnd.randint(0, 59):02}"
+        makes = ["-".join, "_".join, "/".join, "".join, lambda x: "".join(map(str.capitalize, x)), lambda x: "_".join(x).upper(), lambda x: date + "/" + "-".join(x), lambda x: "0" * (n - 4) + f"{rnd.randrange(16**3):03x}a", lambda x: (rnd.choice(["abc1", "x8y2q9wk", "a0b1c2"]) * n)]
+        s = rnd.choice(makes)([num, *w])[:n]
+        if re.search("[A-Za-z]", s) and re.search("[0-9]", s):
+            return s
+
+
+def random_key(rnd, alphabet, n):
+    while True:
+        s = "".join(rnd.choices(alphabet, k=n))
+        if re.search("[A-Za-z]", s) and re.search("[0-9]", s):
+            return s
+
+
+def test_short_keys_among_many_structured_tokens(spark):
+    """Keys are a fiftieth of the tokens of each length class; the lower-case hexadecimal ones of 24 and 32 would be base spans."""
+    rnd, upper = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": upper + "234567", "lower": upper.lower() + "0123456789", "base64": upper + upper.lower() + "0123456789+/"}
+    rows = [("", n, structured(rnd, n)) for n in (16, 20, 24, 32) for _ in range(1000)]
+    rows += [(kind, n, random_key(rnd, chars, n)) for kind, chars in kinds.items() if kind != "hex" for n in (16, 20, 24, 32) for _ in range(4)]
+    rows += [("hex", n, random_key(rnd, kinds["hex"], n)) for n in (16, 20) for _ in range(4)]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.n_random for r in S.find_secrets(docs).collect()}
+    keys = {n: [got[i] for i, (kind, m, _) in enumerate(rows) if kind and m == n] for n in (16, 20, 24, 32)}
+    assert all(sum(found) >= 0.75 * len(found) for found in keys.values()), keys
+    false = [t for i, (kind, _, t) in enumerate(rows) if not kind and got[i]]
+    assert len(false) <= 0.05 * (len(false) + sum(map(sum, keys.values()))), false
