@@ -31,6 +31,21 @@ def run_once(stream: DataFrame, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/out")
 
 
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Write what each batch changes of an aggregate to a folder of its own in the shared folder; the last row of each key."""
+    spark, path = stream.sparkSession, _shared(stream.sparkSession)
+    schema = stream.schema
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    q = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/out")
+    got = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("last"))
+    return got.select(*keys, "last.*").select(*stream.columns)
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -40,8 +55,8 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_grid_rollup")
 def grid_rollup(spark, sf_dir):
-    """Buckets that the watermark has closed; the last ones of the stream stay open and are not written."""
-    return rounded(run_once(stream_grid_rollup(events_stream(spark, sf_dir)), f"container_id string, time_stamp long, {CPU} double, n long"))
+    """Buckets of the whole table: open ones come as they stand at the stream's end."""
+    return rounded(run_updates(stream_grid_rollup(events_stream(spark, sf_dir)), ["container_id", "time_stamp"]))
 
 
 @query("stream_adaptive_interval")

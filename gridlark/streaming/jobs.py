@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ def stream_grid_rollup(stream: DataFrame, step: str = "5 minutes", late: str = "
     return got.select("container_id", F.unix_seconds("window.start").alias("time_stamp"), CPU, "n")
 
 
-def stream_adaptive_interval(stream: DataFrame, gamma: float = 0.05, alpha: float = 0.2, buffer: int = 200) -> DataFrame:
+def stream_adaptive_interval(stream: DataFrame, gamma: float = 0.05, alpha: float = 0.2, buffer: int = 2000) -> DataFrame:
     """Adaptive interval of each series' next value by persistence; alpha and the last residuals are the series' state.
 
     Rows of a series must come in order of time within a micro-batch or over them; the batch is sorted.
@@ -29,6 +30,7 @@ def stream_adaptive_interval(stream: DataFrame, gamma: float = 0.05, alpha: floa
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         a, last, errors = state.get if state.exists else (alpha, None, [])
         errors = list(errors)
+        ordered = sorted(errors)
         rows = pd.concat(list(batches)).sort_values("time_stamp")
         out = []
         for t, y in zip(rows.time_stamp, rows[CPU], strict=True):
@@ -36,11 +38,14 @@ def stream_adaptive_interval(stream: DataFrame, gamma: float = 0.05, alpha: floa
                 e = abs(y - last)
                 if errors:
                     rank = max(1, min(len(errors), math.ceil(round((1 - a) * len(errors), 9))))
-                    q = sorted(errors)[rank - 1]
+                    q = ordered[rank - 1]
                     miss = int(e > q)
                     out.append((key[0], int(t), float(y), last - q, last + q, miss))
                     a = min(0.99, max(0.01, a + gamma * (alpha - miss)))
-                errors = (errors + [e])[-buffer:]
+                insort(ordered, e)
+                errors.append(e)
+                if len(errors) > buffer:
+                    del ordered[bisect_left(ordered, errors.pop(0))]
             last = float(y)
         state.update((a, last, errors))
         yield pd.DataFrame(out, columns=["container_id", "time_stamp", "y_true", "lower", "upper", "miss"])

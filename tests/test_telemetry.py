@@ -135,3 +135,43 @@ def test_every_query_with_sql_has_one(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def events_file(folder, users, seconds, values):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    ts = pa.array([int(t * 1_000_000) for t in seconds], pa.int64()).cast(pa.timestamp("us"))
+    pq.write_table(pa.table({"user_id": pa.array(users, pa.int64()), "ts": ts, "value": pa.array(values, pa.float64())}), folder / "events.parquet")
+
+
+def test_streamed_interval_against_the_batch_fold(spark, tmp_path):
+    from gridlark.plans import streams
+
+    y = np.cumsum(np.random.default_rng(3).normal(size=2600) * np.linspace(0.2, 2, 2600))
+    events_file(tmp_path, [7] * len(y), range(0, 300 * len(y), 300), y * 5)
+    got = streams.adaptive_interval(spark, str(tmp_path)).toPandas()
+    n, misses, width, _ = intervals.adaptive_fold(y[1:], y[:-1], 0.05)
+    assert (len(got), got.miss.sum()) == (n, misses) and math.isclose((got.upper - got.lower).sum(), width, rel_tol=1e-6)
+
+
+def test_streamed_rollup_has_the_last_hour(spark, tmp_path):
+    from gridlark.plans import streams
+
+    seconds = [0, 200, 299, 300, 7000, 7100, 9000, 9001, 10_000]
+    events_file(tmp_path, [1, 1, 2, 1, 1, 1, 2, 2, 1], seconds, [5.0, 10, 15, 20, 25, 30, 35, 40, 45])
+    got = {(r.container_id, r.time_stamp): (r[CPU], r.n) for r in streams.grid_rollup(spark, str(tmp_path)).collect()}
+    assert got == {("c_1", 0): (2, 2), ("c_2", 0): (3, 1), ("c_1", 300): (4, 1), ("c_1", 6900): (6, 2), ("c_2", 9000): (8, 2), ("c_1", 9900): (9, 1)}
+
+
+def test_rows_of_several_batches_update_a_bucket(spark, tmp_path):
+    from gridlark.plans import streams
+    from gridlark.streaming.jobs import stream_grid_rollup
+
+    schema = f"container_id string, ts timestamp, {CPU} double"
+    for i, t in enumerate((10, 20)):
+        one = spark.createDataFrame([("a", t, float(i))], f"container_id string, s long, {CPU} double")
+        one.select("container_id", F.timestamp_seconds("s").alias("ts"), CPU).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams.run_updates(stream_grid_rollup(stream), ["container_id", "time_stamp"]).collect()
+    assert [(r.container_id, r.time_stamp, r[CPU], r.n) for r in got] == [("a", 0, 1.0, 2)]
