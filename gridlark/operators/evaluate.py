@@ -236,24 +236,34 @@ def quartile_skill(long: DataFrame, acfs: DataFrame) -> DataFrame:
     return each.groupBy("horizon", "model", "quartile").agg(F.count("*").alias("n"), F.percentile("mae_model", F.lit(0.5)).alias("median_mae"), F.percentile("skill", F.lit(0.5)).alias("median_skill"), F.avg("skill").alias("mean_skill"), (100 * F.avg("won")).alias("win_pct"))
 
 
-def metric_bootstrap(long: DataFrame, replicates: int = 200) -> DataFrame:
-    """95 % interval of the mean absolute error over resampled series.
+def metric_bootstrap(long: DataFrame, replicates: int = 1000) -> DataFrame:
+    """Mean absolute error and R2 with their 95 % intervals over resampled series.
 
     Series are the blocks: each replicate weighs a series by a Poisson(1) number taken from an md5 hash, and the
-    error comes from sums for each series, so the points are read once.
+    measures come from sums for each series, so the points are read once. R2 is NULL where all targets are equal;
+    such replicates are left out of its interval.
     """
     from ..sources.panel import hash_part
 
-    s = long.groupBy("horizon", "model", "container_id").agg(F.sum(F.abs(y_true() - y_pred())).alias("e"), F.count("*").alias("n"))
-    r = s.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    by = ["horizon", "model"]
+    d = y_true() - y_pred()
+    s = long.groupBy(*by, "container_id").agg(F.sum(F.abs(d)).alias("e"), F.sum(d * d).alias("e2"), F.sum(y_true()).alias("y"), F.sum(y_true() * y_true()).alias("y2"), F.count("*").alias("n"))
+    r = s.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     u = hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32)
     weight, total, term = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 7):  # the number of thresholds of the distribution function that u reaches
         total += term
         weight = weight + (u >= total).cast("int")
         term /= k
-    r = r.withColumn("w", weight).groupBy("horizon", "model", "replicate").agg(ratio(F.sum(F.col("w") * F.col("e")), F.sum(F.col("w") * F.col("n")).cast("double")).alias("mae"))
-    return r.groupBy("horizon", "model").agg(F.percentile("mae", F.lit(0.025)).alias("lo"), F.percentile("mae", F.lit(0.975)).alias("hi"))
+    w = F.col("w")
+    r = r.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(weight))  # replicate 0 is the data
+    r = r.groupBy(*by, "replicate").agg(*[F.sum(w * F.col(c)).cast("double").alias(c) for c in ("e", "e2", "y", "y2", "n")])
+    n, spread = F.col("n"), F.col("y2") - ratio(F.col("y") * F.col("y"), F.col("n"))
+    r = r.select(*by, "replicate", ratio(F.col("e"), n).alias("mae"), (1 - F.when(spread > 1e-12 * F.col("y2"), ratio(F.col("e2"), spread))).alias("r2"))
+    drawn = lambda c: F.when(F.col("replicate") > 0, F.col(c))
+    point = lambda c: F.max(F.when(F.col("replicate") == 0, F.col(c))).alias(c)
+    bound = lambda c, q, name: F.percentile(drawn(c), F.lit(q)).alias(name)
+    return r.groupBy(*by).agg(point("mae"), bound("mae", 0.025, "lo"), bound("mae", 0.975, "hi"), point("r2"), bound("r2", 0.025, "r2_lo"), bound("r2", 0.975, "r2_hi"))
 
 
 def asymmetric_cost(long: DataFrame, ratios: tuple[int, ...] = (1, 2, 3, 5, 10), unit: float = 4e-5) -> DataFrame:

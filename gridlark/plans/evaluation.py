@@ -244,6 +244,16 @@ _U = "('0x' || substr(md5(container_id || '/' || replicate), 1, 8))::BIGINT / 42
 
 @query("metric_bootstrap_ci", sql(LONG, f", s AS (SELECT horizon, model, container_id, sum(abs(y_true - y_pred)) AS e, count(*) AS n FROM fc GROUP BY 1, 2, 3), w AS (SELECT *, {' + '.join(f'({_U} >= {t!r})::INT' for t in _POISSON)} AS w FROM s, range(1, 201) AS x(replicate)), m AS (SELECT horizon, model, replicate, sum(w * e) / nullif(sum(w * n), 0) AS mae FROM w GROUP BY 1, 2, 3) SELECT horizon::BIGINT AS horizon, model, {r('quantile_cont(mae, 0.025)', 'lo', D)}, {r('quantile_cont(mae, 0.975)', 'hi', D)} FROM m GROUP BY 1, 2"))
 def metric_bootstrap_ci(spark, sf_dir):
+    """Interval of the MAE over 200 replicates, as its SQL has it; ``metric_bootstrap_full`` does the whole job."""
+    return rounded(ev.metric_bootstrap(long(spark, sf_dir), 200).select("horizon", "model", "lo", "hi"), D)
+
+
+_BOUNDS = ", ".join(f"max(CASE WHEN replicate = 0 THEN {c} END) AS {c}, quantile_cont(CASE WHEN replicate > 0 THEN {c} END, 0.025) AS {p}lo, quantile_cont(CASE WHEN replicate > 0 THEN {c} END, 0.975) AS {p}hi" for c, p in (("mae", ""), ("r2", "r2_")))
+
+
+@query("metric_bootstrap_full", sql(LONG, f", s AS (SELECT horizon, model, container_id, sum(abs(y_true - y_pred)) AS e, sum((y_true - y_pred) * (y_true - y_pred)) AS e2, sum(y_true) AS y, sum(y_true * y_true) AS y2, count(*) AS n FROM fc GROUP BY 1, 2, 3), w AS (SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE {' + '.join(f'({_U} >= {t!r})::INT' for t in _POISSON)} END AS w FROM s, range(0, 1001) AS x(replicate)), t AS (SELECT horizon, model, replicate, sum(w * e) AS e, sum(w * e2) AS e2, sum(w * y) AS y, sum(w * y2) AS y2, sum(w * n)::DOUBLE AS n FROM w GROUP BY 1, 2, 3), m AS (SELECT horizon, model, replicate, e / nullif(n, 0) AS mae, CASE WHEN y2 - y * y / nullif(n, 0) > 1e-12 * y2 THEN 1 - e2 / (y2 - y * y / n) END AS r2 FROM t), b AS (SELECT horizon, model, {_BOUNDS} FROM m GROUP BY 1, 2) SELECT horizon::BIGINT AS horizon, model, {', '.join(r(c, c, D) for c in ('mae', 'lo', 'hi', 'r2', 'r2_lo', 'r2_hi'))} FROM b"))
+def metric_bootstrap_full(spark, sf_dir):
+    """MAE and R2 with intervals over 1,000 replicates."""
     return rounded(ev.metric_bootstrap(long(spark, sf_dir)), D)
 
 

@@ -137,6 +137,20 @@ def test_every_query_with_sql_has_one(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_bootstrap_has_both_measures_and_a_thousand_replicates(spark):
+    rng = np.random.default_rng(5)
+    data = [(1, m, f"s{s}", t, float(s + rng.normal()), float(s + rng.normal())) for m in ("x", "y") for s in range(12) for t in range(8)] + [(1, "constant", f"s{s}", t, 4.1, 4.0 + s) for s in range(3) for t in range(3)]
+    frame = spark.createDataFrame(data, "horizon int, model string, container_id string, time_stamp long, y_true double, y_pred double")
+    got = {r.model: r for r in evaluate.metric_bootstrap(frame).collect()}
+    few = {r.model: r for r in evaluate.metric_bootstrap(frame, 200).collect()}
+    for m in "xy":
+        y, p = (np.array([row[i] for row in data if row[1] == m]) for i in (4, 5))
+        assert math.isclose(got[m].mae, np.abs(y - p).mean()) and math.isclose(got[m].r2, 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+        assert got[m].lo < got[m].mae < got[m].hi and got[m].r2_lo < got[m].r2 < got[m].r2_hi
+        assert (got[m].lo, got[m].r2_lo) != (few[m].lo, few[m].r2_lo)
+    assert (got["constant"].r2, got["constant"].r2_lo) == (None, None) and math.isclose(got["constant"].mae, np.mean([abs(4.1 - 4.0 - s) for s in range(3)]))
+
+
 def events_file(folder, users, seconds, values):
     import pyarrow as pa
     import pyarrow.parquet as pq
