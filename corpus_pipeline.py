@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can't express the classifier, the fingerprints' closure or the encoder; tests hold the stages against brute force.
+#: SQL can't express the classifier, the fingerprints' closure or the encoder. Tests cover the operators' functions, not the stages or ``run``.
 ORACLE_SQL = None
 
 
