@@ -32,7 +32,8 @@ def test_shard_against_brute_force():
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     index = H.build_shard(np.arange(len(u)), u, np.ones(len(u), np.int64))
     assert sorted(index["members"].tolist()) == list(range(len(u)))
-    links, edges, _ = H.query_shard(index, np.arange(len(u)), u, H.BEAM)
+    links, edges, _, audit = H.query_shard(index, np.arange(len(u)), u, H.BEAM)
+    assert audit[1] > 0 and audit[0] >= H.RECALL * audit[1]
     want, root = brute(x)
     assert links.sum() >= 0.99 * want.sum() and (links <= want).all()
     for a, b in edges:
@@ -42,6 +43,29 @@ def test_shard_against_brute_force():
     assert sum(len(np.intersect1d(a, b)) for a, b in zip(found, wide, strict=True)) >= 0.9 * sum(map(len, wide))
 
 
+def test_an_index_opens_as_it_was_packed():
+    x = vectors(3).astype(np.float32)
+    index = H.build_shard(np.arange(len(x)), H.unit(x), np.ones(len(x), np.int64))
+    again = H.open_index(H.pack_index(index, x))
+    for key in ("rid", "x", "leader", "of", "radius", "members", "begin", "total"):
+        assert np.array_equal(index[key], again[key])
+    for a, b in zip(index["graph"].search(x[:50], 8), again["graph"].search(x[:50], 8), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_shards_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(H, "SHARD_BYTES", 300 * 24 * 8)
+    x = vectors(5)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    sizes = []
+    real = H.materialise
+    monkeypatch.setattr(H, "materialise", lambda df, name: (out := real(df, name), sizes.extend(r.n for r in out.collect()) if name == "hnsw-index" else None)[0])
+    got = {r.vec_id: r for r in H.embedding_components(frame).collect()}
+    assert len(sizes) >= 5 and max(sizes) <= 300 * 1.3
+    want, root = brute(x)
+    assert sum(got[i].n_links == n and got[i].component_id == r for i, (n, r) in enumerate(zip(want, root, strict=True))) >= 0.99 * len(x)
+
+
 def test_recall_of_the_bare_graph():
     rng = np.random.default_rng(4)
     u = rng.normal(size=(3000, 32))
