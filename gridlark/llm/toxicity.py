@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words, pairs of neighbours and pairs with one word between are hashed to coordinates; a coordinate counts once a text.
-A bounded, hash-ordered sample of labelled rows is hashed once and written; the parts in which Spark reads it back
-run FTRL-proximal side by side: a learning rate for each coordinate, and L1 that keeps most weights at zero. After
-every pass the parts' states are averaged, and the next pass starts from the average. The weights left are few;
-their number has a bound, and they go to all tasks.
+A bounded, hash-ordered sample of labelled rows is hashed once and dealt to parts by hashes of ids; the parts run
+FTRL-proximal side by side: a learning rate for each coordinate, and L1 that keeps most weights at zero. After every
+pass the parts' whole states are averaged slice by slice, and the next pass starts from the average. The weights left
+are few; their number has a bound, and they go to all tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, read_table, release_memory
 
-#: Coordinates (2 ** BITS bounds the weights), labelled rows to learn from at most, files they are written to, passes.
-BITS, LABELLED, FILES, PASSES = 20, 24_000, 6, 8
+#: Coordinates (2 ** BITS bounds the weights), labelled ids to learn from at most, passes.
+BITS, LABELLED, PASSES = 19, 24_000, 5
+#: Parts at least, coordinates that a part holds on average at most, coordinates in a slice of a state.
+PARTS, PART, STATE = 6, 8_000_000, 65_536
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 2.0, 0.1
 THRESHOLD = 0.7
 #: Words hashed at a time, which bounds what a very long text takes; words whose hashes a worker remembers.
@@ -79,64 +81,88 @@ class Ftrl:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """``id, text, toxic`` of at most ``limit`` labelled rows that may be learnt from, those of least hash.
+    """``id, toxic, text`` of at most ``limit`` labelled ids that may be learnt from, those of least hash, one row each.
 
     A row may be learnt from if crc32 of its id as text, modulo 3, is not 1. An id with several labels is toxic if
-    one of them says so; null ids and labels are left out. The bound holds for ids; the join below is with few rows.
+    one of them says so, an id with several texts gives the least of them; null ids and labels are left out.
     """
     known = labels.filter("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     known = materialise(known.select(F.col("doc_id").alias("id"), "toxic"), "tox-labels")
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id")  # at most `limit` rows of two numbers
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id")  # at most `limit` rows of two columns
+    return rows.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+def learn_part(state: Ftrl, at: list[np.ndarray], toxic: np.ndarray, turn: int, part: int) -> None:
+    """One pass over a part's rows, in an order that pass and part determine."""
+    for k in np.random.default_rng([turn, part]).permutation(len(at)):
+        state.learn(at[k], int(toxic[k] > 0))
+
+
+def _mean(slices: pd.Series) -> bytes:
+    """Mean of single-precision slices, summed in double precision and in order."""
+    return np.mean([np.frombuffer(x, "<f4") for x in slices], axis=0, dtype=float).astype("<f4").tobytes()
+
+
+def _read_state(rows: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    z, n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)
+    for r in rows.itertuples():
+        z[r.slice * STATE : (r.slice + 1) * STATE], n[r.slice * STATE : (r.slice + 1) * STATE] = np.frombuffer(r.z, "<f4"), np.frombuffer(r.n, "<f4")
+    return z, n
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, passes: int = PASSES, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights that are not zero; the last coordinate is the intercept (always there).
 
-    Without labelled rows the result is the intercept alone, at 0: every score is 0.5. Null texts count as empty.
+    Parts follow from hashes of ids and from the rows' number of coordinates, the order in a part from hashes, pass
+    and part, and states are averaged in the order of the parts: the result doesn't depend on partitions, cores or
+    batches. Nothing of a state is left out between passes. Without labelled rows the result is the intercept alone,
+    at 0: every score is 0.5. Null texts count as empty.
     """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b.id, "toxic": b.toxic, "at": [coordinates(t).astype(np.int32) for t in b.text]})
+            yield pd.DataFrame({"key": b.key, "turn": b.turn, "toxic": b.toxic, "at": [coordinates(t, bits).astype("<i4").tobytes() for t in b.text]})
         _hashes.clear()
         release_memory()
 
-    rows = labelled_rows(docs, labels, limit)
-    rows = rows.mapInPandas(hashed, "id long, toxic int, at array<int>").repartition(FILES, F.xxhash64("id")).sortWithinPartitions("id", "toxic")
-    rows = materialise(rows, "tox-rows")
-    at, z, n = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    rows = labelled_rows(docs, labels, limit).select(F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(2)).alias("turn"), "toxic", "text")
+    rows = materialise(rows.mapInPandas(hashed, "key long, turn long, toxic int, at binary"), "tox-rows")
+    parts = max(PARTS, -(-(rows.agg(F.coalesce(F.sum(F.length("at")), F.lit(0))).first()[0] // 4) // PART))
+
+    def pack(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["turn", "key"])
+        return pd.DataFrame({"part": b.part.iloc[:1], "toxic": [b.toxic.to_numpy("<i4").tobytes()], "sizes": [b["at"].map(len).to_numpy("<i8").tobytes()], "at": [b"".join(b["at"])]})
+
+    dealt = rows.withColumn("part", F.pmod("key", F.lit(parts)).cast("int")).repartitionByRange(parts, "part")
+    dealt = materialise(dealt.groupBy("part").applyInPandas(pack, "part int, toxic binary, sizes binary, at binary"), "tox-parts")
+
+    def mean(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("part")
+        return pd.DataFrame({"slice": b.slice.iloc[:1], "z": [_mean(b.z)], "n": [_mean(b.n)]})
+
+    z, n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)
     for p in range(passes):
-        sent = rows.sparkSession.sparkContext.broadcast((at, z, n))  # at most 2 ** BITS coordinates
+        sent = rows.sparkSession.sparkContext.broadcast((z, n))  # 2 ** bits coordinates
 
         def learn(batches: Iterator[pd.DataFrame], sent=sent, p=p) -> Iterator[pd.DataFrame]:
-            state = Ftrl()
-            state.z[sent.value[0]], state.n[sent.value[0]] = sent.value[1], sent.value[2]
-            order = np.random.default_rng(p)
-            for b in batches:
-                labels_, sets = b.toxic.to_numpy(), b["at"].to_numpy()
-                for k in order.permutation(len(b)):
-                    state.learn(np.asarray(sets[k], np.int64), int(labels_[k] > 0))
-            # a coordinate met in one text only stays below 1: it isn't sent, and counts as zero in the average
-            used = np.flatnonzero(np.abs(state.z) > 1)
-            used = np.union1d(used, [2**BITS])
-            yield pd.DataFrame({"at": used, "z": state.z[used], "n": state.n[used]})
+            for part in (r for b in batches for r in b.itertuples()):
+                state = Ftrl(bits)
+                state.z[:], state.n[:] = sent.value
+                ends = np.cumsum(np.frombuffer(part.sizes, "<i8")) // 4
+                learn_part(state, np.split(np.frombuffer(part.at, "<i4").astype(np.int64), ends[:-1]), np.frombuffer(part.toxic, "<i4"), p, part.part)
+                cuts = range(0, 2**bits + 1, STATE)
+                yield pd.DataFrame({"slice": range(len(cuts)), "part": part.part, "z": [state.z[i : i + STATE].astype("<f4").tobytes() for i in cuts], "n": [state.n[i : i + STATE].astype("<f4").tobytes() for i in cuts]})
             release_memory()
 
-        sums = materialise(rows.mapInPandas(learn, "at long, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("parts")), "tox-pass")
-        parts = sums.filter(F.col("at") == 2**BITS).first()  # every part sends the intercept
-        if parts is None:
-            break
-        least = L1 * (0.25 if p + 1 < passes else 1)  # weights of less are zero; so small a state is not carried on
-        mean = sums.filter((F.abs("z") > least * parts.parts) | (F.col("at") == 2**BITS)).toPandas().sort_values("at")
-        at, z, n = mean["at"].to_numpy(np.int64), mean["z"].to_numpy(float) / parts.parts, mean["n"].to_numpy(float) / parts.parts
+        states = dealt.mapInPandas(learn, "slice int, part int, z binary, n binary").groupBy("slice").applyInPandas(mean, "slice int, z binary, n binary")
+        z, n = _read_state(states.toPandas(), bits)
         sent.unpersist()
-    state = Ftrl()
-    state.z[at], state.n[at] = z, n
-    at = np.union1d(at, [2**BITS])
-    w = state.weights(at)
-    keep = (w != 0) | (at == 2**BITS)
-    return at[keep], w[keep]
+    state = Ftrl(bits)
+    state.z, state.n = z, n
+    w = state.weights(np.arange(2**bits + 1))
+    at = np.union1d(np.flatnonzero(w), [2**bits])
+    return at, w[at]
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], text: F.Column) -> F.Column:
@@ -145,10 +171,12 @@ def score_column(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], text
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dense = np.zeros(2**BITS + 1)
-        dense[sent.value[0]] = sent.value[1]
+        at, weights = sent.value
+        dense = np.zeros(at[-1] + 1)  # the intercept is the last coordinate
+        dense[at] = weights
+        bits = int(at[-1]).bit_length() - 1
         for texts in batches:
-            yield pd.Series([_sigmoid(dense[-1] + dense[coordinates(t)].sum()) for t in texts], dtype=float)
+            yield pd.Series([_sigmoid(dense[-1] + dense[coordinates(t, bits)].sum()) for t in texts], dtype=float)
         _hashes.clear()
         release_memory()
 
@@ -168,9 +196,13 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold; columns stay as they are."""
+    """``docs`` without the rows whose score reaches the threshold; columns, whatever their names, stay as they are.
+
+    Null and empty texts score like any other, repeated rows and equal texts alike; an empty table gives an empty
+    result.
+    """
     model = fit(docs, labels)
-    return docs.withColumn("__score", score_column(docs.sparkSession, model, F.col("text"))).filter(F.col("__score") < THRESHOLD).drop("__score")
+    return docs.filter(score_column(docs.sparkSession, model, F.col("text")) < THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

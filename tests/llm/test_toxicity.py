@@ -2,6 +2,8 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from gridlark.llm import toxicity as T
 
 
@@ -23,7 +25,7 @@ def corpus(n=1500):
 def test_held_out_accuracy_and_odd_rows(spark):
     docs, labels = corpus()
     odd = [(5000, None, 0.5), (5001, "", 0.5), (5002, "x " * 200_000, 0.5), (None, docs[0][1], 0.5), docs[0], docs[0]]
-    frame = spark.createDataFrame(docs + odd, "doc_id long, text string, score double")
+    frame = spark.createDataFrame(docs + odd, "doc_id long, text string, score double").withColumn("__score", F.lit(7)).withColumn("id", F.lit("x"))
     known = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None), (1, 1, 0)], "doc_id long, quality int, toxic int")
     got = T.score_documents(frame, known).collect()
     assert len(got) == len(docs) + len(odd)
@@ -57,6 +59,67 @@ def test_state_against_the_formulas():
     assert np.allclose(f.z, z) and np.allclose(f.n, n)
 
 
+def plain_fit(docs, labels, keys, bits, passes, parts):
+    """The averaged passes written out over dictionaries. ``keys``: id -> (hash for the part, hash for the order)."""
+    toxic = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    dealt = [sorted((i for i in toxic if keys[i][0] % parts == p), key=lambda i: (keys[i][1], keys[i][0])) for p in range(parts)]
+    sets = {i: [*T.coordinates(t, bits).tolist(), 2**bits] for i, t, *_ in docs}
+    z, n = {}, {}
+    for turn in range(passes):
+        got = []
+        for p, ids in enumerate(dealt):
+            pz, pn = dict(z), dict(n)
+            for k in np.random.default_rng([turn, p]).permutation(len(ids)) if ids else ():
+                at, y = sets[ids[k]], toxic[ids[k]]
+                w = {}
+                for i in at:
+                    l1 = T.L1 if i < 2**bits else 0
+                    v = pz.get(i, 0.0)
+                    w[i] = 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((T.BETA + pn.get(i, 0.0) ** 0.5) / T.ALPHA + T.L2)
+                g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -35, 35))) - y
+                for i in at:
+                    m = pn.get(i, 0.0)
+                    pz[i] = pz.get(i, 0.0) + g - ((m + g * g) ** 0.5 - m**0.5) / T.ALPHA * w[i]
+                    pn[i] = m + g * g
+            got += [(pz, pn)] if ids else []
+        z, n = ({i: sum(s[k].get(i, 0.0) for s in got) / len(got) for i in set().union(*(s[k] for s in got))} for k in (0, 1))
+    out = {i: 0.0 if abs(v) <= (l1 := T.L1 if i < 2**bits else 0) else -(v - np.sign(v) * l1) / ((T.BETA + n[i] ** 0.5) / T.ALPHA + T.L2) for i, v in z.items()}
+    return {i: w for i, w in out.items() if w or i == 2**bits}
+
+
+def test_fit_against_plain_averaged_passes(spark):
+    docs, labels = corpus(300)
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    keys = {r.doc_id: (r.a, r.b) for r in frame.selectExpr("doc_id", "xxhash64(doc_id) a", "xxhash64(doc_id, 2) b").collect()}
+    at, w = T.fit(frame, known, bits=12, passes=3)
+    want = plain_fit(docs, labels, keys, 12, 3, T.PARTS)
+    assert at.tolist() == sorted(want)
+    assert np.allclose(w, [want[i] for i in at.tolist()], rtol=1e-3, atol=1e-4)
+
+
+def test_fit_does_not_depend_on_partitions_or_batches(spark):
+    docs, labels = corpus(400)
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    models = []
+    try:
+        for parts, values in ((1, ("10", "3", "1000")), (16, ("10000", "9", "128m"))):
+            for n, v in zip(names, values, strict=True):
+                spark.conf.set(n, v)
+            models.append(T.fit(frame.repartition(parts), known.repartition(parts), passes=3))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert all(np.array_equal(a, b) for a, b in zip(*models, strict=True)) and len(models[0][0]) > 2
+
+
+def test_repeated_ids_count_once(spark):
+    docs, labels = corpus(200)
+    frame, known = spark.createDataFrame(docs * 3, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert T.labelled_rows(frame, known, 50).count() == 50
+
+
 def test_coordinates_by_definition(monkeypatch):
     text = "A b, c b a É-é c " * 5
     want = T.coordinates(text)
