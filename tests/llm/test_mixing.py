@@ -1,5 +1,7 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
 from gridlark.llm import mixing as M
 
 
@@ -55,6 +57,43 @@ def test_mix_against_definition_and_sql(spark):
     assert mixed.count() == sum(r.copies for r in got if r.size)
 
 
+def test_probabilities_differ_within_a_source_and_carry_the_draw(spark):
+    """Documents of a larger size class are likelier to be drawn; with one probability a source the shares would be alike."""
+    data = [(i, " ".join(["w"] * (4 if i % 2 else 40)), "a" if i < 4000 else "b") for i in range(6000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = [r for r in M.mix(docs).collect() if r.source == "a"]
+    share = {n: sum(r.copies for r in got if r.size == n) / 2000 for n in (4, 40)}
+    sized = M._sized(docs, F.col("doc_id").alias("id"), "doc_id", "text", "source", M.SEED)
+    plan = {r.source: r for r in M.mix_plan(sized).collect()}["a"]
+    want = {4: min(1, plan.c * 4), 40: min(1, plan.c * 32)}
+    assert 0 < want[4] < want[40] <= 1
+    for n, p in want.items():
+        assert abs(share[n] - p) < 0.05
+    assert abs(sum(r.size * r.copies for r in got) - got[0].target) <= 20
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Equal rows at the cut: as many are taken as are needed, none is sorted by id."""
+    data = [(None, "w w w", "a", 1)] * 500 + [(1, "w " * 400_000, "b", 2), (2, "w " * 200_000, "b", 3)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, source string, copies int").repartition(7)
+    got = M.mix(docs).collect()
+    for s in ("a", "b"):
+        rows = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in rows) - rows[0].target) <= max(r.size for r in rows)
+    mixed = M.mixed_documents(docs)
+    assert mixed.filter("source = 'a'").count() == sum(r.copies for r in got if r.source == "a")
+
+
+def test_columns_with_the_helpers_names_stay(spark):
+    names = "row u rank p size copies whole extra of c tied part __n __k __copies __id __size __source cut_rank col missing target source_size".split()
+    data = [(i, "w " * (i % 9), "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in range(60)] * 2
+    docs = spark.createDataFrame(data, ["doc_id", "text", "source", *names])
+    mixed = M.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = {tuple(r) for r in mixed.collect()}
+    assert taken and taken <= {tuple(d) for d in data}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(docs).count() == 0 and M.mixed_documents(docs).count() == 0
