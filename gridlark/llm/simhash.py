@@ -1,7 +1,8 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked exactly through vantage-point trees.
 
-The tree's top is built on the driver from a bounded sample and sent to the executors; its leaves are shards. A
-point goes to the leaf on its side of each vantage radius; a point inside a ball and within ``radius`` of its shell
+The tree's top is built on the driver from a bounded sample and sent to the executors; its leaves are shards. Leaves
+that hold too many points are split again, round by round: executors sample each such leaf, grow a subtree for it and
+deal its points anew, in parts that share no leaf's points between them by more than a salt. A point goes to the leaf on its side of each vantage radius; a point inside a ball and within ``radius`` of its shell
 goes outside as well. By the triangle inequality any two points within ``radius`` of each other share a leaf, so
 the pairs found leaf by leaf are all pairs, and nothing is compared across leaves. Inside a leaf the same splits go
 on until the parts are small. A leaf reports a star of links for each of its components, never all of its pairs.
@@ -9,6 +10,7 @@ on until the parts are small. A leaf reports a star of links for each of its com
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import partial
 
@@ -17,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, read_table, release_memory
+from .common import connected_components, free_name, materialise, read_table, release_memory
 
-#: Sample from which the top of the tree is built, and the least number of sampled points in a leaf of that top.
-SAMPLE, SAMPLE_LEAF = 16_384, 32
+#: Sample from which a tree's top is built, and leaves that it makes at most (a leaf has so much of the sample at least).
+SAMPLE, SAMPLE_LEAVES = 16_384, 512
 #: Distinct fingerprints that a shard should hold, and the size below which points are compared directly.
 SHARD, DIRECT = 8_192, 192
+#: A leaf of more than so many times a shard's points is split again; rounds at most; tasks that share a leaf's points then.
+SLACK, ROUNDS, SALTS = 2, 8, 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -71,7 +75,7 @@ def _vantage(points: np.ndarray, radius: int) -> tuple[int, int] | None:
     return None if best is None else (best[1], best[2])
 
 
-def build_top(sample: np.ndarray, depth: int, radius: int, least: int = SAMPLE_LEAF) -> list:
+def build_top(sample: np.ndarray, depth: int, radius: int, least: int) -> list:
     """Nodes in depth-first order: ``("split", vantage, mu, left, right)`` or ``("leaf", number)``."""
     nodes, leaves = [], 0
 
@@ -158,23 +162,77 @@ def leaf_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
 
 
 # ---------------------------------------------------------------- Spark job
-def fingerprint_links(distinct: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
-    """``node, root`` (signed longs) of the fingerprints in ``distinct.fp`` that are within ``radius`` bits of another, directly or by a chain."""
+def _split_again(points: DataFrame, sizes: DataFrame, radius: int, shard: int, sample: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Points of oversized leaves in the leaves of a subtree for each, and the ``leaf`` of those that can't be split.
+
+    ``points``: ``leaf, fp``; ``sizes``: ``leaf, n``. Points and a leaf's subtree meet in tasks by leaf and salt, the
+    subtree first, so a task holds a batch of points and one subtree.
+    """
+
+    def grow(b: pd.DataFrame) -> pd.DataFrame:
+        depth = int(np.ceil(np.log2(max(2, b.n.iloc[0] / shard))))
+        nodes = build_top(np.unique(b.fp.to_numpy(np.int64)).view(np.uint64), depth, radius, max(4, sample // SAMPLE_LEAVES))
+        return pd.DataFrame({"leaf": b.leaf.iloc[:1], "parts": [sum(n[0] == "leaf" for n in nodes)], "nodes": [pickle.dumps(nodes)]})
+
+    sampled = points.join(sizes, "leaf").filter(F.pmod(F.xxhash64("fp", F.lit(level)), F.col("n")) < sample)
+    trees = materialise(sampled.groupBy("leaf").applyInPandas(grow, "leaf long, parts int, nodes binary"), "vp-trees")
+    whole = trees.filter("parts = 1").select("leaf")
+    trees = trees.filter("parts > 1").withColumn("first", F.sum("parts").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)))
+    trees = trees.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.coalesce("first", F.lit(0)).alias("first"), "nodes", F.lit(0).cast("long").alias("fp"))  # no nulls: pandas would make floats of them
+    dealt = points.join(whole, "leaf", "left_anti").select("leaf", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(0).cast("long").alias("first"), F.lit(None).cast("binary").alias("nodes"), "fp")
+    both = trees.unionByName(dealt).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", F.col("nodes").isNull())
+
+    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, nodes = 0, []
+        for b in batches:
+            for _, g in b.groupby(["leaf", "salt"], sort=True):
+                if g.nodes.iloc[0] is not None:
+                    first, nodes, g = int(g["first"].iloc[0]), pickle.loads(g.nodes.iloc[0]), g.iloc[1:]
+                leaf, p = assign(g.fp.to_numpy(np.int64).view(np.uint64), nodes, radius)
+                yield pd.DataFrame({"leaf": leaf.astype(np.int64) + first, "fp": p.view(np.int64)})
+
+    return materialise(both.mapInPandas(descend, "leaf long, fp long"), "vp-points"), whole
+
+
+def dealt_points(distinct: DataFrame, radius: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """``level, leaf, fp``: the fingerprints of ``distinct.fp`` in leaves of at most ``SLACK * shard`` points, if these can be split so far.
+
+    Fingerprints within ``radius`` bits of one another share a leaf (``level`` and ``leaf`` name it).
+    """
     total = distinct.count()
     depth = max(0, int(np.ceil(np.log2(max(1, total) / shard))))
-    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if depth else []
-    nodes = build_top(np.array([r.fp for r in rows], np.int64).view(np.uint64), depth, radius)
+    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect() if depth else []
+    nodes = build_top(np.array([r.fp for r in rows], np.int64).view(np.uint64), depth, radius, max(4, sample // SAMPLE_LEAVES))
 
     def to_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             leaf, p = assign(b.fp.to_numpy(np.int64).view(np.uint64), nodes, radius)
-            yield pd.DataFrame({"leaf": leaf, "fp": p.view(np.int64)})
+            yield pd.DataFrame({"leaf": leaf.astype(np.int64), "fp": p.view(np.int64)})
+
+    points, done = materialise(distinct.select("fp").mapInPandas(to_leaves, "leaf long, fp long"), "vp-points"), []
+    for level in range(ROUNDS):
+        large = materialise(points.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > SLACK * shard), "vp-large")
+        if large.isEmpty():
+            break
+        done.append(points.join(large, "leaf", "left_anti").select(F.lit(level).alias("level"), "leaf", "fp"))
+        more = points.join(large, "leaf", "left_semi")
+        split, whole = _split_again(more, large, radius, shard, sample, level)
+        done.append(more.join(whole, "leaf", "left_semi").select(F.lit(level).alias("level"), "leaf", "fp"))
+        points = split
+    for part in done:
+        points = points if "level" in points.columns else points.select(F.lit(ROUNDS).alias("level"), "leaf", "fp")
+        points = points.unionByName(part)
+    return points if "level" in points.columns else points.select(F.lit(ROUNDS).alias("level"), "leaf", "fp")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 2, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """``node, root`` (signed longs) of the fingerprints in ``distinct.fp`` that are within ``radius`` bits of another, directly or by a chain."""
 
     def links(b: pd.DataFrame) -> pd.DataFrame:
         p, root = leaf_links(b.fp.to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"fp": p.view(np.int64), "root": root.view(np.int64)})
 
-    stars = distinct.select("fp").mapInPandas(to_leaves, "leaf int, fp long").groupBy("leaf").applyInPandas(links, "fp long, root long")
+    stars = dealt_points(distinct, radius, shard, sample).groupBy("level", "leaf").applyInPandas(links, "fp long, root long")
     stars = materialise(stars, "vp-stars")
     # a point that several leaves hold ties their stars together; the graph of the stars' roots is much the smaller one
     per = stars.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -184,7 +242,22 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, shard: int = SHARD)
     return per.select(F.col("fp").alias("node"), "low").join(top, "low", "left").select("node", F.coalesce("root", "low").alias("root"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3, shard: int = SHARD) -> DataFrame:
+def _components(prints: DataFrame, radius: int, shard: int, sample: int) -> DataFrame:
+    """``fp, component_id`` for the fingerprints of ``prints`` (``id, fp``)."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("low_id")), "simhash-distinct")
+    roots = materialise(fingerprint_links(distinct, radius, shard, sample), "simhash-roots")
+    named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "low_id")
+    low = named.groupBy("root").agg(F.min("low_id").alias("component"))
+    linked = named.join(low, "root").select("fp", "component")
+    # every fingerprint is named here once, so that a null component is not mistaken for an unlinked one
+    return distinct.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("low_id")).alias("component_id"))
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    return materialise(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")), "simhash")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Near-duplicate classes of ``docs``: ``<id_col>, fp long, component_id``.
 
     Texts are lower-cased in A-Z, cut into words at ASCII white space, and hashed by ``width``-word shingles,
@@ -193,28 +266,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as they came in. A null id belongs to its text's component but is never its smallest id, unless the component has
     no other (then ``component_id`` is null). An empty table gives an empty result. Other columns are not carried.
     """
-    prints = materialise(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("low_id")), "simhash-distinct")
-    roots = materialise(fingerprint_links(distinct, radius, shard), "simhash-roots")
-    named = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "low_id")
-    low = named.groupBy("root").agg(F.min("low_id").alias("component"))
-    linked = named.join(low, "root").select("fp", "component")
-    # every fingerprint is named here once, so that a null component is not mistaken for an unlinked one
-    ids = distinct.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("low_id")).alias("component_id"))
-    return prints.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    prints = _prints(docs, id_col, text_col, width)
+    return prints.join(_components(prints, radius, shard, sample), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``docs`` with one row for each near-duplicate component: the row with the smallest id. Columns stay as they are.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
+    """``docs`` with one row for each near-duplicate component: the row with the smallest id. Columns, whatever their names, stay as they are.
 
-    Of repeated rows with that id and fingerprint one stays. Rows without an id give way to any row with one.
+    Null and empty texts are one component. Of repeated rows with the smallest id and its fingerprint one stays. Rows
+    without an id give way to any row with one. An empty table gives an empty result. Texts are fingerprinted once;
+    only those whose id comes more than once are tagged a second time.
     """
-    keep = simhash_components(docs, id_col, text_col, radius).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep_id"), F.col("fp").alias("__keep_fp"))
-    keep = materialise(keep.distinct(), "simhash-keep")
-    tagged = docs.withColumn("__fp", fingerprint_column(F.col(text_col)))
-    kept = tagged.join(keep, tagged[id_col].eqNullSafe(keep["__keep_id"]) & (tagged["__fp"] == keep["__keep_fp"]))
-    first = F.row_number().over(Window.partitionBy("__keep_id", "__keep_fp").orderBy("__keep_fp"))
-    return kept.withColumn("__n", first).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = _prints(docs, id_col, text_col, width)
+    low = prints.join(_components(prints, radius, SHARD, SAMPLE), "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "fp").distinct()
+    times = prints.groupBy("id").agg(F.count("*").alias("times"))
+    name, mark = free_name(docs, "keep_id"), free_name(docs, "keep_fp")
+    keep = materialise(low.join(times, low["id"].eqNullSafe(times["id"])).select(low["id"].alias(name), F.col("fp").alias(mark), "times"), "simhash-keep")
+    once = keep.filter(F.col("times") == 1).filter(F.col(name).isNotNull())
+    kept = docs.join(once, docs[id_col] == once[name], "left_semi")
+    several = keep.filter((F.col("times") > 1) | F.col(name).isNull())
+    if several.isEmpty():
+        return kept
+    # rows whose ids say too little: told apart by fingerprint, and one of each is taken before the shuffle's end
+    rows = docs.join(several.select(name).distinct(), docs[id_col].eqNullSafe(F.col(name)), "left_semi").select(F.struct("*").alias("row"))
+    tagged = rows.select("row", F.col("row").getField(id_col).alias(name), fingerprint_column(F.col("row").getField(text_col), width).alias(mark))
+    tagged = tagged.join(several, tagged[name].eqNullSafe(several[name]) & (tagged[mark] == several[mark]), "left_semi")
+    firsts = tagged.groupBy(name, mark).agg(F.min_by("row", F.xxhash64(F.col("row").getField(text_col))).alias("row"))
+    return kept.unionByName(firsts.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
+
 from gridlark.llm import simhash as S
 
 
@@ -83,11 +85,31 @@ def test_components_against_brute_force(spark):
     for shard in (8192, 16):
         got = S.simhash_components(docs, shard=shard).collect()
         assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(r[0]), str(c)) for r, c in zip(rows, want, strict=True))
+    kept = S.keep_one(docs.withColumnsRenamed({"fp": "keep_id", "component_id": "Row"}).withColumn("keep_fp", F.lit(1)).withColumn("__fp", F.lit(2)).withColumn("__n", F.lit(3)))
+    assert set(map(tuple, kept.select("keep_id", "Row", "keep_fp", "__fp", "__n").collect())) == {(7, "c", 1, 2, 3)}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for c in want})
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(c) for c in want})
 
 
+def test_large_leaves_are_split_again(spark):
+    """The top alone (a sample of 64 points) can't make small leaves; further rounds do, and lose no link."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    near = base[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    p = np.unique(np.concatenate([base, near])).view(np.int64)
+    frame = spark.createDataFrame([(int(x),) for x in p], "fp long")
+    dealt = S.dealt_points(frame, shard=100, sample=64)
+    sizes = [r.n for r in dealt.groupBy("level", "leaf").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= S.SLACK * 100 and dealt.select("level").distinct().count() >= 2
+    got = {r.node: r.root for r in S.fingerprint_links(frame, shard=100, sample=64).collect()}
+    d = np.bitwise_count(p.view(np.uint64)[:, None] ^ p.view(np.uint64)[None, :]) <= 2
+    pairs = [(int(p[i]), int(p[j])) for i, j in zip(*np.nonzero(np.triu(d, 1)), strict=True)]
+    assert set(got) == {x for pair in pairs for x in pair}
+    assert all(got[a] == got[b] for a, b in pairs)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_components(docs).count() == 0 and S.keep_one(docs).count() == 0
