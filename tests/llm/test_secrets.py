@@ -3,6 +3,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gridlark.llm import secrets as S
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -60,6 +62,38 @@ def test_redaction(spark):
     assert sum(got[9 + i].text == "k [secret]" for i in range(30)) >= 24
 
 
+def test_values_of_base_spans_are_tested(spark):
+    """Random values of base spans pass the battery and plain ones don't; the spans are the same either way."""
+    rnd = random.Random(3)
+    keys = ["token=" + "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(30)] + ["".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(30)]
+    plain = ["password = correct-horse-battery-staple-and-more", "token: " + "xyz123" * 8, "secret=" + "Z" * 40] * 10
+    docs = spark.createDataFrame([(i, f"set {t} here") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in S.find_secrets(docs).collect()}
+    assert all(r.n_assign + r.n_hex == 1 == len(r.base_p) == len(r.base_random) for r in got.values())
+    assert sum(got[i].base_random[0] for i in range(60)) >= 55 and max(got[i].base_p[0] for i in range(20)) < 0.01
+    assert not any(got[60 + i].base_random[0] for i in range(30))
+
+
+def test_letters_of_the_corpus_calibrate_the_model(spark):
+    """In a corpus of other letters the same token is likelier as text."""
+    strange = [(i, "zqxjk vwzqj xkqzz " * 400) for i in range(5)]
+    docs = spark.createDataFrame(strange, "doc_id long, text string")
+    shares = S._letters(docs.select(S.hits(F.col("text")).alias("hits")))
+    assert abs(sum(shares) - 100) < 1e-6 and shares[S.ALPHABET.index("z")] > 15 > shares[S.ALPHABET.index("e")]
+    token = spark.createDataFrame([("zqxjk7", ["zq", "qx", "xj", "jk", "k7"])], "t string, pairs array<string>")
+    own, default = token.select(*(S._structured(F.col("t"), F.col("pairs"), x) for x in (shares, S.LETTERS))).first()
+    assert own > default
+    assert S.letter_shares(None) == S.letter_shares([0] * 26)
+
+
+def test_columns_with_the_helpers_names_stay(spark):
+    names = "row hits tests spans clean base maybe letters __base __maybe __spans __changed __runs __free id".split()
+    docs = spark.createDataFrame([(1, "a token=abcdef12 b", *[f"{n}!" for n in names]), (2, None, *names)], ["doc_id", "text", *names])
+    got = {r.doc_id: r for r in S.redact(docs).collect()}
+    assert S.redact(docs).columns == docs.columns and got[1].text == "a [secret] b"
+    assert [tuple(got[1])[2:], tuple(got[2])[2:]] == [tuple(f"{n}!" for n in names), tuple(names)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.find_secrets(docs).count() == 0 and S.redact(docs).count() == 0
