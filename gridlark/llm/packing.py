@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
@@ -22,7 +22,8 @@ from .common import read_table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ids in a row, the id that fills it up (free in the vocabulary), and the tokens and pieces that close a window.
 ROW, PAD, WINDOW, PIECES = 2048, 50_256, 2_000_000, 20_000
-SCHEMA = "pack_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, parts array<int>, part_counts array<int>"
+#: ``doc_ids`` travel as strings and get their type back outside Python, so that nulls don't make floats of them.
+SCHEMA = "pack_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_keys array<long>, doc_ids array<string>, parts array<int>, part_counts array<int>"
 
 
 class RoomTree:
@@ -89,21 +90,21 @@ def _packer(path: str, row: int, pad: int, dtype: str):
 
         context = TaskContext.get()
         first = context.partitionId() << 40
-        encode, made = encoder(path).encode_ordinary, 0
-        pieces: list[tuple[int | None, int, int, np.ndarray]] = []  # id, part, parts, ids
+        encode, made, read = encoder(path).encode_ordinary, 0, 0
+        pieces: list[tuple[int, str | None, int, int, np.ndarray]] = []  # key, id, part, parts, ids
         out: list[tuple] = []
 
-        def emit(members: list[tuple[int | None, int, int, np.ndarray]]) -> None:
+        def emit(members: list[tuple[int, str | None, int, int, np.ndarray]]) -> None:
             nonlocal made
             matrix = np.full(row, pad, dtype)
-            ends = np.cumsum([0] + [len(m[3]) for m in members])
-            matrix[: ends[-1]] = np.concatenate([m[3] for m in members])
+            ends = np.cumsum([0] + [len(m[4]) for m in members])
+            matrix[: ends[-1]] = np.concatenate([m[4] for m in members])
             ends = ends.tolist()
-            out.append((first + made, ends[-1], matrix.tobytes(), ends, ends[:-1], *([m[i] for m in members] for i in range(3))))
+            out.append((first + made, ends[-1], matrix.tobytes(), ends, ends[:-1], *([m[i] for m in members] for i in range(4))))
             made += 1
 
         def close() -> None:
-            for members in best_fit_decreasing([len(p[3]) for p in pieces], row):
+            for members in best_fit_decreasing([len(p[4]) for p in pieces], row):
                 emit([pieces[k] for k in members])
             pieces.clear()
 
@@ -116,15 +117,15 @@ def _packer(path: str, row: int, pad: int, dtype: str):
         for b in batches:
             for id_, text in zip(b.id, b.text, strict=True):
                 ids = np.array(encode(text or ""), dtype)
-                id_ = None if pd.isna(id_) else int(id_)
+                key, read = first + read, read + 1
                 parts = max(1, -(-len(ids) // row))
                 for k in range(parts):
-                    piece = (id_, k, parts, ids[k * row : (k + 1) * row])
-                    if len(piece[3]) == row:
+                    piece = (key, id_, k, parts, ids[k * row : (k + 1) * row])
+                    if len(piece[4]) == row:
                         emit([piece])
                     else:
                         pieces.append(piece)
-                        held += len(piece[3])
+                        held += len(piece[4])
                 if held >= WINDOW or len(pieces) >= PIECES:
                     close()
                     held = 0
@@ -140,43 +141,44 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Packed rows of all texts, see ``SCHEMA``.
 
     ``ids``: ``row`` token ids, little-endian, filled up with ``pad``. ``cu_seqlens``: where segments begin, and the
-    row's end; ``position_resets``: where positions count from 0 again. ``doc_ids, parts, part_counts``: of each
-    segment its document, and which of how many pieces of it. Null and empty texts are segments of no tokens. Rows
-    with null or repeated ids are packed like others. An empty table gives an empty result. ``pack_id`` is unique and
-    follows the input's partitions.
+    row's end; ``position_resets``: where positions count from 0 again. ``doc_keys, doc_ids, parts, part_counts``: of
+    each segment its document, and which of how many pieces of it. A key is a row of ``docs``: rows with null or
+    repeated ids, of whatever type, are packed like others and can be told apart. Null and empty texts are segments of
+    no tokens. An empty table gives an empty result. ``pack_id`` and keys are unique and follow the input's partitions.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(_packer(path, row, pad, dtype), SCHEMA)
+    packs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(_packer(path, row, pad, dtype), SCHEMA)
+    return packs.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{docs.schema[id_col].dataType.simpleString()}>"))
 
 
 def write_packs(packs: DataFrame, path: str) -> None:
-    """Packed rows as Parquet files: fixed-length id rows beside their segment lengths and resets."""
+    """The packed matrices as Parquet files: a file's ``ids`` are rows of equal length, beside their segment lengths and resets."""
     packs.write.option("compression", "zstd").parquet(path)
 
 
 def segments(packs: DataFrame, dtype: str = "<u2") -> DataFrame:
-    """``pack_id, doc_id, part, part_count, ids array<int>`` of every segment."""
+    """``pack_id, doc_key, doc_id, part, part_count, ids array<int>`` of every segment."""
+    kind = packs.schema["doc_ids"].dataType.elementType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for p in b.itertuples(index=False):
                 ids, cuts = np.frombuffer(p.ids, dtype), list(p.cu_seqlens)
-                out += [(p.pack_id, d, k, n, ids[x:y].astype(np.int32)) for d, k, n, x, y in zip(p.doc_ids, p.parts, p.part_counts, cuts, cuts[1:], strict=False)]
-            yield pd.DataFrame(out, columns=["pack_id", "doc_id", "part", "part_count", "ids"]).astype({"doc_id": "Int64"})
+                out += [(p.pack_id, key, d, k, n, ids[x:y].astype(np.int32)) for key, d, k, n, x, y in zip(p.doc_keys, p.doc_ids, p.parts, p.part_counts, cuts, cuts[1:], strict=False)]
+            yield pd.DataFrame(out, columns=["pack_id", "doc_key", "doc_id", "part", "part_count", "ids"])
 
-    return packs.mapInPandas(split, "pack_id long, doc_id long, part int, part_count int, ids array<int>")
+    cut = packs.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")).mapInPandas(split, "pack_id long, doc_key long, doc_id string, part int, part_count int, ids array<int>")
+    return cut.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def unpack(packs: DataFrame, dtype: str = "<u2") -> DataFrame:
-    """``doc_id, ids array<int>`` of every document with an id of its own: its pieces joined in order."""
-    whole = Window.partitionBy("doc_id")
-    got = segments(packs, dtype).withColumn("n", F.count("*").over(whole)).filter("n = part_count")
+    """``doc_key, doc_id, ids array<int>`` of every document: its pieces joined in order."""
     pieces = F.array_sort(F.collect_list(F.struct("part", "ids")))
-    return got.groupBy("doc_id").agg(F.flatten(F.transform(pieces, lambda p: p["ids"])).alias("ids"))
+    return segments(packs, dtype).groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(pieces, lambda p: p["ids"])).alias("ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,22 @@ def test_round_trip(spark):
     assert packs.count() <= -(-used // 128) * 1.02 + 3
     ids = [r.pack_id for r in packs.collect()]
     assert len(ids) == len(set(ids))
+    assert {r.doc_key for r in P.unpack(packs).collect()} == {k for p in packs.collect() for k in p.doc_keys}
     odd = P.pack_documents(spark.createDataFrame([(None, "a b"), (1, "c"), (1, "c")], "doc_id long, text string").coalesce(1)).collect()
     assert sorted(map(str, odd[0].doc_ids)) == ["1", "1", "None"] and len(odd) == 1
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeated_and_null_ids_come_back_from_written_matrices(spark, tmp_path, kind):
+    ids = [None, None, 1, 1, 2**60 + 1] if kind == "long" else [None, None, "a", "a", "b'1"]
+    texts = ["a b", "c d " * 90, "a b", "other " * 200, ""]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string").repartition(2)
+    P.write_packs(P.pack_documents(docs, row=64), f"file://{tmp_path}/packs")
+    packs = spark.read.parquet(f"file://{tmp_path}/packs")
+    assert all(len(p.ids) == 128 for p in packs.collect())
+    got = sorted((str(r.doc_id), r.ids) for r in P.unpack(packs).collect())
+    assert got == sorted((str(i), ENC.encode_ordinary(t)) for i, t in zip(ids, texts, strict=True))
+
+
 def test_empty_table(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
