@@ -16,11 +16,12 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, release_memory
+from .common import paused_collector, read_table, release_memory
 from .unicode_fit import find_words, lower
 
 #: Words that a worker remembers; beyond that it keeps those of the last round that are met again.
@@ -28,6 +29,8 @@ REMEMBERED = 250_000
 #: Words that are looked up at a time, which bounds what a very long text takes.
 SLICE = 200_000
 VOCABULARY = "word_bpe_49k.json"
+#: A pair of symbols is one number: the left one above so many bits.
+PAIR_BITS = 24
 
 
 def byte_letters() -> list[str]:
@@ -37,64 +40,82 @@ def byte_letters() -> list[str]:
     return [x for _, x in sorted([(b, chr(b)) for b in plain] + [(b, chr(256 + k)) for k, b in enumerate(other)])]
 
 
-def merge_by_pair_index(words: list[list[int]], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[list[int]]:
-    """Merge each word's symbols. ``ranks``: pair -> (rank, merged symbol).
+def merge_by_pair_index(words: list[list[int]], ranks: dict[int, int], merges: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Merge each word's symbols. ``ranks``: pair, as :func:`pair_code`, -> rank; ``merges``: left, right and merged symbol by rank.
 
     Within a word this is the usual order, lowest rank first and leftmost first: a merge that opens a pair of lower
-    rank interrupts the list at hand, and the rest of the list waits for its turn.
+    rank interrupts the list at hand, and the rest of the list waits for its turn. Words lie in one array with -1
+    behind each, which is in no pair; merged-away symbols become -1 as well.
     """
     sym: list[int] = []
-    before: list[int] = []
-    after: list[int] = []
     starts = []
     for w in words:
-        at = len(sym)
-        starts.append(at)
+        starts.append(len(sym))
         sym += w
-        before += range(at - 1, at + len(w) - 1)
-        after += range(at + 1, at + len(w) + 1)
-        if w:
-            before[at], after[-1] = -1, -1
-    index: dict[tuple[int, int], list[int]] = {}
-    for i, j in enumerate(after):
-        if j >= 0 and (pair := (sym[i], sym[j])) in ranks:
-            index.setdefault(pair, []).append(i)
-    active = [(ranks[pair][0], pair) for pair in index]
+        sym.append(-1)
+    before, after, rank_of = list(range(-1, len(sym) - 1)), list(range(1, len(sym) + 1)), ranks.get
+    shift, push, pop = PAIR_BITS, heapq.heappush, heapq.heappop
+    index: dict[int, list[int]] = {}
+    codes = np.array(sym, np.int64)
+    for i, rank in enumerate(map(rank_of, (codes[:-1] << PAIR_BITS | codes[1:]).tolist())):
+        if rank is not None:
+            if (places := index.get(rank)) is None:
+                index[rank] = [i]
+            else:
+                places.append(i)
+    active = list(index)
     heapq.heapify(active)
     while active:
-        rank, pair = heapq.heappop(active)
-        places = sorted(set(index.pop(pair, ())))
-        merged = ranks[pair][1] if places else 0
+        rank = pop(active)
+        places = index.pop(rank, None)
+        if places is None:
+            continue
+        left, right, merged = merges[rank]
+        if len(places) > 1:
+            places.sort()
         for n, i in enumerate(places):
             j = after[i]
-            if j < 0 or sym[i] != pair[0] or sym[j] != pair[1]:
+            if sym[i] != left or sym[j] != right:
                 continue  # the occurrence is gone
             sym[i], sym[j] = merged, -1
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
+            k, h = after[j], before[i]
+            after[i] = k
+            before[k] = i
             lower = False
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right >= 0 and (new := (sym[left], sym[right])) in ranks:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(active, (ranks[new][0], new))
-                    index[new].append(left)
-                    lower |= ranks[new][0] < rank
+            new = rank_of(sym[h] << shift | merged)
+            if new is not None:
+                if new in index:
+                    index[new].append(h)
+                else:
+                    index[new] = [h]
+                    push(active, new)
+                lower = new < rank
+            new = rank_of(merged << shift | sym[k])
+            if new is not None:
+                if new in index:
+                    index[new].append(i)
+                else:
+                    index[new] = [i]
+                    push(active, new)
+                lower |= new < rank
             if lower and n + 1 < len(places):
-                index.setdefault(pair, []).extend(places[n + 1 :])
-                heapq.heappush(active, (rank, pair))
+                index.setdefault(rank, []).extend(places[n + 1 :])
+                push(active, rank)
                 break
     out = []
-    for at, w in zip(starts, words, strict=True):
-        ids, i = [], at
-        while w and i >= 0:
-            ids.append(sym[i])
+    for i in starts:
+        ids = []
+        while (s := sym[i]) >= 0:
+            ids.append(s)
             i = after[i]
         out.append(ids)
     return out
 
 
+def pair_code(left: int, right: int) -> int:
+    return left << PAIR_BITS | right
+
+
 class WordBpe:
     """Encoder and decoder of a byte-level BPE vocabulary whose words end in a suffix, from its JSON file.
 
@@ -117,10 +138,12 @@ class WordBpe:
         letters = byte_letters()
         self.inner = [vocab[x] for x in letters]
         self.final = [vocab[x + model["end_of_word_suffix"]] for x in letters]
-        self.ranks = {}
+        self.ranks, self.merges = {}, []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault(pair_code(vocab[a], vocab[b]), rank)
+            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+        self.decimal = {i: str(i) for i in self.tokens}
         # the same pattern for texts in ASCII, where the standard module is faster
         self.ascii_word = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r"))
         #: word -> number of ids, the ids in decimal, the decoded text
@@ -147,12 +170,13 @@ class WordBpe:
             self.known, self.last, new = {}, self.known, set(words)
         self.known |= {w: self.last[w] for w in new if w in self.last}
         new = list(new.difference(self.known))
-        symbols = []
+        symbols, inner = [], self.inner.__getitem__
         for w in new:
             b = w.encode("utf-8", "surrogatepass")
-            symbols.append([self.inner[x] for x in b[:-1]] + [self.final[b[-1]]])
-        for w, ids in zip(new, merge_by_pair_index(symbols, self.ranks), strict=True):
-            self.known[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            symbols.append([*map(inner, b[:-1]), self.final[b[-1]]])
+        known, decimal, token = self.known, self.decimal.__getitem__, self.tokens.__getitem__
+        for w, ids in zip(new, merge_by_pair_index(symbols, self.ranks, self.merges), strict=True):
+            known[w] = (1, decimal(ids[0]), token(ids[0])) if len(ids) == 1 else (len(ids), " ".join(map(decimal, ids)), " ".join(map(token, ids)))
         self.known |= {t: (1, str(i), t) for t, i in self.special.items()}
 
     def encoded(self, texts: Iterable[str | None]) -> Iterator[tuple[int, list[tuple[int, str, str]], bool]]:
@@ -164,8 +188,9 @@ class WordBpe:
         size = 0
 
         def flush():
-            found = [list(map(self.known.get, part)) for _, part, _ in waiting]
-            if any(None in f for f in found):
+            try:
+                found = [list(map(self.known.__getitem__, part)) for _, part, _ in waiting]
+            except KeyError:
                 self.learn([w for _, part, _ in waiting for w in part])
                 found = [list(map(self.known.__getitem__, part)) for _, part, _ in waiting]
             yield from ((k, f, last) for (k, _, last), f in zip(waiting, found, strict=True))
@@ -195,10 +220,12 @@ class WordBpe:
         """Number of ids, SHA-256 of the ids in decimal and of the decoded text; both strings are hashed slice by slice."""
         n, ids, decoded, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
         for _, part, last in self.encoded(texts):
-            n += sum([w[0] for w in part])
-            ids.update((gap + " ".join([w[1] for w in part])).encode())
-            decoded.update((gap + " ".join([w[2] for w in part])).encode())
-            gap = " "
+            if part:
+                sizes, decimals, tokens = zip(*part, strict=True)
+                n += sum(sizes)
+                ids.update((gap + " ".join(decimals)).encode())
+                decoded.update((gap + " ".join(tokens)).encode())
+                gap = " "
             if last:
                 yield n, ids.hexdigest(), decoded.hexdigest()
                 n, ids, decoded, gap = 0, hashlib.sha256(), hashlib.sha256(), ""
@@ -220,7 +247,9 @@ def digests(path: str, text: F.Column) -> F.Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = codec(path)
         for texts in batches:
-            yield pd.DataFrame(list(bpe.digest_batch(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            with paused_collector():
+                rows = list(bpe.digest_batch(texts))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
         bpe.last = {}
         release_memory()
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def paused_collector() -> Iterator[None]:
+    """Without Python's search for reference cycles, for loops that keep millions of objects and make no cycles."""
+    import gc
+
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: called at a Python task's end, as its worker lives on beside the tasks of other stages."""
     import ctypes

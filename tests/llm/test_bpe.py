@@ -33,8 +33,9 @@ def test_same_ids_and_text_as_the_library():
 
 def test_a_merge_that_opens_a_lower_rank():
     # (1,2) -> 9 has rank 5, yet (9,3) has rank 1 and must come before the second (1,2)
-    ranks = {(1, 2): (5, 9), (9, 3): (1, 8), (8, 1): (2, 7)}
-    assert B.merge_by_pair_index([[1, 2, 3, 1, 2], [1, 2], []], ranks) == [[7, 2], [9], []]
+    merges = [(90, 91, 92), (9, 3, 8), (8, 1, 7), (93, 94, 95), (96, 97, 98), (1, 2, 9)]
+    ranks = {B.pair_code(a, b): rank for rank, (a, b, _) in enumerate(merges)}
+    assert B.merge_by_pair_index([[1, 2, 3, 1, 2], [1, 2], []], ranks, merges) == [[7, 2], [9], []]
 
 
 def test_forgetting_changes_nothing(monkeypatch):
