@@ -64,7 +64,7 @@ class Ftrl:
     """FTRL-proximal state; coordinate 2 ** bits is the intercept, which has no L1."""
 
     def __init__(self, bits: int = BITS):
-        self.z, self.n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)
+        self.bits, self.z, self.n = bits, np.zeros(2**bits + 1), np.zeros(2**bits + 1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -80,6 +80,17 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def pack_coordinates(at: np.ndarray, bits: int) -> bytes:
+    """Ascending coordinates in two bytes each: how many there are for every value of the higher bits, and the lower 16 bits."""
+    return np.bincount(at >> 16, minlength=2 ** max(0, bits - 16)).astype("<u4").tobytes() + (at & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpack_coordinates(packed: bytes, bits: int) -> np.ndarray:
+    high = 2 ** max(0, bits - 16)
+    counts = np.frombuffer(packed, "<u4", high)
+    return (np.repeat(np.arange(high), counts) << 16) | np.frombuffer(packed, "<u2", offset=4 * high)
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     """``id, toxic, text`` of at most ``limit`` labelled ids that may be learnt from, those of least hash, one row each.
 
@@ -93,10 +104,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
     return rows.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"), F.min("text").alias("text"))
 
 
-def learn_part(state: Ftrl, at: list[np.ndarray], toxic: np.ndarray, turn: int, part: int) -> None:
+def learn_part(state: Ftrl, packed: list, toxic: np.ndarray, turn: int, part: int) -> None:
     """One pass over a part's rows, in an order that pass and part determine."""
-    for k in np.random.default_rng([turn, part]).permutation(len(at)):
-        state.learn(at[k], int(toxic[k] > 0))
+    for k in np.random.default_rng([turn, part]).permutation(len(packed)):
+        state.learn(unpack_coordinates(packed[k], state.bits), int(toxic[k] > 0))
 
 
 def _mean(slices: pd.Series) -> bytes:
@@ -122,13 +133,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, passes: int =
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b.key, "turn": b.turn, "toxic": b.toxic, "at": [coordinates(t, bits).astype("<i4").tobytes() for t in b.text]})
+            yield pd.DataFrame({"key": b.key, "turn": b.turn, "toxic": b.toxic, "at": [pack_coordinates(coordinates(t, bits), bits) for t in b.text]})
         _hashes.clear()
         release_memory()
 
     rows = labelled_rows(docs, labels, limit).select(F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(2)).alias("turn"), "toxic", "text")
     rows = materialise(rows.mapInPandas(hashed, "key long, turn long, toxic int, at binary"), "tox-rows")
-    parts = max(PARTS, -(-(rows.agg(F.coalesce(F.sum(F.length("at")), F.lit(0))).first()[0] // 4) // PART))
+    parts = max(PARTS, -(-(rows.agg(F.coalesce(F.sum(F.length("at")), F.lit(0))).first()[0] // 2) // PART))
 
     def pack(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["turn", "key"])
@@ -149,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, passes: int =
             for part in (r for b in batches for r in b.itertuples()):
                 state = Ftrl(bits)
                 state.z[:], state.n[:] = sent.value
-                ends = np.cumsum(np.frombuffer(part.sizes, "<i8")) // 4
-                learn_part(state, np.split(np.frombuffer(part.at, "<i4").astype(np.int64), ends[:-1]), np.frombuffer(part.toxic, "<i4"), p, part.part)
+                ends, at = np.cumsum(np.frombuffer(part.sizes, "<i8")).tolist(), memoryview(part.at)
+                learn_part(state, [at[i:j] for i, j in zip([0, *ends], ends, strict=False)], np.frombuffer(part.toxic, "<i4"), p, part.part)
                 cuts = range(0, 2**bits + 1, STATE)
                 yield pd.DataFrame({"slice": range(len(cuts)), "part": part.part, "z": [state.z[i : i + STATE].astype("<f4").tobytes() for i in cuts], "n": [state.n[i : i + STATE].astype("<f4").tobytes() for i in cuts]})
             release_memory()

@@ -120,6 +120,13 @@ def test_repeated_ids_count_once(spark):
     assert T.labelled_rows(frame, known, 50).count() == 50
 
 
+def test_packed_coordinates_come_back():
+    for bits in (4, 16, 19):
+        at = np.unique(np.random.default_rng(bits).integers(0, 2**bits, 300))
+        assert np.array_equal(T.unpack_coordinates(T.pack_coordinates(at, bits), bits), at)
+    assert len(T.unpack_coordinates(T.pack_coordinates(np.zeros(0, np.int64), 19), 19)) == 0
+
+
 def test_coordinates_by_definition(monkeypatch):
     text = "A b, c b a É-é c " * 5
     want = T.coordinates(text)
