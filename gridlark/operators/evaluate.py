@@ -148,7 +148,7 @@ def dm_test(long: DataFrame, max_lag: int) -> DataFrame:
     """Diebold-Mariano statistic of model against naive forecast on squared errors, lags within series only.
 
     Autocovariances up to ``min(max(h-1, 1), n/4, max_lag)`` are means over their own pairs; the variance has a
-    floor, and the statistic the small-sample factor. All lags come from one window and one aggregation.
+    floor, and the statistic the small-sample factor. ``p_one``: that the model isn't better. All lags come from one window and one aggregation.
     """
     w = Window.partitionBy("horizon", "model", "container_id").orderBy("time_stamp")
     d = long.withColumn("d", (y_true() - y_pred()) * (y_true() - y_pred()) - (y_true() - y_naive()) * (y_true() - y_naive()))
@@ -163,18 +163,18 @@ def dm_test(long: DataFrame, max_lag: int) -> DataFrame:
         v = v + F.when(lags >= k, 2 * F.coalesce(F.col(f"g{k}"), F.lit(0.0))).otherwise(0.0)
     hln = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
     stat = F.col("mean_d") / F.sqrt(F.greatest(v / n, F.lit(1e-12))) * hln
-    return got.withColumn("dm", F.when(n >= 3, stat)).withColumn("p_two", 2 * (1 - normal_cdf(F.abs("dm")))).select("horizon", "model", "n", "dm", "p_two")
+    return got.withColumn("dm", F.when(n >= 3, stat)).withColumn("p_two", 2 * (1 - normal_cdf(F.abs("dm")))).select("horizon", "model", "n", "dm", "p_two", normal_cdf(F.col("dm")).alias("p_one"), F.when(n < 3, "too_few_points").alias("note"))
 
 
 def dm_matrix(wide: DataFrame, models: list[str], least: int = 30) -> DataFrame:
-    """All pairs on absolute errors without lags, with Holm's correction within each horizon."""
+    """All pairs on absolute errors without lags, with the small-sample factor of one step and Holm's correction within each horizon."""
     aggs = [F.count("*").alias("n")]
     for a, b in pairs(models):
         d = F.abs(F.col(a) - y_true()) - F.abs(F.col(b) - y_true())
         aggs += [F.avg(d).alias(f"m*{a}*{b}"), F.var_pop(d).alias(f"v*{a}*{b}")]
     got = wide.groupBy("horizon").agg(*aggs).filter(F.col("n") >= least)
     each = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"`m*{a}*{b}`").alias("m"), F.col(f"`v*{a}*{b}`").alias("v")) for a, b in pairs(models)])
-    got = got.withColumn("c", F.explode(each)).select("horizon", "n", "c.*").withColumn("dm", F.when(F.col("v") > 0, F.col("m") / F.sqrt(F.nullif("v", F.lit(0.0)) / F.col("n"))))
+    got = got.withColumn("c", F.explode(each)).select("horizon", "n", "c.*").withColumn("dm", F.when(F.col("v") > 0, F.col("m") / F.sqrt(F.nullif("v", F.lit(0.0)) / F.col("n")) * F.sqrt((F.col("n") - 1) / F.col("n"))))
     got = got.withColumn("p", 2 * (1 - normal_cdf(F.abs("dm"))))
     w = Window.partitionBy("horizon").orderBy(F.asc_nulls_last("p"), "model_a", "model_b")
     got = got.withColumn("scaled", (F.count("p").over(Window.partitionBy("horizon")) - F.row_number().over(w) + 1) * F.col("p"))
@@ -275,23 +275,29 @@ def asymmetric_cost(long: DataFrame, ratios: tuple[int, ...] = (1, 2, 3, 5, 10),
 
 
 def scaling_policy_sweep(panel: DataFrame, metric: str, targets=(0.5, 0.6, 0.7, 0.8), margins=(1.0, 1.2, 1.4, 1.6), lags=(1, 2, 3, 4), request: float = 0.5) -> DataFrame:
-    """Violation, waste and severity of a memoryless scaling rule for each target use, margin and reaction lag."""
+    """Violation, waste and severity of a memoryless scaling rule for each target use, margin and reaction lag.
+
+    Waste is unused capacity over capacity, severity demand above capacity over demand, each a ratio of sums over all
+    rows. A row comes once for each lag and target; the margins are sums of the same aggregation.
+    """
     w = Window.partitionBy("container_id").orderBy("time_stamp")
-    rows = panel.withColumns({f"d{k}": F.lag(metric, k).over(w) / 100 for k in lags}).withColumn("demand", F.col(metric) / 100)
-    rows = rows.withColumn("l", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"d{k}").alias("seen")) for k in lags]))).select("demand", "l.lag", "l.seen").dropna()
-    rows = rows.withColumn("target", F.explode(F.array(*map(F.lit, targets)))).withColumn("margin", F.explode(F.array(*map(F.lit, margins))))
-    replicas = F.greatest(F.lit(1), F.least(F.lit(100), F.ceil(F.round(F.col("seen") * F.col("margin") / (request * F.col("target")), 9))))
-    rows = rows.withColumn("capacity", replicas * request)
-    short = F.col("demand") > F.col("capacity")
-    got = rows.groupBy("target", "margin", "lag").agg(F.avg(short.cast("double")).alias("violation"), F.avg(F.greatest(F.col("capacity") - F.col("demand"), F.lit(0.0)) / F.col("capacity")).alias("waste"), F.avg(F.when(short, F.col("demand") - F.col("capacity"))).alias("severity"))
+    rows = panel.select((F.col(metric) / 100).alias("demand"), *[(F.lag(metric, k).over(w) / 100).alias(f"d{k}") for k in lags])
+    each = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"d{k}").alias("seen")) for k in lags])
+    rows = rows.select("demand", F.explode(each).alias("l")).select("demand", "l.lag", "l.seen").dropna().withColumn("target", F.explode(F.array(*map(F.lit, targets))))
+    demand, sums, cells = F.col("demand"), [F.sum("demand").alias("demand")], []
+    for j, m in enumerate(margins):
+        capacity = F.greatest(F.lit(1), F.least(F.lit(100), F.ceil(F.round(F.col("seen") * m / (request * F.col("target")), 9)))) * request
+        sums += [F.avg((demand > capacity).cast("double")).alias(f"v{j}"), F.sum(F.greatest(capacity - demand, F.lit(0.0))).alias(f"w{j}"), F.sum(capacity).alias(f"c{j}"), F.sum(F.greatest(demand - capacity, F.lit(0.0))).alias(f"s{j}")]
+        cells.append(F.struct(F.lit(m).alias("margin"), F.col(f"v{j}").alias("violation"), ratio(F.col(f"w{j}"), F.col(f"c{j}")).alias("waste"), ratio(F.col(f"s{j}"), F.col("demand")).alias("severity")))
+    got = rows.groupBy("target", "lag").agg(*sums).select("target", "lag", F.explode(F.array(*cells)).alias("c")).select("target", "c.margin", "lag", "c.violation", "c.waste", "c.severity")
     return got.withColumn("cost_per_hour", 0.05 * F.col("waste") + 0.5 * F.col("violation"))
 
 
 def pareto_front(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Distinct points whose ``y`` is below that of all with smaller ``x``."""
     w = Window.partitionBy(*by).orderBy(x, y).rowsBetween(Window.unboundedPreceding, -1)
-    got = points.dropDuplicates([*by, x, y]).withColumn("__low", F.min(y).over(w))
-    return got.filter(F.col("__low").isNull() | (F.col(y) < F.col("__low"))).drop("__low")
+    got = points.dropDuplicates([*by, x, y]).select(F.struct("*").alias("row"), F.min(y).over(w).alias("low"), F.col(y).alias("y"))
+    return got.filter("low is null or y < low").select("row.*")
 
 
 def quantile_forecast_check(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -171,7 +171,7 @@ def vm_features(panel: DataFrame, horizon: int, per_day: int = 288) -> DataFrame
 def latest_feature_row(frame: DataFrame) -> DataFrame:
     """The newest row of each series that has a current value."""
     newest = F.row_number().over(Window.partitionBy("container_id").orderBy(F.desc("time_stamp")))
-    return frame.filter(f"{CPU} is not null").withColumn("__n", newest).filter("__n = 1").drop("__n")
+    return frame.filter(f"{CPU} is not null").select(F.struct("*").alias("row"), newest.alias("number")).filter("number = 1").select("row.*")
 
 
 def rolling_origins(panel: DataFrame, horizons: tuple[int, ...], k: int = 20, min_context: int = 24, rule: str = "a") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, insort
 from collections import deque
 
@@ -51,16 +50,24 @@ def to_absolute(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lower", F.col("y_naive") + F.col("lower")).withColumn("upper", F.col("y_naive") + F.col("upper"))
 
 
-def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2, buffer: int = 2000) -> tuple[int, int, float, float]:
+def quantile(ordered: list[float], level: float) -> float:
+    """Linearly interpolated quantile of ascending values."""
+    at = (len(ordered) - 1) * min(1.0, max(0.0, level))
+    low = int(at)
+    return ordered[low] + (at - low) * (ordered[min(low + 1, len(ordered) - 1)] - ordered[low])
+
+
+def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2, buffer: int = 2000, warm: int = 0) -> tuple[int, int, float, float]:
     """Adaptive conformal intervals over one ordered series: steps, misses, width added up, last alpha.
 
-    At each step the half-width is the quantile of the last ``buffer`` absolute residuals at ``1 - alpha_t``, the
-    smallest of rank ``ceil((1 - alpha_t) n)``; then ``alpha_t`` moves by ``gamma`` times the target less the miss.
+    The first ``warm`` absolute residuals only fill the buffer. Then at each step the half-width is the interpolated
+    quantile of the last ``buffer`` ones at ``1 - alpha_t``, and ``alpha_t`` moves by ``gamma`` times the target less
+    the miss.
     """
     a, ordered, recent, n, misses, width = alpha, [], deque(), 0, 0, 0.0
-    for e in np.abs(y - p).tolist():
-        if ordered:
-            q = ordered[max(1, min(len(ordered), math.ceil(round((1 - a) * len(ordered), 9)))) - 1]
+    for k, e in enumerate(np.abs(y - p).tolist()):
+        if ordered and k >= warm:
+            q = quantile(ordered, 1 - a)
             miss = e > q
             n, misses, width = n + 1, misses + miss, width + 2 * q
             a = min(0.99, max(0.01, a + gamma * (alpha - miss)))
@@ -71,14 +78,17 @@ def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2
     return n, misses, width, a
 
 
-def adaptive_conformal(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), alpha: float = 0.2, buffer: int = 2000) -> DataFrame:
-    """Coverage and mean width of each series' adaptive intervals for each step size; a series on its grid is the unit of work."""
+def adaptive_conformal(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), alpha: float = 0.2, buffer: int = 2000, calibration: float = 0.5) -> DataFrame:
+    """Coverage and mean width of each series' adaptive intervals for each step size; a series on its grid is the unit of work.
+
+    The first ``calibration`` share of a series' residuals stands in for those of a validation split.
+    """
 
     def fold(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("time_stamp")
         out = []
         for g in gammas:
-            n, misses, width, last = adaptive_fold(b.y_true.to_numpy(float), b.y_pred.to_numpy(float), g, alpha, buffer)
+            n, misses, width, last = adaptive_fold(b.y_true.to_numpy(float), b.y_pred.to_numpy(float), g, alpha, buffer, int(calibration * len(b)))
             if n:
                 out.append((*key, g, n, 1 - misses / n, width / n, last))
         return pd.DataFrame(out, columns=["horizon", "model", "container_id", "gamma", "n", "coverage", "width", "last_alpha"])

@@ -16,16 +16,20 @@ def by_time():
 def asof_resample(panel: DataFrame, step_s: int = 300, metrics: tuple[str, ...] = (CPU, MEM), min_raw: int = 10, min_grid: int = 50) -> DataFrame:
     """Each series on a grid from its first to its last time; every metric is its own last value at or before the point.
 
-    Grid points join the raw rows in one union, and the last value carries forward in one window: no range join, one
-    shuffle by series. Series with few raw rows or grid points are left out.
+    One window by series carries the last values forward and tells each raw row the time of the next one; a row then
+    yields the grid points from its own time to before the next: no join, one shuffle, one sort. Series with few raw
+    rows or grid points are left out.
     """
-    bounds = panel.groupBy("container_id").agg(F.min("time_stamp").alias("lo"), F.max("time_stamp").alias("hi"), F.count("*").alias("n"))
-    bounds = bounds.filter((F.col("n") >= min_raw) & (F.floor((F.col("hi") - F.col("lo")) / step_s) + 1 >= min_grid))
-    grid = bounds.select("container_id", F.explode(F.sequence("lo", "hi", F.lit(step_s).cast("long"))).alias("time_stamp"), F.lit(1).alias("on_grid"), *[F.lit(None).cast("double").alias(m) for m in metrics])
-    raw = panel.select("container_id", "time_stamp", F.lit(0).alias("on_grid"), *metrics).join(bounds, "container_id", "left_semi")
-    sofar = Window.partitionBy("container_id").orderBy("time_stamp", "on_grid").rowsBetween(Window.unboundedPreceding, 0)
-    filled = raw.unionByName(grid).select("container_id", "time_stamp", "on_grid", *[F.last(m, ignorenulls=True).over(sofar).alias(m) for m in metrics])
-    return filled.filter("on_grid = 1").select("container_id", "time_stamp", *metrics)
+    w = by_time()
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lo, hi, at = F.min("time_stamp").over(whole), F.max("time_stamp").over(whole), F.col("time_stamp")
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = panel.select("container_id", "time_stamp", *[F.last(m, ignorenulls=True).over(sofar).alias(m) for m in metrics], lo.alias("lo"), hi.alias("hi"), F.count("*").over(whole).alias("n"), F.lead("time_stamp").over(w).alias("next"))
+    rows = rows.filter((F.col("n") >= min_raw) & (F.floor((F.col("hi") - F.col("lo")) / step_s) + 1 >= min_grid))
+    first = F.ceil((at - F.col("lo")) / step_s)
+    last = F.coalesce(F.ceil((F.col("next") - F.col("lo")) / step_s) - 1, F.floor((F.col("hi") - F.col("lo")) / step_s))
+    points = rows.filter(first <= last).select("container_id", "lo", *metrics, F.explode(F.sequence(first, last)).alias("k"))
+    return points.select("container_id", (F.col("lo") + F.col("k") * step_s).alias("time_stamp"), *metrics)
 
 
 def clip_metrics(panel: DataFrame, metrics: tuple[str, ...] = (CPU, MEM)) -> DataFrame:

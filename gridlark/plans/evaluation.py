@@ -174,13 +174,13 @@ ds AS (SELECT *, g0 + {' + '.join(f'CASE WHEN least(greatest(horizon - 1, 1), n
 dr AS (SELECT horizon, model, n, mean_d / sqrt(greatest(v / n, 1e-12)) * sqrt((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n) AS dm FROM ds)"""
 
 
-@query("dm_test", sql(LONG + _DM, f"SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('dm', 'dm', 6)}, {r(f'2 * (1 - {phi("abs(dm)")})', 'p_two', 6)} FROM dr"))
+@query("dm_test", sql(LONG + _DM, f"SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('dm', 'dm', 6)}, {r(f'2 * (1 - {phi("abs(dm)")})', 'p_two', 6)}, {r(phi('dm'), 'p_one', 6)}, CASE WHEN n < 3 THEN 'too_few_points' END AS note FROM dr"))
 def dm_test(spark, sf_dir):
     return rounded(ev.dm_test(_models(spark, sf_dir), _MAXLAG))
 
 
 _DMP = " UNION ALL ".join(f"SELECT horizon, count(*) AS n, '{a}' AS model_a, '{b}' AS model_b, avg(abs({a} - y_true) - abs({b} - y_true)) AS m, var_pop(abs({a} - y_true) - abs({b} - y_true)) AS v FROM wide GROUP BY 1" for a, b in _PAIRS)
-_DMM = f""", q AS ({_DMP}), d AS (SELECT *, CASE WHEN v > 0 THEN m / sqrt(v / n) END AS dm FROM q WHERE n >= 30), p AS (SELECT *, 2 * (1 - {phi('abs(dm)')}) AS p FROM d),
+_DMM = f""", q AS ({_DMP}), d AS (SELECT *, CASE WHEN v > 0 THEN m / sqrt(v / n) * sqrt((n - 1) / n) END AS dm FROM q WHERE n >= 30), p AS (SELECT *, 2 * (1 - {phi('abs(dm)')}) AS p FROM d),
 k AS (SELECT *, (count(p) OVER (PARTITION BY horizon) - row_number() OVER (PARTITION BY horizon ORDER BY p NULLS LAST, model_a, model_b) + 1) * p AS scaled FROM p)"""
 
 
@@ -265,7 +265,7 @@ def asymmetric_cost(spark, sf_dir):
 _SWEEP = f""", sl AS (SELECT cpu / 100 AS demand, {', '.join(f'lag(cpu, {k}) OVER (PARTITION BY container_id ORDER BY time_stamp) / 100 AS d{k}' for k in (1, 2, 3, 4))} FROM grid),
 sx AS ({' UNION ALL '.join(f'SELECT demand, {k} AS lag, d{k} AS seen FROM sl WHERE d{k} IS NOT NULL' for k in (1, 2, 3, 4))}),
 sc AS (SELECT demand, lag, target, margin, greatest(1, least(100, ceil(round(seen * margin / (0.5::DOUBLE * target), 9)))) * 0.5::DOUBLE AS capacity FROM sx, (VALUES (0.5::DOUBLE), (0.6), (0.7), (0.8)) AS t(target), (VALUES (1.0::DOUBLE), (1.2), (1.4), (1.6)) AS m(margin)),
-sw AS (SELECT target, margin, lag::BIGINT AS lag, avg((demand > capacity)::INT) AS violation, avg(greatest(capacity - demand, 0) / capacity) AS waste, avg(CASE WHEN demand > capacity THEN demand - capacity END) AS severity FROM sc GROUP BY ALL)"""
+sw AS (SELECT target, margin, lag::BIGINT AS lag, avg((demand > capacity)::INT) AS violation, sum(greatest(capacity - demand, 0)) / sum(capacity) AS waste, sum(greatest(demand - capacity, 0)) / sum(demand) AS severity FROM sc GROUP BY ALL)"""
 
 
 @query("scaling_policy_sweep", sql(GRID + _SWEEP, f"SELECT target, margin, lag, {r('violation', 'violation', D)}, {r('waste', 'waste', D)}, {r('severity', 'severity', D)}, {r('0.05 * waste + 0.5 * violation', 'cost_per_hour', D)} FROM sw"))

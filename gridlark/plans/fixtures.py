@@ -31,7 +31,8 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof_resample(panel(spark, sf_dir), STEP)
+    # by series from the start: the deduplication and the resampling share one shuffle
+    return asof_resample(dedup_panel(events_panel(spark, sf_dir).repartition("container_id"), "event_id"), STEP)
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,9 @@ def vm_panel(raw: DataFrame, unit: str = "s", min_rows: int = 300) -> DataFrame:
 
 def dedup_panel(df: DataFrame, tie: str) -> DataFrame:
     """One row for each series and time: the one with the smallest ``tie``."""
-    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy(tie))
-    return df.withColumn("__n", first).filter("__n = 1").drop("__n")
+    number = F.row_number().over(Window.partitionBy(*KEYS).orderBy(tie))
+    name = next(n for k in range(len(df.columns) + 1) if (n := f"number_{k}") not in {c.lower() for c in df.columns})
+    return df.withColumn(name, number).filter(F.col(name) == 1).drop(name)
 
 
 def hash_part(x: Column, digits: int = 8) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.intervals import quantile
 from ..sources.panel import CPU
 
 
@@ -25,8 +26,6 @@ def stream_adaptive_interval(stream: DataFrame, gamma: float = 0.05, alpha: floa
 
     Rows of a series must come in order of time within a micro-batch or over them; the batch is sorted.
     """
-    import math
-
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         a, last, errors = state.get if state.exists else (alpha, None, [])
         errors = list(errors)
@@ -37,8 +36,7 @@ def stream_adaptive_interval(stream: DataFrame, gamma: float = 0.05, alpha: floa
             if last is not None:
                 e = abs(y - last)
                 if errors:
-                    rank = max(1, min(len(errors), math.ceil(round((1 - a) * len(errors), 9))))
-                    q = ordered[rank - 1]
+                    q = quantile(ordered, 1 - a)
                     miss = int(e > q)
                     out.append((key[0], int(t), float(y), last - q, last + q, miss))
                     a = min(0.99, max(0.01, a + gamma * (alpha - miss)))

@@ -100,11 +100,44 @@ def test_adaptive_fold_against_a_plain_loop():
     a, buf, n, misses, width = 0.2, [], 0, 0, 0.0
     for e in np.abs(y - p):
         if buf:
-            q = sorted(buf)[max(1, min(len(buf), math.ceil(round((1 - a) * len(buf), 9)))) - 1]
+            q = np.quantile(buf, 1 - a)
             n, misses, width = n + 1, misses + (e > q), width + 2 * q
             a = min(0.99, max(0.01, a + 0.05 * (0.2 - (e > q))))
         buf = (buf + [e])[-5:]
     assert intervals.adaptive_fold(y, p, 0.05, buffer=5) == pytest.approx((n, misses, width, a))
+    late = intervals.adaptive_fold(y, p, 0.05, buffer=5, warm=30)
+    assert late[0] == 50 and late == pytest.approx(intervals.adaptive_fold(y[25:], p[25:], 0.05, buffer=5, warm=5))
+
+
+def test_scaling_policy_by_hand(spark):
+    """Demands .5, .2, .9 after .5, .5, .2: at target .5 and margin 1 the rule gives ceil(seen / .25) replicas of .5, so capacities 1, 1, .5."""
+    p = spark.createDataFrame([("a", i, v, 0.0) for i, v in enumerate((50.0, 50.0, 20.0, 90.0))], SCHEMA)
+    r = evaluate.scaling_policy_sweep(p, CPU, (0.5,), (1.0,), (1,)).first()
+    assert (r.violation, r.waste, r.severity) == pytest.approx((1 / 3, (0.5 + 0.8) / 2.5, 0.4 / 1.6))
+    assert r.cost_per_hour == pytest.approx(0.05 * r.waste + 0.5 * r.violation)
+
+
+def test_dm_statistics_by_hand(spark):
+    """Absolute errors 1 and 2 by turns against 3: d is -2, -1, ..., mean -1.5, variance .25; with one step the factor is sqrt((n - 1) / n)."""
+    n = 40
+    data = [("a", i, 1, 0.0, 3.0, 1.0 + i % 2, 3.0) for i in range(n)]
+    w = spark.createDataFrame(data, "container_id string, time_stamp long, horizon int, y_true double, y_naive double, one double, two double")
+    r = evaluate.dm_matrix(w, ["one", "two"]).first()
+    assert r.dm == pytest.approx(-1.5 / math.sqrt(0.25 / n) * math.sqrt((n - 1) / n))
+    d = [(1.0 + i % 2) ** 2 - 9 for i in range(n)]
+    mean = sum(d) / n
+    c = [x - mean for x in d]
+    v = sum(x * x for x in c) / n + 2 * sum(a * b for a, b in zip(c, c[1:], strict=False)) / (n - 1)
+    long = w.select("container_id", "time_stamp", "horizon", "y_true", "y_naive", F.lit("one").alias("model"), F.col("one").alias("y_pred"))
+    got = evaluate.dm_test(long, 1).first()
+    assert got.dm == pytest.approx(mean / math.sqrt(max(v / n, 1e-12)) * math.sqrt((n - 1) / n)) and got.note is None
+    assert got.p_one == pytest.approx(0, abs=1e-6) and evaluate.dm_test(long.limit(2), 1).first().note == "too_few_points"
+
+
+def test_asof_is_one_pass(spark):
+    p = spark.createDataFrame(series([float(i % 7) for i in range(100)]), SCHEMA)
+    plan = prepare.asof_resample(p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_smoothing_against_a_plain_loop(spark):
