@@ -30,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row comes as often as the mix takes it, up to three times; rows without words are not taken."""
+    """Each row comes as often as the mix takes it, up to three times; rows without words are not taken (words can't come near a target through them)."""
     return mixing.mixed_documents(docs)
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can't express the classifier, the fingerprints' closure or the encoder. Tests cover the operators' functions, not the stages or ``run``.
+#: SQL can't express the classifier, the fingerprints' closure or the encoder; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -24,9 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (single-machine tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On one machine (tests) a temporary one will do; a cluster must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridlark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
