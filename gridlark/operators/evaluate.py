@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import average_rank, correlation, mae, normal_cdf, r2, ratio, rmse, skill
 
+QQ_LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 SERIES_BINS = ((0.1, "[0,.1)"), (0.3, "[.1,.3)"), (0.5, "[.3,.5)"), (0.7, "[.5,.7)"))
 
 
@@ -221,6 +225,46 @@ def residual_diagnostics(long: DataFrame, lags: int = 10) -> DataFrame:
     return got.select("horizon", "model", "n", "bias", ratio(F.col("g1"), F.col("g0")).alias("acf1"), (n * (n + 2) * q).alias("ljung_box"))
 
 
+def residual_histogram(long: DataFrame, width: float = 5.0) -> DataFrame:
+    """``horizon, model, bin, n, share``: residuals by bins of equal width; bin 0 begins at 0."""
+    got = long.groupBy("horizon", "model", F.floor((y_true() - y_pred()) / width).alias("bin")).agg(F.count("*").alias("n"))
+    return got.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("horizon", "model")))  # a row for each bin
+
+
+def residual_qq(long: DataFrame, levels: tuple[float, ...] = QQ_LEVELS, digits: int = 3) -> DataFrame:
+    """``horizon, model, level, observed, normal``: quantiles of the residuals beside those of a normal distribution of their mean and deviation.
+
+    Residuals are counted by their value to ``digits`` digits, so that the window runs over distinct values, whose
+    number has a bound for bounded metrics. A quantile is the least value that the level's share of rows doesn't exceed.
+    """
+    w = Window.partitionBy("horizon", "model")
+    counts = long.groupBy("horizon", "model", (F.floor((y_true() - y_pred()) * 10**digits + 0.5) / 10**digits).alias("e")).agg(F.count("*").alias("c"))
+    e, c = F.col("e"), F.col("c")
+    moments = {"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)), "s": F.sum(e * c).over(w), "ss": F.sum(e * e * c).over(w)}
+    rows = counts.withColumns(moments).withColumn("level", F.explode(F.array(*map(F.lit, levels)))).filter(F.col("upto") >= F.col("level") * F.col("n"))
+    got = rows.groupBy("horizon", "model", "level").agg(F.min("e").alias("observed"), *[F.first(x).alias(x) for x in ("n", "s", "ss")])
+    mean = F.col("s") / F.col("n")
+    z = F.element_at(F.map_from_arrays(F.array(*map(F.lit, levels)), F.array(*[F.lit(NormalDist().inv_cdf(p)) for p in levels])), F.col("level"))
+    return got.select("horizon", "model", "level", "observed", (mean + z * F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))).alias("normal"))
+
+
+def condition_numbers(correlations: DataFrame, models: list[str]) -> DataFrame:
+    """``horizon, condition``: largest by least eigenvalue of the models' error correlations (NULL where one is unknown or the matrix is singular).
+
+    One small matrix a horizon is solved on the driver.
+    """
+    out: dict = {}
+    for row in correlations.select("horizon", "model_a", "model_b", "error_corr").collect():
+        m = out.setdefault(row.horizon, np.eye(len(models)))
+        i, j = models.index(row.model_a), models.index(row.model_b)
+        m[i, j] = m[j, i] = np.nan if row.error_corr is None else row.error_corr
+    rows = []
+    for h, m in out.items():
+        v = np.linalg.eigvalsh(m) if np.isfinite(m).all() else np.zeros(1)
+        rows.append((h, float(v[-1] / v[0]) if v[0] > 1e-12 else None))
+    return correlations.sparkSession.createDataFrame(rows, "horizon int, condition double")
+
+
 def rule_auc(scores: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Area under the curve of a score by ranks, ties counting half; NULL with one class only."""
     ranked = scores.withColumn("rank", average_rank(by, F.col(score)))
@@ -301,10 +345,11 @@ def pareto_front(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def quantile_forecast_check(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Coverage of [p10, p90], share of ordered quantiles, means."""
+    """Coverage of [p10, p90], shares of ordered and of finite quantiles, means."""
     inside = y_true().between(F.col("p10"), F.col("p90")).cast("double")
     ordered = ((F.col("p10") < F.col("p50")) & (F.col("p50") < F.col("p90"))).cast("double")
-    return rows.groupBy(*by).agg(F.avg(inside).alias("coverage"), F.avg(ordered).alias("ordered"), F.avg("p50").alias("mean_p50"), F.avg(F.col("p90") - F.col("p10")).alias("width"))
+    finite = F.coalesce((F.abs("p10") < float("inf")) & (F.abs("p50") < float("inf")) & (F.abs("p90") < float("inf")), F.lit(False)).cast("double")
+    return rows.groupBy(*by).agg(F.avg(finite).alias("finite_share"), F.avg(inside).alias("coverage"), F.avg(ordered).alias("ordered"), F.avg("p50").alias("mean_p50"), F.avg(F.col("p90") - F.col("p10")).alias("width"))
 
 
 def variance_reduction(metrics: DataFrame) -> DataFrame:

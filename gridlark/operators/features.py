@@ -139,6 +139,24 @@ def feature_names(horizon: int) -> list[str]:
     return [*names, "cpu_mem_ratio", "cpu_mem_product", "cpu_mem_diff", "saturation", "corr_proxy", "divergence", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "business"]
 
 
+def feature_sets(names: list[str], horizon: int) -> dict[str, list[str]]:
+    """Columns of each learner: ``all`` (forests), ``lags`` and ``rolling`` (two boosted learners that complement each other), ``ablation``.
+
+    ``cluster_id`` is taken where there is one, lags of a metric ``disk`` too; the rolling set has lags up to five steps
+    beyond the newest one, and none of ``disk``.
+    """
+    m = horizon + 1
+    lag = {c: int(c.rpartition("_")[2]) for c in names if "_lag_" in c}
+    cross = {"cpu_mem_ratio", "cpu_mem_product", "cpu_mem_diff", "corr_proxy", "saturation", "divergence"}
+    raw = {"hour", "dow"}
+    per = lambda *kinds: {f"{a}_{k}" for a in METRICS for k in kinds}
+    daily, change = per("same_time_1d", "diff_1d"), per("trend_short", "trend_medium", "trend_long", "accel", "jerk")
+    lags = [c for c in names if lag.get(c, -1) >= m or c in daily | change | {"cluster_id"}]
+    near = {c for c, k in lag.items() if m <= k <= m + 5 and c.startswith(tuple(METRICS))}
+    everything = [c for c in names if c not in cross | raw and lag.get(c, m) >= m]
+    return {"all": everything, "lags": lags, "rolling": [c for c in everything if c in near or c not in set(lag) | change], "ablation": [*everything, *[c for c in names if c in cross]]}
+
+
 def feature_group(name: Column, horizon: int) -> Column:
     """Group of a feature by its name; the first rule that holds."""
     lag = F.regexp_extract(name, r"_lag_(\d+)$", 1)

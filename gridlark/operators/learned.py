@@ -2,37 +2,222 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import mae, r2
-from .features import drop_null_targets
+from ..functions.expressions import mae, r2, ratio
+from .features import drop_null_targets, time_folds
 from .prepare import temporal_split
 from .profile import workload_name
 
 
-def residual_model(frame: DataFrame, features: list[str], kind: str = "ridge", alpha: float = 1.0, rounds: int = 10, depth: int = 4) -> DataFrame:
+def clean(features: list[str]) -> list[Column]:
+    """Features as doubles; NULL and non-finite values become 0."""
+    return [F.coalesce(F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]
+
+
+def residual_rows(frame: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with a target, their split, and cleaned features."""
+    return temporal_split(drop_null_targets(frame)).select("container_id", "time_stamp", "split", "cpu_target", "naive_cpu", "cpu_residual", *clean(features))
+
+
+def residual_model(frame: DataFrame, features: list[str], kind: str = "ridge", alpha: float = 1.0, rounds: int = 30, depth: int = 4, trees: int = 20) -> DataFrame:
     """Fit the CPU residual on the training split, add the naive value back, and score all splits.
 
-    NULL and non-finite features become 0. ``ridge`` standardises; its penalty is ``alpha`` over the number of rows,
-    as MLlib's loss is a mean. ``trees`` are gradient-boosted trees.
+    ``ridge`` standardises; its penalty is ``alpha`` over the number of rows, as MLlib's loss is a mean. ``boosted``
+    trees stop early by the validation split, after ``rounds`` at the latest; ``forest`` is a random forest of
+    ``trees`` trees of twice the depth.
     """
-    clean = [F.coalesce(F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]
-    rows = temporal_split(drop_null_targets(frame)).select("container_id", "time_stamp", "split", "cpu_target", "naive_cpu", "cpu_residual", *clean).persist()  # read by every fitting step; lost parts are computed again
+    rows = residual_rows(frame, features).persist()  # read by every fitting step; lost parts are computed again
     train = rows.filter("split = 'train'")
     if kind == "ridge":
         steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LinearRegression(featuresCol="x", labelCol="cpu_residual", elasticNetParam=0.0, regParam=alpha / max(1, train.count()), standardization=False)]
+    elif kind == "boosted":
+        train = rows.filter("split <> 'test'").withColumn("held", F.col("split") == "val")
+        steps = [VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="cpu_residual", maxIter=rounds, maxDepth=depth, seed=42, validationIndicatorCol="held")]
     else:
-        steps = [VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol="cpu_residual", maxIter=rounds, maxDepth=depth, seed=42)]
+        steps = [VectorAssembler(inputCols=features, outputCol="x"), RandomForestRegressor(featuresCol="x", labelCol="cpu_residual", numTrees=trees, maxDepth=2 * depth, seed=42)]
     scored = Pipeline(stages=steps).fit(train).transform(rows).withColumn("p", F.col("naive_cpu") + F.col("prediction"))
     y, p, n = F.col("cpu_target"), F.col("p"), F.col("naive_cpu")
     return scored.groupBy("split").agg(F.count("*").alias("n"), r2(y, p).alias("r2_model"), r2(y, n).alias("r2_naive"), mae(y, p).alias("mae_model"), mae(y, n).alias("mae_naive"))
 
 
+def product_sums(rows: DataFrame, columns: list[str], by: str) -> dict[str, np.ndarray]:
+    """For each value of the string column ``by``: sums of products of every two of ``1`` and the columns.
+
+    Partitions add up their own rows, so that what is shuffled and what the driver gets depends on the number of
+    columns and of values of ``by``, which are few, and not on the rows. All least squares over subsets of the columns
+    and over unions of the groups follow from these sums.
+    """
+    k = len(columns) + 1
+    i, j = np.triu_indices(k)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, part in b.groupby(by):
+                x = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float)])
+                sums[key] = sums.get(key, 0.0) + x.T @ x
+        for key, s in sums.items():
+            yield pd.DataFrame({"key": key, "i": i, "j": j, "v": s[i, j]})
+
+    got = rows.select(by, *columns).mapInPandas(partial, "key string, i int, j int, v double").groupBy("key", "i", "j").agg(F.sum("v").alias("v"))
+    out: dict[str, np.ndarray] = {}
+    for r in got.toPandas().itertuples():
+        s = out.setdefault(r.key, np.zeros((k, k)))
+        s[r.i, r.j] = s[r.j, r.i] = r.v
+    return out
+
+
+def ridge_weights(sums: np.ndarray, used: list[int], alpha: float = 1.0) -> np.ndarray:
+    """Intercept and weights of a ridge regression of the last column on those ``used`` (counted from 0), standardised; others weigh 0.
+
+    No rows or a constant column give weights of 0.
+    """
+    n, k = sums[0, 0], len(sums) - 2
+    w = np.zeros(k + 1)
+    if n < 2:
+        return w
+    mean = sums[0, 1:] / n
+    c = sums[1:, 1:] - n * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(c)[:k], 0.0) / (n - 1))
+    at = [u for u in used if scale[u] > 1e-9]
+    z = c[np.ix_(at, at)] / np.outer(scale[at], scale[at]) + alpha * np.eye(len(at))
+    w[[u + 1 for u in at]] = np.linalg.solve(z, c[at, k] / scale[at]) / scale[at]
+    w[0] = mean[k] - w[1:] @ mean[:k]
+    return w
+
+
+def variant_scores(rows: DataFrame, features: list[str], label: str, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``variant, n, r2, mae`` of linear models over the same rows, all in one pass; the variants are few."""
+    names, w = list(weights), np.column_stack(list(weights.values()))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y = b[label].to_numpy(float)
+            e = y[:, None] - (w[0] + b[features].to_numpy(float) @ w[1:])
+            yield pd.DataFrame({"variant": names, "n": len(b), "sse": (e * e).sum(axis=0), "sae": np.abs(e).sum(axis=0), "sy": y.sum(), "syy": y @ y})
+
+    got = rows.select(*features, label).mapInPandas(partial, "variant string, n long, sse double, sae double, sy double, syy double").groupBy("variant").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sae", "sy", "syy")])
+    return got.select("variant", "n", (1 - ratio(F.col("sse"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("r2"), (F.col("sae") / F.col("n")).alias("mae"))
+
+
+def group_ablation(frame: DataFrame, groups: dict[str, list[str]], alpha: float = 1.0) -> DataFrame:
+    """Scores on the test split of ridge regressions without each group of features: loss of R² and rise of MAE.
+
+    All models come from one pass over the training rows and are scored in one pass over the test rows.
+    """
+    features = [f for g in groups.values() for f in g]
+    rows = residual_rows(frame, features)
+    sums = product_sums(rows.filter("split = 'train'"), [*features, "cpu_residual"], "split").get("train", np.zeros((len(features) + 2,) * 2))
+    kept = {gone: [i for i, f in enumerate(features) if f not in groups.get(gone, [])] for gone in ("none", *groups)}
+    scores = variant_scores(rows.filter("split = 'test'"), features, "cpu_residual", {gone: ridge_weights(sums, at, alpha) for gone, at in kept.items()})
+    sizes = frame.sparkSession.createDataFrame([(gone, len(at)) for gone, at in kept.items()], "variant string, n_features long")
+    base = scores.filter("variant = 'none'").select(F.col("r2").alias("base_r2"), F.col("mae").alias("base_mae"))
+    got = scores.join(F.broadcast(sizes), "variant").crossJoin(F.broadcast(base))  # a row for each group; one row
+    return got.select(F.col("variant").alias("removed"), "n_features", "n", "r2", "mae", (F.col("base_r2") - F.col("r2")).alias("r2_drop"), (F.col("mae") - F.col("base_mae")).alias("mae_rise"))
+
+
+def permutation_importance(frame: DataFrame, features: list[str], alpha: float = 1.0, repeats: int = 3, buckets: int = 1024) -> DataFrame:
+    """``feature, importance``: the test split's loss of R² when one feature's values are dealt anew among its rows.
+
+    The model is a ridge regression. Rows fall into ``buckets`` by a hash; in a bucket each row takes the values of the
+    next one in an order by another hash (the last those of the first), for each of the repeats. One shuffle; a feature's new error is the
+    old one plus its weight times the change of its value, so that all features share a pass.
+    """
+    rows = residual_rows(frame, features)
+    sums = product_sums(rows.filter("split = 'train'"), [*features, "cpu_residual"], "split").get("train", np.zeros((len(features) + 2,) * 2))
+    w = ridge_weights(sums, list(range(len(features))), alpha)
+    test = rows.filter("split = 'test'").select("container_id", "time_stamp", "cpu_residual", F.array(*features).alias("x"), F.pmod(F.xxhash64("container_id", "time_stamp"), F.lit(buckets)).alias("bucket"))
+    over = [Window.partitionBy("bucket").orderBy(F.xxhash64("container_id", "time_stamp", F.lit(k)), "container_id", "time_stamp") for k in range(1, repeats + 1)]
+    dealt = test.withColumns({f"d{k}": F.coalesce(F.lead("x").over(o), F.first("x").over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) for k, o in enumerate(over)})
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                y, x = b.cpu_residual.to_numpy(float), np.stack(b.x.to_list())
+                e = y - (w[0] + x @ w[1:])
+                changed = sum((((x - np.stack(b[f"d{k}"].to_list())) * w[1:] + e[:, None]) ** 2).sum(axis=0) for k in range(repeats)) / repeats
+                yield pd.DataFrame({"feature": features, "n": len(b), "sse": e @ e, "changed": changed, "sy": y.sum(), "syy": y @ y})
+
+    got = dealt.select("cpu_residual", "x", *[f"d{k}" for k in range(repeats)]).mapInPandas(partial, "feature string, n long, sse double, changed double, sy double, syy double")
+    got = got.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "changed", "sy", "syy")])
+    return got.select("feature", ratio(F.col("changed") - F.col("sse"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")).alias("importance"))
+
+
+def oof_predictions(frame: DataFrame, features: list[str], folds: int = 5, alpha: float = 1.0, least: int = 50) -> DataFrame:
+    """``container_id, time_stamp, fold, y_true, y_naive, y_pred``: each training row forecast by a model that hasn't seen it.
+
+    Folds are blocks of time over the training split: fold k is forecast by the ridge regression of all blocks before
+    it, the first block by that of its own first 80 % (NULL where these are at most ``least`` rows). Test rows have
+    fold -1 and the mean of the folds' models, which for linear models is the model of mean weights. All models come
+    from one pass.
+    """
+    rows = residual_rows(frame, features)
+    train = time_folds(rows.filter("split = 'train'"), folds)
+    lo, hi = train.filter("fold = 0").agg(F.min("time_stamp"), F.max("time_stamp")).first()
+    early = (F.col("fold") == 0) & (F.col("time_stamp") < lo + 0.8 * (hi - lo)) if lo is not None else F.lit(False)
+    blocks = train.withColumn("block", F.when(early, "early").otherwise(F.col("fold").cast("string")))
+    sums = product_sums(blocks, [*features, "cpu_residual"], "block")
+    nothing, every = np.zeros((len(features) + 2,) * 2), list(range(len(features)))
+    seen, weights = sums.get("early", nothing), {}
+    if seen[0, 0] > least:
+        weights[0] = ridge_weights(seen, every, alpha)
+    for k in range(1, folds + 1):
+        seen = seen + sums.get(str(k - 1), nothing)
+        weights[k] = ridge_weights(seen, every, alpha)
+    weights[-1] = np.mean([weights[k] for k in range(1, folds + 1)], axis=0)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.column_stack([np.ones(len(b)), b[features].to_numpy(float)])
+            p = np.full(len(b), np.nan)
+            for k in b.fold.unique():
+                if k in weights:
+                    at = (b.fold == k).to_numpy()
+                    p[at] = b.naive_cpu.to_numpy(float)[at] + x[at] @ weights[k]
+            yield pd.DataFrame({"container_id": b.container_id, "time_stamp": b.time_stamp, "fold": b.fold, "y_true": b.cpu_target, "y_naive": b.naive_cpu, "y_pred": p})
+
+    both = train.unionByName(rows.filter("split = 'test'").withColumn("fold", F.lit(-1)))
+    got = both.mapInPandas(score, "container_id string, time_stamp long, fold int, y_true double, y_naive double, y_pred double")
+    return got.withColumn("y_pred", F.nanvl("y_pred", F.lit(None).cast("double")))
+
+
+def win_classifier(table: DataFrame, features: list[str], label: str = "won", key: str = "container_id") -> DataFrame:
+    """Logistic regression of a 0/1 label on standardised features: accuracy, areas, confusion on the fifth held out by a hash of the key.
+
+    Rows with a NULL, the key included, are left out. ``dominant`` is the feature of the largest absolute weight. Where the rows to learn
+    from or those held out are of one class only, there is nothing to tell apart: areas and ``dominant`` are NULL, and
+    every row is forecast to be of the commoner class learnt from (ties and none: 0).
+    """
+    names = [f"feature_{i}" for i in range(len(features))]
+    held = F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    rows = table.select(held.alias("held"), F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]).dropna().persist()  # a row for each series
+    counts = {(r.held, int(r.label)): r["count"] for r in rows.groupBy("held", "label").count().collect()}  # at most four rows
+    n_train, area, dominant = sum(n for (held, _), n in counts.items() if not held), {}, None
+    if len(counts) == 4:
+        steps = [VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3)]
+        model = Pipeline(stages=steps).fit(rows.filter("not held"))
+        scored = model.transform(rows.filter("held"))
+        area = {m: BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label", metricName=m).evaluate(scored) for m in ("areaUnderROC", "areaUnderPR")}
+        dominant = features[int(np.abs(model.stages[-1].coefficients.toArray()).argmax())]
+    else:
+        scored = rows.filter("held").withColumn("prediction", F.lit(float(counts.get((False, 1), 0) > counts.get((False, 0), 0))))
+    cell = lambda y, p: F.count_if((F.col("label") == y) & (F.col("prediction") == p))
+    got = scored.agg(F.count("*").alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"), cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"))
+    return got.select(F.lit(n_train).alias("n_train"), "*", F.lit(area.get("areaUnderROC")).cast("double").alias("roc_auc"), F.lit(area.get("areaUnderPR")).cast("double").alias("pr_auc"), F.lit(dominant).cast("string").alias("dominant"))
+
+
 def workload_clusters(profiles: DataFrame, k: int = 5) -> DataFrame:
     """K-means over standardised profiles; each cluster's size, centre and name."""
     cols = ["cpu_mean", "cpu_std", "cpu_range", "mem_mean", "mem_std", "mem_range"]

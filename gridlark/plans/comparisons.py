@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import r2 as r2_of
 from ..operators import evaluate as ev
 from ..operators import features as ft
+from ..operators import forecast as fc
 from ..operators import learned
 from ..operators import predictability as pr
 from ..operators import profile
@@ -128,16 +129,53 @@ def verdict(spark, sf_dir):
     return rounded(m.select("horizon", F.when((c > s) & (c > p), "beats both").when(c > p, "beats naive only").otherwise("loses").alias("verdict"), (100 * (c - p)).alias("gap_naive_pp"), (100 * (c - s)).alias("gap_mean6_pp")))
 
 
+def _frame(spark, sf_dir):
+    return ft.feature_frame(grid(spark, sf_dir), 2, PER_DAY)
+
+
 @query("ridge_forecast")
 def ridge_forecast(spark, sf_dir):
     """Scores of a ridge regression of the residual on all features, by split."""
-    return rounded(learned.residual_model(ft.feature_frame(grid(spark, sf_dir), 2, PER_DAY), ft.feature_names(2), "ridge"))
+    return rounded(learned.residual_model(_frame(spark, sf_dir), ft.feature_names(2), "ridge"))
 
 
 @query("tree_forecast")
 def tree_forecast(spark, sf_dir):
-    """Scores of boosted trees on the residual, by split."""
-    return rounded(learned.residual_model(ft.feature_frame(grid(spark, sf_dir), 2, PER_DAY), ft.feature_names(2), "trees"))
+    """Scores of the tree learners on the residual, each with its own features, by split: two boosted ones with early stopping, one forest."""
+    frame, sets = _frame(spark, sf_dir), ft.feature_sets(ft.feature_names(2), 2)
+    parts = [learned.residual_model(frame, sets[s], kind).withColumn("learner", F.lit(f"{kind}_{s}")) for kind, s in (("boosted", "lags"), ("boosted", "rolling"), ("forest", "all"))]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query("oof_predictions")
+def oof_predictions(spark, sf_dir):
+    """Every training row forecast by a model fitted on earlier blocks, test rows by the mean of the models."""
+    return rounded(learned.oof_predictions(_frame(spark, sf_dir), ft.feature_sets(ft.feature_names(2), 2)["all"]))
+
+
+@query("group_ablation")
+def group_ablation(spark, sf_dir):
+    """R² lost and MAE risen on the test split without each group of features."""
+    names = ft.feature_sets(ft.feature_names(2), 2)["ablation"]
+    of = spark.createDataFrame([(n,) for n in names], "f string").select("f", ft.feature_group(F.col("f"), 2).alias("g")).collect()  # one row for each feature
+    groups: dict[str, list[str]] = {}
+    for row in of:
+        groups.setdefault(row.g, []).append(row.f)
+    return rounded(learned.group_ablation(_frame(spark, sf_dir), groups))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf_dir):
+    return rounded(learned.permutation_importance(_frame(spark, sf_dir), ft.feature_sets(ft.feature_names(2), 2)["all"]))
+
+
+@query("win_classifier")
+def win_classifier(spark, sf_dir):
+    """Which series the mean of 24 values forecasts better, twelve steps ahead, than the naive forecast, told from their predictability."""
+    g = grid(spark, sf_dir)
+    won = ev.series_errors(fc.long_forecasts(wide(spark, sf_dir), ("mean24",)).filter("horizon = 12")).select("container_id", "won")
+    table = ft.acf(g, (1, 24)).join(pr.hurst_rs(g, CPU), "container_id", "left").join(pr.spectral_omega(g, CPU), "container_id", "left").join(pr.series_cv(g, CPU), "container_id", "left").join(won, "container_id")
+    return rounded(learned.win_classifier(table, ["acf_24", "hurst", "omega", "acf_1", "cv"]))
 
 
 @query("workload_kmeans")

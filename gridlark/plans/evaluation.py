@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions.expressions import r2 as r2_of
@@ -217,6 +220,28 @@ def residual_diagnostics(spark, sf_dir):
     return rounded(ev.residual_diagnostics(long(spark, sf_dir)), 7, {"ljung_box": 3})
 
 
+@query("residual_histogram", sql(LONG, f", h AS (SELECT horizon, model, floor((y_true - y_pred) / 5)::BIGINT AS bin, count(*)::BIGINT AS n FROM fc GROUP BY ALL) SELECT horizon::BIGINT AS horizon, model, bin, n, {r('n / sum(n) OVER (PARTITION BY horizon, model)', 'share', D)} FROM h"))
+def residual_histogram(spark, sf_dir):
+    return rounded(ev.residual_histogram(long(spark, sf_dir)), D)
+
+
+_QQ = f""", qc AS (SELECT horizon, model, floor((y_true - y_pred) * 1000 + 0.5) / 1000 AS e, count(*) AS c FROM fc GROUP BY ALL),
+qu AS (SELECT horizon, model, e, sum(c) OVER (PARTITION BY horizon, model ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM qc),
+qm AS (SELECT horizon, model, sum(c) AS n, sum(e * c) AS s, sum(e * e * c) AS ss FROM qc GROUP BY ALL),
+ql AS (SELECT * FROM (VALUES {', '.join(f'({p}::DOUBLE, {NormalDist().inv_cdf(p)!r}::DOUBLE)' for p in ev.QQ_LEVELS)}) AS v(level, z))"""
+
+
+@query("residual_qq", sql(LONG + _QQ, f"SELECT horizon::BIGINT AS horizon, model, level, {r('min(e)', 'observed', 3)}, {r('any_value(s / n + z * sqrt(greatest(ss / n - (s / n) * (s / n), 0)))', 'normal', 7)} FROM qu JOIN qm USING (horizon, model), ql WHERE upto >= level * n GROUP BY ALL"))
+def residual_qq(spark, sf_dir):
+    return rounded(ev.residual_qq(long(spark, sf_dir)), 3, {"normal": 7})
+
+
+@query("condition_numbers")
+def condition_numbers(spark, sf_dir):
+    """Condition number of the models' error correlations, for each horizon."""
+    return rounded(ev.condition_numbers(ev.error_correlation(wide(spark, sf_dir), MODELS), MODELS), 3)
+
+
 _ACF24 = ", ac AS (SELECT container_id, covar_samp(x, cpu) / nullif(stddev_samp(CASE WHEN cpu IS NOT NULL THEN x END) * stddev_samp(CASE WHEN x IS NOT NULL THEN cpu END), 0) AS acf FROM (SELECT container_id, cpu, lag(cpu, 24) OVER (PARTITION BY container_id ORDER BY time_stamp) AS x FROM grid) GROUP BY 1)"
 
 
@@ -307,7 +332,7 @@ def split_conformal(spark, sf_dir):
 _QW = "PARTITION BY container_id ORDER BY time_stamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING"
 
 
-@query("quantile_forecast_check", sql(GRID, f", q AS (SELECT container_id, cpu AS y_true, count(cpu) OVER w AS n, quantile_cont(cpu, 0.1) OVER w AS p10, quantile_cont(cpu, 0.5) OVER w AS p50, quantile_cont(cpu, 0.9) OVER w AS p90 FROM grid WINDOW w AS ({_QW})) SELECT container_id, {r('avg((y_true BETWEEN p10 AND p90)::INT)', 'coverage', 3)}, {r('avg((p10 < p50 AND p50 < p90)::INT)', 'ordered', 3)}, {r('avg(p50)', 'mean_p50', 7)}, {r('avg(p90 - p10)', 'width', 7)} FROM q WHERE n = 24 GROUP BY 1"))
+@query("quantile_forecast_check", sql(GRID, f", q AS (SELECT container_id, cpu AS y_true, count(cpu) OVER w AS n, quantile_cont(cpu, 0.1) OVER w AS p10, quantile_cont(cpu, 0.5) OVER w AS p50, quantile_cont(cpu, 0.9) OVER w AS p90 FROM grid WINDOW w AS ({_QW})) SELECT container_id, {r('avg((y_true BETWEEN p10 AND p90)::INT)', 'coverage', 3)}, {r('avg((p10 < p50 AND p50 < p90)::INT)', 'ordered', 3)}, {r('avg(coalesce(isfinite(p10) AND isfinite(p50) AND isfinite(p90), false)::INT)', 'finite_share', 3)}, {r('avg(p50)', 'mean_p50', 7)}, {r('avg(p90 - p10)', 'width', 7)} FROM q WHERE n = 24 GROUP BY 1"))
 def quantile_forecast_check(spark, sf_dir):
     """Rolling quantiles of the last 24 values as a quantile forecast of the next."""
     from pyspark.sql import Window
@@ -316,22 +341,66 @@ def quantile_forecast_check(spark, sf_dir):
     q = grid(spark, sf_dir).select("container_id", F.col(CPU).alias("y_true"), F.count(CPU).over(w).alias("n"), F.array_sort(F.collect_list(CPU).over(w)).alias("v")).filter("n = 24")
     at = lambda p: F.element_at("v", int(23 * p) + 1) + (23 * p - int(23 * p)) * (F.element_at("v", int(23 * p) + 2) - F.element_at("v", int(23 * p) + 1))
     q = q.withColumns({"p10": at(0.1), "p50": at(0.5), "p90": at(0.9)})
-    return rounded(ev.quantile_forecast_check(q, ["container_id"]), 7, {"coverage": 3, "ordered": 3})
+    return rounded(ev.quantile_forecast_check(q, ["container_id"]), 7, {"coverage": 3, "ordered": 3, "finite_share": 3})
+
+
+_THREE = ("seasonal", "mean6", "mean24")
+
+
+def _solved(support: tuple[str, ...]) -> list[str]:
+    """Least-squares weights of up to three models by Cramer's rule, in the order of _THREE (0 for models left out)."""
+    xx = lambda a, b: f"x_{min(a, b)}_{max(a, b)}"
+    y = [f"y_{m}" for m in support]
+    rows = [[xx(a, b) for b in support] for a in support]
 
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " + ".join(f"{'' if j % 2 == 0 else '-1 * '}{m[0][j]} * {det([row[:j] + row[j + 1 :] for row in m[1:]])}" for j in range(len(m))) + ")"
 
-@query("nnls_combine")
+    w = {m: f"{det([[y[i] if c == j else rows[i][c] for c in range(len(support))] for i in range(len(support))])} / nullif({det(rows)}, 0)" for j, m in enumerate(support)}
+    return [w.get(m, "0.0::DOUBLE") for m in _THREE]
+
+
+_RES = ", ".join(f"{m} - y_naive AS d_{m}" for m in _THREE)
+_SUMS = ", ".join([f"sum(d_{a} * d_{b}) AS x_{min(a, b)}_{max(a, b)}" for i, a in enumerate(_THREE) for b in _THREE[i:]] + [f"sum(d_{m} * d_y) AS y_{m}" for m in _THREE])
+_SUPPORTS = [s for k in (1, 2, 3) for s in combinations(_THREE, k)]
+_NNLS = WIDE + f""", gs AS (SELECT horizon, {_SUMS} FROM (SELECT horizon, {_RES}, y_true - y_naive AS d_y FROM wide) GROUP BY 1),
+cand AS ({" UNION ALL ".join(f"SELECT horizon, [{', '.join(repr(m) for m in s)}] AS support, {', '.join(f'{w} AS w_{m}' for m, w in zip(_THREE, _solved(s), strict=True))}, {', '.join(f'y_{m}' for m in _THREE)} FROM gs" for s in _SUPPORTS)}),
+good AS (SELECT *, {' + '.join(f'w_{m} * y_{m}' for m in _THREE)} AS gain FROM cand WHERE {' AND '.join(f'w_{m} >= 0' for m in _THREE)}),
+best AS (SELECT horizon, left_out, coalesce(arg_max([{', '.join(f'w_{m}' for m in _THREE)}], gain) FILTER (gain > 1e-12), [0.0, 0.0, 0.0]) AS w FROM good, (VALUES ('none'), {', '.join(f'({m!r})' for m in _THREE)}) AS g(left_out) WHERE NOT list_contains(support, left_out) GROUP BY ALL),
+nw AS (SELECT horizon, left_out, m.model AS model, CASE WHEN list_sum(w) > 1e-8 THEN w[m.k] / list_sum(w) ELSE CASE WHEN left_out = 'none' THEN 1 / 3.0::DOUBLE ELSE 0.5::DOUBLE END END AS weight
+  FROM best, (VALUES {', '.join(f'({m!r}, {k + 1})' for k, m in enumerate(_THREE))}) AS m(model, k) WHERE m.model <> left_out)"""
+
+
+@query("nnls_combine", f"WITH {_NNLS} SELECT horizon::BIGINT AS horizon, left_out, model, {r('weight', 'weight')} FROM nw WHERE left_out = 'none'")
 def nnls_combine(spark, sf_dir):
     """Non-negative weights of three models in residual space, for each horizon."""
-    return rounded(fc.nnls_weights(wide(spark, sf_dir), ("seasonal", "mean6", "mean24"), ["horizon"]))
+    return rounded(fc.nnls_weights(wide(spark, sf_dir), _THREE, ["horizon"]))
+
+
+_LOO = f""", cw AS (SELECT horizon, left_out, {', '.join(f"coalesce(max(weight) FILTER (model = {m!r}), 0) AS w_{m}" for m in _THREE)} FROM nw GROUP BY ALL),
+cp AS (SELECT horizon, left_out, y_true, y_naive + {' + '.join(f'w_{m} * ({m} - y_naive)' for m in _THREE)} AS y_pred FROM wide JOIN cw USING (horizon))"""
 
 
-@query("loo_combine")
+@query("loo_combine", f"WITH {_NNLS}{_LOO} SELECT horizon::BIGINT AS horizon, left_out, {r(r2('y_pred'), 'r2')}, {r('avg(abs(y_true - y_pred))', 'mae')} FROM cp GROUP BY 1, 2")
 def loo_combine(spark, sf_dir):
-    w = fc.nnls_weights(wide(spark, sf_dir), ("seasonal", "mean6", "mean24"), ["horizon"], leave_out=True)
+    w = fc.nnls_weights(wide(spark, sf_dir), _THREE, ["horizon"], leave_out=True)
     got = fc.apply_weights(long(spark, sf_dir), w, ["horizon"])
     return rounded(got.groupBy("horizon", "left_out").agg(r2_of(F.col("y_true"), F.col("y_pred")).alias("r2"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
 
 
+_GAP = ", gap AS (SELECT * FROM fc WHERE NOT (model = 'mean24' AND (time_stamp // 3600) % 3 = 0)), gw AS (SELECT horizon, model, 1 / greatest(avg((y_true - y_pred) * (y_true - y_pred)), 1e-12) AS weight FROM fc GROUP BY 1, 2)"
+
+
+@query("apply_weights", sql(LONG + _GAP, f"SELECT container_id, time_stamp, horizon::BIGINT AS horizon, {r('y_true', 'y_true')}, {r('any_value(y_naive) + coalesce(sum(weight * (y_pred - y_naive)) / nullif(sum(weight), 0), 0)', 'y_pred', 4)} FROM gap JOIN gw USING (horizon, model) GROUP BY container_id, time_stamp, horizon, y_true"))
+def apply_weights(spark, sf_dir):
+    """Combined forecasts where one model is missing in every third hour: there the others' weights are rescaled."""
+    rows = long(spark, sf_dir)
+    some = rows.filter("not (model = 'mean24' and floor(time_stamp / 3600) % 3 = 0)")
+    return rounded(fc.apply_weights(some, fc.bates_granger(rows, ["horizon"]).withColumn("left_out", F.lit("none")), ["horizon"]).select("container_id", "time_stamp", "horizon", "y_true", "y_pred"), 6, {"y_pred": 4})
+
+
 @query("bates_granger", sql(LONG, f", m AS (SELECT horizon, model, 1 / greatest(avg((y_true - y_pred) * (y_true - y_pred)), 1e-12) AS w FROM fc GROUP BY 1, 2) SELECT horizon::BIGINT AS horizon, model, {r('w / sum(w) OVER (PARTITION BY horizon)', 'weight', D)} FROM m"))
 def bates_granger(spark, sf_dir):
     return rounded(fc.bates_granger(long(spark, sf_dir), ["horizon"]), D)
@@ -342,7 +411,12 @@ def best_individual(spark, sf_dir):
     return rounded(fc.best_individual(long(spark, sf_dir), ["horizon"]), D)
 
 
-@query("smoothing_forecast")
+_SES = GRID + """, sv AS (SELECT container_id, cpu, row_number() OVER (PARTITION BY container_id ORDER BY time_stamp) AS k, count(*) OVER (PARTITION BY container_id) AS n FROM grid),
+ses AS (SELECT container_id, a.alpha, cpu AS level, 0.0::DOUBLE AS sse, k, n FROM sv, (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE), (0.9::DOUBLE)) AS a(alpha) WHERE k = 1 AND n >= 48
+  UNION ALL SELECT s.container_id, s.alpha, s.level + s.alpha * (v.cpu - s.level), s.sse + (v.cpu - s.level) * (v.cpu - s.level), v.k, s.n FROM ses s JOIN sv v ON v.container_id = s.container_id AND v.k = s.k + 1)"""
+
+
+@query("smoothing_forecast", f"WITH RECURSIVE {_SES} SELECT container_id, {r('first(alpha ORDER BY sse, alpha)', 'alpha')}, {r('min(sse)', 'sse')}, {r('first(level ORDER BY sse, alpha)', 'forecast')} FROM ses WHERE k = n GROUP BY 1")
 def smoothing_forecast(spark, sf_dir):
     return rounded(fc.smoothing_forecast(ft.series_arrays(grid(spark, sf_dir))))
 
