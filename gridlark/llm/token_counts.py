@@ -125,12 +125,31 @@ def word_starts(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- tokens of a word
+# What a vocabulary file must say for the word rules above and merges by rank to be the library's.
+_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+_ADDED = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def check_vocabulary(spec: dict) -> None:
+    """An error for a vocabulary file that other rules would be needed for, instead of wrong counts."""
+    words, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = [f"pre_tokenizer.{k}" for k, v in _WORDS.items() if words.get(k, v if k == "use_regex" else None) != v]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += ["model.type"] if model.get("type", "BPE") != "BPE" else []
+    wrong += [f"model.{k}" for k in _PLAIN if model.get(k)]
+    wrong += [f"added_tokens.{k}" for t in spec["added_tokens"] for k in _ADDED if t.get(k)]
+    if wrong:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(sorted(set(wrong)))}")
+
+
 class MergeTransducer:
     """Bytes of a word to its number of tokens; transitions are compiled when they are first taken."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_vocabulary(spec)
         self.special = [t["content"] for t in spec["added_tokens"]]
         back = {x: b for b, x in enumerate(byte_letters())}
         raw = {t: bytes(map(back.__getitem__, t)) for t in spec["model"]["vocab"]}
@@ -299,7 +318,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``<id_col>, n_bytes, n_tokens, over_limit`` of every row.
 
     Null and empty texts have no bytes and no tokens. Rows with null or repeated ids come back as they are. An empty
-    table gives an empty result. Other columns are not carried. ``path``: vocabulary file.
+    table gives an empty result. Other columns are not carried. ``path``: vocabulary file; one whose word rules,
+    normalizer or model differ from those compiled here is an error.
     """
     if path is None:
         import public_tokenizers

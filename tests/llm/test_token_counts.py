@@ -1,7 +1,9 @@
+import json
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from gridlark.llm import token_counts as T
 from tokenizers import Tokenizer
 
@@ -59,3 +61,17 @@ def test_rows(spark):
     want = library([r[1] for r in rows])
     assert got == sorted((str(i), len((t or "").encode()), n, n > 1024) for (i, t, _), n in zip(rows, want, strict=True))
     assert T.count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    T.check_vocabulary(spec)
+    changes = [{"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"normalizer": {"type": "NFC"}}, {"model": spec["model"] | {"ignore_merges": True}}, {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}]
+    for k, change in enumerate(changes):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="plain byte-level"):
+            T.TokenCounter(str(path))
+    with pytest.raises(ValueError, match="plain byte-level"):
+        T.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
