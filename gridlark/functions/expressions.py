@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -59,5 +58,39 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1 - upper).otherwise(upper)
 
 
-def span(w: WindowSpec, first: int, last: int) -> WindowSpec:
-    return w.rowsBetween(first, last)
+# Coefficients of a published rational approximation of the normal inverse, highest power first
+# (numerator and denominator of the middle, numerator and denominator of the tails), and where the tails begin.
+INVERSE_MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+INVERSE_TAIL = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+INVERSE_TAIL_FROM = 0.02425
+
+
+def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_inverse(p: Column) -> Column:
+    """Quantile of the standard normal distribution for 0 < p < 1, to about 1e-8."""
+    middle, tail = p - 0.5, F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    inner = polynomial(INVERSE_MIDDLE[0], middle * middle) * middle / polynomial(INVERSE_MIDDLE[1], middle * middle)
+    lower = polynomial(INVERSE_TAIL[0], tail) / polynomial(INVERSE_TAIL[1], tail)
+    return F.when(F.least(p, 1 - p) >= INVERSE_TAIL_FROM, inner).otherwise(F.when(p < 0.5, lower).otherwise(-lower))
+
+
+def poisson_one(u: Column) -> Column:
+    """The Poisson(1) number of a uniform one: how many thresholds of the distribution function it reaches."""
+    count, total, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 7):
+        total += term
+        count = count + (u >= total).cast("int")
+        term /= k
+    return count

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import average_rank, ratio
+from ..functions.expressions import average_rank, normal_cdf, normal_inverse, poisson_one, ratio
 from ..sources.panel import hash_part
 
 
@@ -82,6 +84,53 @@ def permutation_p(cells: DataFrame, by: list[str], score: str, label: str, key:
     return got.select(*by, "n", "pos", auc.alias("auc"), ((F.col("reached") + 1) / (replicates + 1.0)).alias("p"), (F.col("reached") / float(replicates)).alias("p_plain"))
 
 
+def auc_bca(cells: DataFrame, by: list[str], score: str, label: str, key: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """``auc, z0, acceleration, lo, hi``: bias-corrected and accelerated bootstrap interval of a score's AUC.
+
+    A replicate weighs each cell by a Poisson(1) number from an md5 hash of key and replicate; cells of one score are
+    added up before the ranks are formed. The acceleration comes from leaving out one cell at a time, which needs no
+    refit: a positive cell takes its negatives below with it, a negative one its positives above. Cells without a
+    score or label are left out; with one class only all figures are NULL. Replicates with one class are left out.
+    """
+    yes, no = F.col(label), 1 - F.col(label)
+    cells = cells.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    upto = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    each = Window.partitionBy(*by)
+    levels = cells.groupBy(*by, score).agg(F.sum(yes).alias("p"), F.sum(no).alias("q"))
+    levels = levels.withColumns({"below": F.sum("q").over(upto) - F.col("q") / 2, "above": F.sum("p").over(each) - F.sum("p").over(upto) + F.col("p") / 2, "pos": F.sum("p").over(each), "neg": F.sum("q").over(each)})
+    levels = levels.withColumn("u", F.sum(F.col("p") * F.col("below")).over(each))
+    less_p = ratio(F.col("u") - F.col("below"), ((F.col("pos") - 1) * F.col("neg")).cast("double"))
+    less_q = ratio(F.col("u") - F.col("above"), (F.col("pos") * (F.col("neg") - 1)).cast("double"))
+    left = levels.select(*by, "pos", "neg", "u", F.explode(F.array(F.struct(F.col("p").alias("m"), less_p.alias("j")), F.struct(F.col("q").alias("m"), less_q.alias("j")))).alias("x")).select(*by, "pos", "neg", "u", "x.*")
+    weight = F.when(F.col("j").isNotNull(), F.col("m")).otherwise(0)
+    left = left.withColumn("d", ratio(F.sum(F.col("m") * F.col("j")).over(each), F.sum(weight).over(each).cast("double")) - F.col("j"))
+    moment = lambda k: F.coalesce(F.sum(F.col("m") * F.pow("d", F.lit(float(k)))), F.lit(0.0))
+    own = left.groupBy(*by).agg(F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.first("u").alias("u"), moment(2).alias("s2"), moment(3).alias("s3"))
+    auc = ratio(F.col("u"), (F.col("pos") * F.col("neg")).cast("double"))
+    own = own.select(*by, (F.col("pos") + F.col("neg")).alias("n"), "pos", auc.alias("auc"), F.coalesce(ratio(F.col("s3"), 6 * F.pow("s2", F.lit(1.5))), F.lit(0.0)).alias("acceleration"))
+
+    drawn = cells.select(*by, key, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    drawn = drawn.withColumn("c", poisson_one(hash_part(F.concat_ws("/", key, "replicate")) / float(2**32))).filter("c > 0")
+    drawn = drawn.groupBy(*by, "replicate", score).agg(F.sum(F.col("c") * yes).alias("p"), F.sum(F.col("c") * no).alias("q"))
+    below = F.sum("q").over(Window.partitionBy(*by, "replicate").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("q") / 2
+    boot = drawn.withColumn("below", below).groupBy(*by, "replicate").agg(ratio(F.sum(F.col("p") * F.col("below")), (F.sum("p") * F.sum("q")).cast("double")).alias("b")).filter("b is not null")
+    boot = boot.groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("boot"))  # at most one number a replicate
+
+    got = own.join(boot, by, "left").withColumn("auc", F.when(F.col("boot").isNotNull(), F.col("auc")))
+    share = F.size(F.filter("boot", lambda b: b < F.col("auc"))) / F.size("boot")
+    got = got.withColumn("z0", normal_inverse(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))))
+
+    def bound(level: float) -> Column:
+        z = F.col("z0") + NormalDist().inv_cdf(level)
+        at = (F.size("boot") - 1) * normal_cdf(F.col("z0") + z / (1 - F.col("acceleration") * z))
+        low = F.floor(at).cast("int")
+        a, b = F.element_at("boot", low + 1), F.element_at("boot", F.least(low + 2, F.size("boot")))
+        return F.when(F.col("auc").isNotNull(), a + (at - low) * (b - a))
+
+    only = lambda c: F.when(F.col("auc").isNotNull(), F.col(c)).alias(c)
+    return got.select(*by, "n", "pos", "auc", only("z0"), only("acceleration"), bound(alpha / 2).alias("lo"), bound(1 - alpha / 2).alias("hi"))
+
+
 def bootstrap_weights(wide: DataFrame, models: tuple[str, str], by: list[str], replicates: int = 200) -> DataFrame:
     """Weight of the first of two models in their best convex combination over resampled series: mean, deviation, share at zero, extremes.
 
@@ -91,12 +140,7 @@ def bootstrap_weights(wide: DataFrame, models: tuple[str, str], by: list[str], r
     a, b, y = F.col(models[0]), F.col(models[1]), F.col("y_true")
     sums = wide.groupBy(*by, "container_id").agg(F.sum((a - b) * (y - b)).alias("top"), F.sum((a - b) * (a - b)).alias("bottom"))
     drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32)
-    count, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 7):
-        total += term
-        count = count + (u >= total).cast("int")
-        term /= k
+    count = poisson_one(hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32))
     fits = drawn.groupBy(*by, "replicate").agg(F.sum(count * F.col("top")).alias("top"), F.sum(count * F.col("bottom")).alias("bottom"))
     fits = fits.select(*by, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio(F.col("top"), F.col("bottom")), F.lit(0.5)))).alias("w"))
     return fits.groupBy(*by).agg(F.avg("w").alias("mean"), F.stddev_samp("w").alias("std"), F.avg((F.col("w") < 1e-6).cast("double")).alias("zero_share"), F.min("w").alias("least"), F.max("w").alias("most"))

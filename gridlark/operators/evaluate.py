@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import average_rank, correlation, mae, normal_cdf, r2, ratio, rmse, skill
+from ..functions.expressions import average_rank, correlation, mae, normal_cdf, poisson_one, r2, ratio, rmse, skill
 
 QQ_LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 SERIES_BINS = ((0.1, "[0,.1)"), (0.3, "[.1,.3)"), (0.5, "[.3,.5)"), (0.7, "[.5,.7)"))
@@ -293,12 +293,7 @@ def metric_bootstrap(long: DataFrame, replicates: int = 1000) -> DataFrame:
     d = y_true() - y_pred()
     s = long.groupBy(*by, "container_id").agg(F.sum(F.abs(d)).alias("e"), F.sum(d * d).alias("e2"), F.sum(y_true()).alias("y"), F.sum(y_true() * y_true()).alias("y2"), F.count("*").alias("n"))
     r = s.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 7):  # the number of thresholds of the distribution function that u reaches
-        total += term
-        weight = weight + (u >= total).cast("int")
-        term /= k
+    weight = poisson_one(hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32))
     w = F.col("w")
     r = r.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(weight))  # replicate 0 is the data
     r = r.groupBy(*by, "replicate").agg(*[F.sum(w * F.col(c)).cast("double").alias(c) for c in ("e", "e2", "y", "y2", "n")])

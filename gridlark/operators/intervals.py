@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,24 +58,31 @@ def quantile(ordered: list[float], level: float) -> float:
     return ordered[low] + (at - low) * (ordered[min(low + 1, len(ordered) - 1)] - ordered[low])
 
 
-def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2, buffer: int = 2000, warm: int = 0) -> tuple[int, int, float, float]:
-    """Adaptive conformal intervals over one ordered series: steps, misses, width added up, last alpha.
-
-    The first ``warm`` absolute residuals only fill the buffer. Then at each step the half-width is the interpolated
-    quantile of the last ``buffer`` ones at ``1 - alpha_t``, and ``alpha_t`` moves by ``gamma`` times the target less
-    the miss.
-    """
-    a, ordered, recent, n, misses, width = alpha, [], deque(), 0, 0, 0.0
-    for k, e in enumerate(np.abs(y - p).tolist()):
+def adaptive_steps(errors: list[float], gamma: float, alpha: float, buffer: int, warm: int) -> Iterator[tuple[int, float, bool, float]]:
+    """Step, half-width, miss and next alpha of adaptive conformal intervals over one series' absolute residuals."""
+    a, ordered, recent = alpha, [], deque()
+    for k, e in enumerate(errors):
         if ordered and k >= warm:
             q = quantile(ordered, 1 - a)
             miss = e > q
-            n, misses, width = n + 1, misses + miss, width + 2 * q
             a = min(0.99, max(0.01, a + gamma * (alpha - miss)))
+            yield k, q, miss, a
         insort(ordered, e)
         recent.append(e)
         if len(recent) > buffer:
             del ordered[bisect_left(ordered, recent.popleft())]
+
+
+def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2, buffer: int = 2000, warm: int = 0) -> tuple[int, int, float, float]:
+    """Adaptive conformal intervals over one ordered series: steps, misses, width added up, last alpha.
+
+    The first ``warm`` absolute residuals only fill the buffer. Then at each step the half-width is the interpolated
+    quantile of the last ``buffer`` ones at ``1 - alpha_t``, and ``alpha_t`` moves by ``gamma`` times the target less
+    the miss.
+    """
+    a, n, misses, width = alpha, 0, 0, 0.0
+    for _, q, miss, a in adaptive_steps(np.abs(y - p).tolist(), gamma, alpha, buffer, warm):  # noqa: B007
+        n, misses, width = n + 1, misses + miss, width + 2 * q
     return n, misses, width, a
 
 
@@ -105,3 +113,23 @@ def aggregate_experts(adaptive: DataFrame, eta: float = 10.0) -> DataFrame:
     rows = adaptive.withColumn("raw", F.exp(-eta * (miss - best)))
     rows = rows.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(*by)))
     return rows.groupBy("horizon", "model").agg(F.sum(F.col("weight") * F.col("width")).alias("w"), F.sum("weight").alias("s"), F.avg("coverage").alias("mean_coverage")).select("horizon", "model", (F.col("w") / F.col("s")).alias("width"), "mean_coverage")
+
+
+def expert_bounds(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), eta: float = 10.0, alpha: float = 0.2, buffer: int = 2000, calibration: float = 0.5) -> DataFrame:
+    """``lower, upper`` of every step after the calibration share: the step sizes' intervals weighted by ``exp(-eta * miss rate)``.
+
+    Miss rates are those of the same steps (in sample), as in ``aggregate_experts``. A series of one residual gives no rows.
+    """
+
+    def fold(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("time_stamp", kind="stable")
+        errors = (b.y_true - b.y_pred).abs().tolist()
+        runs = [list(adaptive_steps(errors, g, alpha, buffer, int(calibration * len(b)))) for g in gammas]
+        kept = b.iloc[[k for k, *_ in runs[0]]]
+        missed = np.array([np.mean([miss for _, _, miss, _ in run] or [0.0]) for run in runs])
+        weights = np.exp(-eta * (missed - missed.min()))
+        half = weights @ np.array([[q for _, q, _, _ in run] for run in runs]) / weights.sum()
+        return kept.assign(lower=kept.y_pred - half, upper=kept.y_pred + half).drop(columns="y_pred")
+
+    rows = long.select(F.col("horizon").cast("int"), "model", "container_id", "time_stamp", "y_true", "y_pred")
+    return rows.groupBy("horizon", "model", "container_id").applyInPandas(fold, "horizon int, model string, container_id string, time_stamp long, y_true double, lower double, upper double")

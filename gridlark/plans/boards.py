@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expressions import correlation, ratio
+from ..functions.expressions import INVERSE_MIDDLE, INVERSE_TAIL, INVERSE_TAIL_FROM, correlation, ratio
 from ..functions.expressions import r2 as r2_of
 from ..operators import boards as bd
 from ..operators import evaluate as ev
@@ -168,12 +168,16 @@ re AS (SELECT horizon, sum((d >= s)::INT) AS reached FROM su JOIN ow USING (hori
 @query("permutation_p", sql(LONG + _CELLS, f"SELECT horizon::BIGINT AS horizon, n::BIGINT AS n, pos::BIGINT AS pos, {r('(s - pos * (pos + 1) / 2) / nullif((pos * (n - pos))::DOUBLE, 0)', 'auc', D)}, {r('(reached + 1) / 201.0::DOUBLE', 'p', D)}, {r('reached / 200.0::DOUBLE', 'p_plain', D)} FROM ow JOIN re USING (horizon)"))
 def permutation_p(spark, sf_dir):
     """Whether a series' coefficient of variation tells where the daily mean beats persistence, against shuffled labels."""
+    return rounded(bd.permutation_p(_cells(spark, sf_dir), ["horizon"], "cv", "won", "container_id"), D)
+
+
+def _cells(spark, sf_dir):
+    """Each series' coefficient of variation and, for each horizon, whether the daily mean beats persistence on it."""
     from ..sources.panel import CPU
 
     cv = grid(spark, sf_dir).groupBy("container_id").agg(F.round(ratio(F.stddev_samp(CPU), F.avg(CPU)), 9).alias("cv"))
     err = lambda p: F.avg(F.abs(F.col("y_true") - F.col(p)))
-    cells = long(spark, sf_dir).filter("model = 'mean24'").groupBy("horizon", "container_id").agg((err("y_pred") < err("y_naive")).cast("int").alias("won")).join(cv, "container_id")
-    return rounded(bd.permutation_p(cells, ["horizon"], "cv", "won", "container_id"), D)
+    return long(spark, sf_dir).filter("model = 'mean24'").groupBy("horizon", "container_id").agg((err("y_pred") < err("y_naive")).cast("int").alias("won")).join(cv, "container_id")
 
 
 def _thresholds() -> list[float]:
@@ -193,3 +197,41 @@ bf AS (SELECT horizon, greatest(0.0, least(1.0, coalesce(sum(c * top) / nullif(s
 @query("bootstrap_weights", sql(WIDE + _BW, f"SELECT horizon::BIGINT AS horizon, {r('avg(w)', 'mean', 7)}, {r('stddev_samp(w)', 'std', 7)}, {r('avg((w < 1e-6)::INT)', 'zero_share', 7)}, {r('min(w)', 'least', 7)}, {r('max(w)', 'most', 7)} FROM bf GROUP BY 1"))
 def bootstrap_weights(spark, sf_dir):
     return rounded(bd.bootstrap_weights(wide(spark, sf_dir), ("seasonal", "mean24"), ["horizon"]), 7)
+
+
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+_TAILS = f"{_horner(INVERSE_TAIL[0], 't')} / {_horner(INVERSE_TAIL[1], 't')}"
+_PHI = "CASE WHEN {z} >= 0 THEN 1 - {u} ELSE {u} END"
+_UP = "exp(-{z} * {z} / 2) / sqrt(2 * pi()) * (0.31938153 * k - 0.356563782 * pow(k, 2) + 1.781477937 * pow(k, 3) - 1.821255978 * pow(k, 4) + 1.330274429 * pow(k, 5))"
+_BCA = f""", cl AS (SELECT horizon, cv, sum(won) AS p, sum(1 - won) AS q FROM ce GROUP BY 1, 2),
+tot AS (SELECT horizon, sum(won) AS pos, sum(1 - won) AS neg FROM ce GROUP BY 1),
+lv AS (SELECT a.horizon, a.p, a.q, pos, neg, coalesce(sum(b.q) FILTER (b.cv < a.cv), 0) + a.q / 2.0::DOUBLE AS below, coalesce(sum(b.p) FILTER (b.cv > a.cv), 0) + a.p / 2.0::DOUBLE AS above FROM cl a JOIN cl b USING (horizon) JOIN tot USING (horizon) GROUP BY a.horizon, a.cv, a.p, a.q, pos, neg),
+us AS (SELECT horizon, sum(p * below) AS u FROM lv GROUP BY 1),
+jk AS (SELECT horizon, p AS m, (u - below) / nullif((pos - 1) * neg, 0) AS j FROM lv JOIN us USING (horizon) UNION ALL SELECT horizon, q, (u - above) / nullif(pos * (neg - 1), 0) FROM lv JOIN us USING (horizon)),
+jm AS (SELECT horizon, sum(m * j) / nullif(sum(m) FILTER (j IS NOT NULL), 0) AS mid FROM jk GROUP BY 1),
+ac AS (SELECT horizon, coalesce(sum(m * pow(mid - j, 3)) / nullif(6 * pow(sum(m * pow(mid - j, 2)), 1.5), 0), 0) AS acceleration FROM jk JOIN jm USING (horizon) GROUP BY 1),
+dw AS (SELECT horizon, cv, won, replicate, {' + '.join(f'({_U} >= {t!r})::INT' for t in _thresholds())} AS c FROM ce, range(1, 201) AS x(replicate)),
+dl AS (SELECT horizon, replicate, cv, sum(c * won) AS p, sum(c * (1 - won)) AS q FROM dw GROUP BY ALL),
+dc AS (SELECT *, sum(q) OVER (PARTITION BY horizon, replicate ORDER BY cv) - q / 2.0::DOUBLE AS below FROM dl),
+bo AS (SELECT horizon, sum(p * below) / nullif((sum(p) * sum(q))::DOUBLE, 0) AS b FROM dc GROUP BY horizon, replicate),
+bl AS (SELECT horizon, list_sort(list(b)) AS boot FROM bo WHERE b IS NOT NULL GROUP BY 1),
+ob AS (SELECT horizon, pos + neg AS n, pos, u / nullif((pos * neg)::DOUBLE, 0) AS auc, acceleration, boot FROM tot JOIN us USING (horizon) JOIN ac USING (horizon) LEFT JOIN bl USING (horizon)),
+sh AS (SELECT *, CASE WHEN boot IS NOT NULL THEN greatest(1e-6, least(1 - 1e-6, len(list_filter(boot, lambda b: b < auc)) / len(boot)::DOUBLE)) END AS f FROM ob),
+zq AS (SELECT *, f - 0.5::DOUBLE AS m, (f - 0.5::DOUBLE) * (f - 0.5::DOUBLE) AS mm, sqrt(-2 * ln(least(f, 1 - f))) AS t FROM sh),
+zz AS (SELECT *, CASE WHEN least(f, 1 - f) >= {INVERSE_TAIL_FROM} THEN {_horner(INVERSE_MIDDLE[0], 'mm')} * m / {_horner(INVERSE_MIDDLE[1], 'mm')} WHEN f < 0.5 THEN {_TAILS} ELSE -({_TAILS}) END AS z0 FROM zq),
+zb AS (SELECT *, z0 + (z0 + s) / (1 - acceleration * (z0 + s)) AS z, side FROM zz, (VALUES ('lo', -1.959963984540054::DOUBLE), ('hi', 1.959963984540054::DOUBLE)) AS v(side, s)),
+zk AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS k FROM zb),
+za AS (SELECT *, (len(boot) - 1) * ({_PHI.format(z='z', u=_UP.format(z='z'))}) AS place FROM zk),
+zl AS (SELECT *, boot[floor(place)::INT + 1] + (place - floor(place)) * (boot[least(floor(place)::INT + 2, len(boot))] - boot[floor(place)::INT + 1]) AS x FROM za)"""
+
+
+@query("auc_bca_ci", sql(LONG + _CELLS + _BCA, f"SELECT horizon::BIGINT AS horizon, n::BIGINT AS n, pos::BIGINT AS pos, {r('any_value(auc)', 'auc')}, {r('any_value(z0)', 'z0')}, {r('any_value(acceleration) FILTER (boot IS NOT NULL)', 'acceleration')}, {r('max(x) FILTER (side = $$lo$$)', 'lo', 5)}, {r('max(x) FILTER (side = $$hi$$)', 'hi', 5)} FROM zl GROUP BY horizon, n, pos").replace("$$", "'"))
+def auc_bca_ci(spark, sf_dir):
+    """Interval of the AUC of a series' coefficient of variation for where the daily mean beats persistence, over 200 replicates."""
+    return rounded(bd.auc_bca(_cells(spark, sf_dir), ["horizon"], "cv", "won", "container_id", 200), 6, {"lo": 5, "hi": 5})

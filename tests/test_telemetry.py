@@ -222,3 +222,84 @@ def test_rows_of_several_batches_update_a_bucket(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = streams.run_updates(stream_grid_rollup(stream), ["container_id", "time_stamp"]).collect()
     assert [(r.container_id, r.time_stamp, r[CPU], r.n) for r in got] == [("a", 0, 1.0, 2)]
+
+
+def test_state_of_the_interval_is_restored_by_the_next_run(spark, tmp_path):
+    from gridlark.streaming.jobs import stream_adaptive_interval
+
+    y = np.cumsum(np.random.default_rng(4).normal(size=400))
+    schema = f"container_id string, time_stamp long, {CPU} double"
+    for part in (range(150), range(150, 400)):
+        spark.createDataFrame([("a", 300 * t, float(y[t])) for t in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = stream_adaptive_interval(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        to = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        to.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    n, misses, width, _ = intervals.adaptive_fold(y[1:], y[:-1], 0.05)
+    assert (len(got), got.miss.sum(), got.time_stamp.nunique()) == (n, misses, n) and math.isclose((got.upper - got.lower).sum(), width, rel_tol=1e-9)
+
+
+def test_rows_behind_the_watermark_are_dropped_by_the_next_run(spark, tmp_path):
+    from gridlark.streaming.jobs import stream_grid_rollup
+
+    schema = f"container_id string, ts timestamp, {CPU} double"
+    files = ([10, 20, 310], [7000, 20_000], [30, 16_500, 20_050], [40_000])  # 30 is late: the watermark is at 16,400
+    for seconds in files:
+        one = spark.createDataFrame([("a", t, float(t)) for t in seconds], f"container_id string, s long, {CPU} double")
+        one.select("container_id", F.timestamp_seconds("s").alias("ts"), CPU).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = stream_grid_rollup(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        to = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        to.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r.time_stamp: (r[CPU], r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (20, 2), 300: (310, 1), 6900: (7000, 1), 16_500: (16_500, 1), 19_800: (20_050, 2)}
+
+
+def test_bounds_of_all_step_sizes_against_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    y, p = np.cumsum(rng.normal(size=120)), rng.normal(size=120)
+    rows = [(2, "m", c, int(t), float(y[t]), float(p[t])) for c, n in (("a", 120), ("b", 1)) for t in rng.permutation(n)]
+    got = intervals.expert_bounds(spark.createDataFrame(rows, "horizon int, model string, container_id string, time_stamp long, y_true double, y_pred double")).orderBy("time_stamp").toPandas()
+    halves, missed = [], []
+    for gamma in (0.01, 0.02, 0.05, 0.1):
+        a, q = 0.2, []
+        for k in range(60, 120):
+            q.append(np.quantile(np.abs(y - p)[:k], 1 - a))
+            a = min(0.99, max(0.01, a + gamma * (0.2 - (abs(y[k] - p[k]) > q[-1]))))
+        halves.append(q)
+        missed.append(np.mean(np.abs(y - p)[60:] > q))
+    w = np.exp(-10 * np.array(missed))
+    half = w @ np.array(halves) / w.sum()
+    assert got.time_stamp.tolist() == list(range(60, 120)) and set(got.container_id) == {"a"}
+    assert np.allclose(got.lower, p[60:] - half) and np.allclose(got.upper, p[60:] + half)
+
+
+def test_bias_corrected_interval_against_a_plain_version(spark):
+    from hashlib import md5
+    from statistics import NormalDist
+
+    from gridlark.functions.expressions import normal_inverse
+    from gridlark.operators.boards import auc_bca
+
+    normal, rng = NormalDist(), np.random.default_rng(6)
+    ps = [1e-6, 0.001, 0.02, 0.03, 0.4, 0.5, 0.77, 0.99, 1 - 1e-6]
+    for p, z in spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_inverse(F.col("p"))).collect():
+        assert math.isclose(z, normal.inv_cdf(p), abs_tol=1e-7)
+
+    y = (rng.random(60) < 0.4).astype(int)
+    x = np.round(rng.normal(size=60) + y, 1)  # with ties
+    rows = [("g", f"k{i}", float(x[i]), int(y[i])) for i in range(60)] + [("g", "none", None, 1), ("one", "a", 1.0, 1), ("one", "b", 2.0, 1)]
+    got = {r.g: r for r in auc_bca(spark.createDataFrame(rows, "g string, k string, x double, y int"), ["g"], "x", "y", "k", 300).collect()}
+
+    def auc(w):
+        up, down = w[y == 1], w[y == 0]
+        wins = (x[y == 1][:, None] > x[y == 0]) + (x[y == 1][:, None] == x[y == 0]) / 2
+        return float(up @ wins @ down / (up.sum() * down.sum()))
+
+    own, steps = auc(np.ones(60)), np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)])
+    boot = np.array([auc(np.array([np.sum(int(md5(f"k{i}/{b}".encode()).hexdigest()[:8], 16) / 2**32 >= steps) for i in range(60)])) for b in range(1, 301)])
+    left = np.array([auc(1.0 - (np.arange(60) == i)) for i in range(60)])
+    d = left.mean() - left
+    a, z0 = (d**3).sum() / (6 * (d**2).sum() ** 1.5), normal.inv_cdf((boot < own).mean())
+    want = [np.quantile(boot, normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))) for z in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+    assert np.allclose([got["g"].auc, got["g"].z0, got["g"].acceleration, got["g"].lo, got["g"].hi], [own, z0, a, *want], atol=1e-6) and got["g"].n == 60
+    assert [got["one"][c] for c in ("auc", "z0", "acceleration", "lo", "hi")] == [None] * 5
