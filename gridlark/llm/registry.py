@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, hnsw, mixing, packing, quartile_digest, secrets, simhash, token_counts, toxicity, warc
+from . import bpe, hnsw, mixing, packing, quartile_digest, secrets, simhash, spelling, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_hnsw": hnsw.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_fingerprints": quartile_digest.query,
     "op9_simhash": simhash.query,
     "op10_warc": warc.query,
+    "op11_spelling": spelling.query,
 }
 ORACLES: dict[str, str] = {
     "op1_hnsw": hnsw.ORACLE,
