@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table
+from .crc_sql import crc_of, crc_tables
 
 #: Words of a tile; words and code points above which a group is dealt into two.
 TILE, GROUP, CELLS = 256, 1_024, 4_000_000
@@ -262,3 +263,30 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op11: spelling variants of the words of all documents."""
     return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH RECURSIVE seen AS MATERIALIZED (
+  SELECT s, run, count(*) AS n FROM (
+    SELECT doc_id::VARCHAR || ':' || run AS s, run FROM (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) q) r
+  GROUP BY s, run),
+{crc_tables("SELECT max(strlen(s)) FROM seen")},
+crcs AS MATERIALIZED ({crc_of("seen")}),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN crc % 97 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM seen JOIN crcs USING (s)) q
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS b FROM words, unnest(range(length(word))) AS u(i)),
+shorter AS (SELECT DISTINCT c.word, c.n, w.word AS other, w.n AS other_n FROM cuts c JOIN words w ON w.word = a || b),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT word, other, other_n FROM shorter UNION ALL SELECT other, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN other END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)),
+walk(word, node, step) AS (
+  SELECT word, word, 0 FROM forms
+  UNION ALL SELECT w.word, f.form, w.step + 1 FROM walk w JOIN forms f ON f.word = w.node WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT word, max_by(node, step) AS root FROM walk GROUP BY word) r USING (word)
+"""
