@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import binomial_sf, chi2_sf, studentised_range_sf, t_sf, t_two_sided
 from ..functions.expressions import average_rank, correlation, mae, normal_cdf, poisson_one, r2, ratio, rmse, skill
 
 QQ_LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -139,12 +141,12 @@ def ambiguity_decomposition(wide: DataFrame, models: list[str]) -> DataFrame:
 
 
 def paired_ttest(long: DataFrame, by: list[str]) -> DataFrame:
-    """t of the naive forecast's squared and absolute errors over the model's, one-sided p by the normal law."""
+    """t of the naive forecast's squared and absolute errors over the model's, one-sided p of n - 1 degrees; equal errors have p 1."""
     sq, ab = (y_true() - y_naive()) * (y_true() - y_naive()) - (y_true() - y_pred()) * (y_true() - y_pred()), F.abs(y_true() - y_naive()) - F.abs(y_true() - y_pred())
     n = F.count("*")
     t = lambda d: ratio(F.avg(d), F.stddev_samp(d) / F.sqrt(n))
     got = long.groupBy(*by).agg(n.alias("n"), t(sq).alias("t_sq"), t(ab).alias("t_abs"))
-    p = lambda c: F.when(F.col(c).isNull(), 1.0).otherwise(1 - normal_cdf(F.col(c)))
+    p = lambda c: F.coalesce(t_sf(F.col(c), F.col("n") - 1), F.lit(1.0))
     return got.withColumn("p_sq", p("t_sq")).withColumn("p_abs", p("t_abs"))
 
 
@@ -152,7 +154,8 @@ def dm_test(long: DataFrame, max_lag: int) -> DataFrame:
     """Diebold-Mariano statistic of model against naive forecast on squared errors, lags within series only.
 
     Autocovariances up to ``min(max(h-1, 1), n/4, max_lag)`` are means over their own pairs; the variance has a
-    floor, and the statistic the small-sample factor. ``p_one``: that the model isn't better. All lags come from one window and one aggregation.
+    floor, and the statistic the small-sample factor. ``p_one``: that the model isn't better; both p by Student's law
+    of n - 1 degrees. All lags come from one window and one aggregation.
     """
     w = Window.partitionBy("horizon", "model", "container_id").orderBy("time_stamp")
     d = long.withColumn("d", (y_true() - y_pred()) * (y_true() - y_pred()) - (y_true() - y_naive()) * (y_true() - y_naive()))
@@ -167,7 +170,7 @@ def dm_test(long: DataFrame, max_lag: int) -> DataFrame:
         v = v + F.when(lags >= k, 2 * F.coalesce(F.col(f"g{k}"), F.lit(0.0))).otherwise(0.0)
     hln = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
     stat = F.col("mean_d") / F.sqrt(F.greatest(v / n, F.lit(1e-12))) * hln
-    return got.withColumn("dm", F.when(n >= 3, stat)).withColumn("p_two", 2 * (1 - normal_cdf(F.abs("dm")))).select("horizon", "model", "n", "dm", "p_two", normal_cdf(F.col("dm")).alias("p_one"), F.when(n < 3, "too_few_points").alias("note"))
+    return got.withColumn("dm", F.when(n >= 3, stat)).select("horizon", "model", "n", "dm", t_two_sided(F.col("dm"), n - 1).alias("p_two"), t_sf(-F.col("dm"), n - 1).alias("p_one"), F.when(n < 3, "too_few_points").alias("note"))
 
 
 def dm_matrix(wide: DataFrame, models: list[str], least: int = 30) -> DataFrame:
@@ -185,8 +188,11 @@ def dm_matrix(wide: DataFrame, models: list[str], least: int = 30) -> DataFrame:
     return got.withColumn("p_holm", F.least(F.lit(1.0), F.max("scaled").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("m", "v", "scaled")
 
 
-def friedman_ranks(long: DataFrame, least: int = 10) -> DataFrame:
-    """Mean ranks of the models over the series that have all of them, and Friedman's statistic with correction for ties."""
+def friedman_ranks(long: DataFrame, least: int = 10, complete: int = 10) -> DataFrame:
+    """Mean ranks of the models over the series that have all of them, Friedman's statistic with correction for ties, and its p.
+
+    A series counts with ``least`` points of each model; a horizon needs ``complete`` such series.
+    """
     each = long.groupBy("horizon", "container_id", "model").agg(F.count("*").alias("n"), mae(y_true(), y_pred()).alias("mae")).filter(F.col("n") >= least)
     k = long.select("model").distinct().count()
     full = Window.partitionBy("horizon", "container_id")
@@ -196,7 +202,8 @@ def friedman_ranks(long: DataFrame, least: int = 10) -> DataFrame:
     whole = Window.partitionBy("horizon")
     n, s2, ties = F.col("n_series"), F.sum(F.col("mean_rank") * F.col("mean_rank")).over(whole), F.sum("t").over(whole)
     chi = 12 * n / (k * (k + 1.0)) * (s2 - k * (k + 1.0) ** 2 / 4)
-    return got.withColumn("chi2", ratio(chi, 1 - ties / (n * (k**3 - k)))).drop("t")
+    got = got.withColumn("chi2", ratio(chi, 1 - ties / (n * (k**3 - k)))).drop("t").filter(F.col("n_series") >= complete)
+    return got.withColumn("p", chi2_sf(F.col("chi2"), k - 1))
 
 
 # Critical values of the studentised range over the square root of 2, at 5 %, for 2 to 10 models.
@@ -204,14 +211,16 @@ NEMENYI_Q = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.03
 
 
 def nemenyi_pairs(ranks: DataFrame, k: int) -> DataFrame:
-    """Differences of mean ranks against the critical difference."""
+    """Differences of mean ranks against the critical difference, and their p by the range of ``k`` normal variables."""
     a, b = ranks.select("horizon", F.col("model").alias("model_a"), F.col("mean_rank").alias("ra"), "n_series"), ranks.select("horizon", F.col("model").alias("model_b"), F.col("mean_rank").alias("rb"))
     got = a.join(b, "horizon").filter("model_a < model_b")  # few rows: one for each horizon and model
-    return got.select("horizon", "model_a", "model_b", F.abs(F.col("ra") - F.col("rb")).alias("diff"), (NEMENYI_Q[k] * F.sqrt(k * (k + 1) / (6.0 * F.col("n_series")))).alias("cd")).withColumn("significant", F.col("diff") > F.col("cd"))
+    diff, error = F.abs(F.col("ra") - F.col("rb")), F.sqrt(k * (k + 1) / (6.0 * F.col("n_series")))
+    got = got.select("horizon", "model_a", "model_b", diff.alias("diff"), (NEMENYI_Q[k] * error).alias("cd"), studentised_range_sf(diff / error * math.sqrt(2), k).alias("p"))
+    return got.withColumn("significant", F.col("diff") > F.col("cd"))
 
 
 def residual_diagnostics(long: DataFrame, lags: int = 10) -> DataFrame:
-    """Bias, lag-1 correlation and Ljung-Box Q of the residuals, lags within series only."""
+    """Bias, lag-1 correlation and Ljung-Box Q of the residuals with its p, lags within series only."""
     w = Window.partitionBy("horizon", "model", "container_id").orderBy("time_stamp")
     e = long.withColumn("e", y_true() - y_pred())
     mean = e.groupBy("horizon", "model").agg(F.avg("e").alias("bias"))
@@ -222,7 +231,7 @@ def residual_diagnostics(long: DataFrame, lags: int = 10) -> DataFrame:
     for k in range(1, lags + 1):
         r = F.coalesce(ratio(F.col(f"g{k}"), F.col("g0")), F.lit(0.0))
         q = q + r * r / (n - k)
-    return got.select("horizon", "model", "n", "bias", ratio(F.col("g1"), F.col("g0")).alias("acf1"), (n * (n + 2) * q).alias("ljung_box"))
+    return got.select("horizon", "model", "n", "bias", ratio(F.col("g1"), F.col("g0")).alias("acf1"), (n * (n + 2) * q).alias("ljung_box")).withColumn("ljung_box_p", chi2_sf(F.col("ljung_box"), lags))
 
 
 def residual_histogram(long: DataFrame, width: float = 5.0) -> DataFrame:
@@ -273,6 +282,20 @@ def rule_auc(scores: DataFrame, by: list[str], score: str, label: str) -> DataFr
     return got.select(*by, "n", "pos", ratio(F.col("s") - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auc"))
 
 
+def threshold_sensitivity(table: DataFrame, score: str, label: str, cutoffs: tuple[float, ...], by: list[str]) -> DataFrame:
+    """The rule "``score`` above a cutoff" as a classifier of a 0/1 label: confusion, accuracy, sensitivity, specificity for each cutoff.
+
+    ``p_50, p_60``: probability of as many right answers or more by chance, if each is right with probability 0.5 or 0.6.
+    Shares without a row to count are NULL.
+    """
+    rows = table.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs))))
+    said, so = F.col(score) > F.col("cutoff"), F.col(label) == 1
+    got = rows.groupBy(*by, "cutoff").agg(F.count("*").alias("n"), F.count_if(~said & ~so).alias("tn"), F.count_if(said & ~so).alias("fp"), F.count_if(~said & so).alias("fn"), F.count_if(said & so).alias("tp"))
+    n, right = F.col("n"), F.col("tp") + F.col("tn")
+    got = got.withColumn("accuracy", right / n).withColumn("sensitivity", ratio(F.col("tp"), (F.col("tp") + F.col("fn")).cast("double"))).withColumn("specificity", ratio(F.col("tn"), (F.col("tn") + F.col("fp")).cast("double")))
+    return got.withColumn("p_50", binomial_sf(right, n, 0.5)).withColumn("p_60", binomial_sf(right, n, 0.6))
+
+
 def quartile_skill(long: DataFrame, acfs: DataFrame) -> DataFrame:
     """Errors and skill by quartile of the series' autocorrelation; ties by name."""
     q = acfs.filter("acf is not null").withColumn("quartile", F.ntile(4).over(Window.orderBy("acf", "container_id")))  # one row for each series
@@ -284,18 +307,21 @@ def metric_bootstrap(long: DataFrame, replicates: int = 1000) -> DataFrame:
     """Mean absolute error and R2 with their 95 % intervals over resampled series.
 
     Series are the blocks: each replicate weighs a series by a Poisson(1) number taken from an md5 hash, and the
-    measures come from sums for each series, so the points are read once. R2 is NULL where all targets are equal;
-    such replicates are left out of its interval.
+    measures come from sums for each series, so the points are read once, and a number is drawn once for all horizons
+    and models. R2 is NULL where all targets are equal; such replicates are left out of its interval.
     """
     from ..sources.panel import hash_part
 
     by = ["horizon", "model"]
     d = y_true() - y_pred()
     s = long.groupBy(*by, "container_id").agg(F.sum(F.abs(d)).alias("e"), F.sum(d * d).alias("e2"), F.sum(y_true()).alias("y"), F.sum(y_true() * y_true()).alias("y2"), F.count("*").alias("n"))
-    r = s.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    weight = poisson_one(hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32))
+    # a row for each series: its horizons and models are few
+    r = s.groupBy("container_id").agg(F.collect_list(F.struct(*by, "e", "e2", "y", "y2", "n")).alias("sums")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # the hash has a column of its own: Spark wouldn't share it between the branches of a condition
+    r = r.withColumn("u", hash_part(F.concat_ws("/", "container_id", "replicate")) / float(2**32))
+    r = r.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(poisson_one(F.col("u"))))  # replicate 0 is the data
+    r = r.select("replicate", "w", F.inline("sums"))
     w = F.col("w")
-    r = r.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(weight))  # replicate 0 is the data
     r = r.groupBy(*by, "replicate").agg(*[F.sum(w * F.col(c)).cast("double").alias(c) for c in ("e", "e2", "y", "y2", "n")])
     n, spread = F.col("n"), F.col("y2") - ratio(F.col("y") * F.col("y"), F.col("n"))
     r = r.select(*by, "replicate", ratio(F.col("e"), n).alias("mae"), (1 - F.when(spread > 1e-12 * F.col("y2"), ratio(F.col("e2"), spread))).alias("r2"))

@@ -11,30 +11,86 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import correlation
-from ..sources.panel import CPU, MEM
+from ..sources.panel import CPU, DISK, MEM
 from .prepare import by_time
 
 OFFSETS, WINDOWS, LONGEST = (0, 1, 2, 3, 5, 11, 23, 47), (6, 12, 24, 48), 96
 #: Names whose NULLs become 0.
 FILLED = ("_std_", "volatility", "_cv", "_range", "accel", "jerk")
 METRICS = {"cpu": CPU, "mem": MEM}
+#: Of disk use, which not every panel has, only these lags are features.
+DISK_OFFSETS = (0, 5, 11)
 
 
-def lag_features(horizon: int, offsets: tuple[int, ...] = OFFSETS) -> dict[str, Column]:
+def lag_names(horizon: int, disk: bool = False) -> dict[str, tuple[str, int]]:
+    """Names of the lags, with what they are lags of and by how much."""
     m = horizon + 1
-    return {f"{a}_lag_{m + k}": F.lag(c, m + k).over(by_time()) for a, c in METRICS.items() for k in offsets if m + k <= LONGEST}
+    out = {f"{a}_lag_{m + k}": (c, m + k) for a, c in METRICS.items() for k in OFFSETS if m + k <= LONGEST}
+    return out | ({f"disk_lag_{m + k}": (DISK, m + k) for k in DISK_OFFSETS if m + k <= LONGEST} if disk else {})
 
 
-def rolling_features(horizon: int, windows: tuple[int, ...] = WINDOWS) -> dict[str, Column]:
-    """Moments over the last rows up to ``min_lag`` ago; a window that the series' start cuts short counts with what it has."""
-    m, out = horizon + 1, {}
+def lag_features(horizon: int, disk: bool = False) -> dict[str, Column]:
+    return {n: F.lag(c, k).over(by_time()) for n, (c, k) in lag_names(horizon, disk).items()}
+
+
+#: Grids that prefix sums of values and of squares are split on: multiples add up without rounding (percentages: 2^26 rows).
+_COARSE, _COARSE_SQUARE = 2.0**20, 2.0**12
+_SOFAR, _ROW = "rolling*", "row*"
+
+
+def _parts(x: Column, grid: float) -> tuple[Column, Column]:
+    """A value as a multiple of 1/``grid`` and the rest, so that the sums of both keep their digits however long a series is."""
+    high = F.rint(x * grid) / grid
+    return high, x - high
+
+
+def _rolling_base(windows: tuple[int, ...]) -> Column:
+    """What rolling features read of a row, as a struct: sums and counts of its series so far, and extremes of a short block up to it.
+
+    Sums so far cost the same for any row, and the block is the only frame that is gone through for each row.
+    """
+    sofar, block, out = by_time().rowsBetween(Window.unboundedPreceding, 0), by_time().rowsBetween(1 - math.gcd(*windows), 0), []
     for a, c in METRICS.items():
+        x = F.when(F.abs(c) < float("inf"), F.col(c))
+        for name, (high, low) in (("sum", _parts(x, _COARSE)), ("square", _parts(x * x, _COARSE_SQUARE))):
+            out += [F.sum(high).over(sofar).alias(f"{a}_{name}"), F.sum(low).over(sofar).alias(f"{a}_{name}_rest")]
+        out += [F.count(x).over(sofar).alias(f"{a}_n"), F.min(x).over(block).alias(f"{a}_min"), F.max(x).over(block).alias(f"{a}_max")]
+    return F.struct(*out)
+
+
+def _rolling_lags(horizon: int, windows: tuple[int, ...]) -> dict[str, Column]:
+    """The rows that :func:`rolling_features` reads, by how far back they are: each a single lag."""
+    m, block = horizon + 1, math.gcd(*windows)
+    return {f"{_SOFAR}{k}": F.lag(_SOFAR, k).over(by_time()) for k in sorted({m + j * block for j in range(max(windows) // block)} | {m + w for w in windows})}
+
+
+def rolling_features(horizon: int, windows: tuple[int, ...] = WINDOWS) -> dict[str, Column]:
+    """Moments over the last rows up to ``min_lag`` ago; a window that the series' start cuts short counts with what it has.
+
+    For :func:`with_rolling`: sums are differences of sums so far, extremes those of the blocks that make up the
+    window, so that the cost doesn't depend on the width. Infinite values count as unknown.
+    """
+    m, block, out = horizon + 1, math.gcd(*windows), {}
+    at = lambda a, name, k: F.col(f"`{_SOFAR}{k}`.{a}_{name}")
+    for a in METRICS:
         for w in windows:
-            over = by_time().rowsBetween(-(m + w - 1), -m)
-            out |= {f"{a}_mean_{w}": F.avg(c).over(over), f"{a}_std_{w}": F.coalesce(F.stddev_samp(c).over(over), F.lit(0.0)), f"{a}_min_{w}": F.min(c).over(over), f"{a}_max_{w}": F.max(c).over(over)}
+            change = lambda name: F.coalesce(at(a, name, m), F.lit(0)) - F.coalesce(at(a, name, m + w), F.lit(0))  # noqa: E731, B023
+            low, high = (f(*[at(a, name, m + j * block) for j in range(w // block)], F.lit(None)) for f, name in ((F.least, "min"), (F.greatest, "max")))
+            n, total, squares = change("n"), change("sum") + change("sum_rest"), change("square") + change("square_rest")
+            spread = F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
+            out[f"{a}_mean_{w}"] = F.when(n > 0, F.when(low == high, low).otherwise(total / n))
+            out[f"{a}_std_{w}"] = F.when((n > 1) & (low < high), F.sqrt(spread)).otherwise(0.0)
+            out |= {f"{a}_min_{w}": low, f"{a}_max_{w}": high}
     return out
 
 
+def with_rolling(panel: DataFrame, horizon: int, more: dict[str, Column] | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """``panel`` with rolling features and ``more`` columns of the same window: one shuffle, one sort, two passes."""
+    lags = _rolling_lags(horizon, windows)
+    frame = panel.withColumn(_SOFAR, _rolling_base(windows)).withColumns(lags | (more or {})).drop(_SOFAR)
+    return frame.withColumns(rolling_features(horizon, windows)).drop(*lags)
+
+
 def trend_momentum(horizon: int) -> dict[str, Column]:
     m, out = horizon + 1, {}
     for a in METRICS:
@@ -46,8 +102,8 @@ def trend_momentum(horizon: int) -> dict[str, Column]:
 def accel_jerk(horizon: int) -> dict[str, Column]:
     """Second and third differences as they stood ``min_lag`` ago; 0 where they are not known."""
     m, out = horizon + 1, {}
-    for a, c in METRICS.items():
-        x = [F.lag(c, m + k).over(by_time()) for k in range(4)]
+    for a in METRICS:
+        x = [F.col(f"{a}_lag_{m + k}") for k in range(4)]
         out |= {f"{a}_accel": F.coalesce(x[0] - 2 * x[1] + x[2], F.lit(0.0)), f"{a}_jerk": F.coalesce(x[0] - 3 * x[1] + 3 * x[2] - x[3], F.lit(0.0))}
     return out
 
@@ -80,7 +136,7 @@ def same_time_yesterday(horizon: int, per_day: int = 288) -> dict[str, Column]:
     """Value a day before the newest one allowed, or else that one; the difference is taken before falling back."""
     m, out = horizon + 1, {}
     for a, c in METRICS.items():
-        first, day = F.lag(c, m).over(by_time()), F.lag(c, per_day + m).over(by_time())
+        first, day = F.col(f"{a}_lag_{m}"), F.col(f"`{_ROW}{per_day + m}`.{c}")
         out |= {f"{a}_same_time_1d": F.coalesce(day, first), f"{a}_diff_1d": F.coalesce(first - day, F.lit(0.0))}
     return out
 
@@ -124,16 +180,21 @@ def drop_null_targets(frame: DataFrame) -> DataFrame:
 
 
 def feature_frame(panel: DataFrame, horizon: int, per_day: int = 288) -> DataFrame:
-    """All features and targets of a panel on its grid, for one horizon in steps."""
-    frame = panel.withColumns(lag_features(horizon) | rolling_features(horizon) | accel_jerk(horizon) | same_time_yesterday(horizon, per_day) | forecast_target(horizon))
+    """All features and targets of a panel on its grid, for one horizon in steps; lags of disk use where the panel has it."""
+    disk, ahead = DISK in panel.columns, f"{_ROW}+{horizon}"
+    names, metrics = lag_names(horizon, disk), [*METRICS.values(), *([DISK] if disk else [])]
+    # the metrics of a row as one value: a lag of it for each distance, whatever the number of metrics
+    rows = {f"{_ROW}{k}": F.lag(_ROW, k).over(by_time()) for k in sorted({k for _, k in names.values()} | {per_day + horizon + 1})} | {ahead: F.lead(_ROW, horizon).over(by_time())}
+    frame = with_rolling(panel.withColumn(_ROW, F.struct(*metrics)), horizon, rows)
+    frame = frame.withColumns({n: F.col(f"`{_ROW}{k}`.{c}") for n, (c, k) in names.items()} | {f"{a}_target": F.col(f"`{ahead}`.{c}") for a, c in METRICS.items()} | {f"naive_{a}": F.col(c) for a, c in METRICS.items()})
+    frame = frame.withColumns(accel_jerk(horizon) | same_time_yesterday(horizon, per_day) | {f"{a}_residual": F.col(f"{a}_target") - F.col(f"naive_{a}") for a in METRICS}).drop(_ROW, *rows)
     frame = frame.withColumns(trend_momentum(horizon) | volatility_features() | cyclic_calendar())
     return frame.withColumns(cross_resource_features(horizon))
 
 
-def feature_names(horizon: int) -> list[str]:
+def feature_names(horizon: int, disk: bool = False) -> list[str]:
     """Names of the features of :func:`feature_frame`, in order."""
-    m = horizon + 1
-    names = [f"{a}_lag_{m + k}" for a in METRICS for k in OFFSETS if m + k <= LONGEST]
+    names = list(lag_names(horizon, disk))
     names += [f"{a}_{s}_{w}" for a in METRICS for w in WINDOWS for s in ("mean", "std", "min", "max")]
     names += [f"{a}_{k}" for a in METRICS for k in ("trend_short", "trend_medium", "trend_long", "momentum", "accel", "jerk", "volatility", "cv", "range", "same_time_1d", "diff_1d")]
     return [*names, "cpu_mem_ratio", "cpu_mem_product", "cpu_mem_diff", "saturation", "corr_proxy", "divergence", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "business"]

@@ -108,10 +108,19 @@ def boundary_predicate(spark, sf_dir):
     return rounded(p.groupBy("model").agg(F.count("*").alias("n"), F.sum("predicted").alias("n_predicted"), F.avg((F.col("predicted") == F.col("won")).cast("double")).alias("accuracy"), F.avg(F.when(F.col("won") == 1, F.col("predicted"))).alias("sensitivity"), (1 - F.avg(F.when(F.col("won") == 0, F.col("predicted")))).alias("specificity")), D)
 
 
-@query("threshold_sensitivity", sql(LONG + _ERR + _ACF24, f"SELECT model, cutoff::DOUBLE AS cutoff, count(*)::BIGINT AS n, {r('avg(((acf > cutoff)::INT = won)::INT)', 'accuracy', D)} FROM err JOIN ac USING (container_id), (VALUES (0.1::DOUBLE), (0.15), (0.2), (0.25), (0.3)) AS c(cutoff) WHERE acf IS NOT NULL AND {_NOT_NAIVE} GROUP BY 1, 2"))
+_THRESHOLD = f""", th AS (SELECT model, cutoff::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (acf <= cutoff AND won = 0) AS tn, count(*) FILTER (acf > cutoff AND won = 0) AS fp, count(*) FILTER (acf <= cutoff AND won = 1) AS fn, count(*) FILTER (acf > cutoff AND won = 1) AS tp
+  FROM err JOIN ac USING (container_id), (VALUES (0.1::DOUBLE), (0.15), (0.2), (0.25), (0.3)) AS c(cutoff) WHERE acf IS NOT NULL AND {_NOT_NAIVE} GROUP BY 1, 2)"""
+
+
+def _chance(p: float) -> str:
+    """Binomial tail of the right answers, term by term."""
+    return f"least(1, list_sum(list_transform(range(tp + tn, n + 1), lambda k: exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * ln({p}) + (n - k) * ln({1 - p})))))"
+
+
+@query("threshold_sensitivity", sql(LONG + _ERR + _ACF24 + _THRESHOLD, f"SELECT model, cutoff, n::BIGINT AS n, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, tp::BIGINT AS tp, {r('(tp + tn) / n', 'accuracy', D)}, {r('tp / nullif(tp + fn, 0)', 'sensitivity', D)}, {r('tn / nullif(tn + fp, 0)', 'specificity', D)}, {r(_chance(0.5), 'p_50', 7)}, {r(_chance(0.6), 'p_60', 7)} FROM th"))
 def threshold_sensitivity(spark, sf_dir):
-    e = ev.series_errors(_models(spark, sf_dir)).join(_acf24(spark, sf_dir).filter("acf is not null"), "container_id").withColumn("cutoff", F.explode(F.array(*map(F.lit, (0.1, 0.15, 0.2, 0.25, 0.3)))))
-    return rounded(e.groupBy("model", "cutoff").agg(F.count("*").alias("n"), F.avg(((F.col("acf") > F.col("cutoff")).cast("int") == F.col("won")).cast("double")).alias("accuracy")), D)
+    e = ev.series_errors(_models(spark, sf_dir)).join(_acf24(spark, sf_dir).filter("acf is not null"), "container_id")
+    return rounded(ev.threshold_sensitivity(e, "acf", "won", (0.1, 0.15, 0.2, 0.25, 0.3), ["model"]), D, {"p_50": 7, "p_60": 7})
 
 
 @query("head_to_head", sql(LONG, f", m AS (SELECT horizon, model, {r2('y_pred')} AS r2 FROM fc GROUP BY 1, 2) SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (a.r2 > b.r2)::BIGINT AS wins_a, count(*) FILTER (a.r2 < b.r2)::BIGINT AS wins_b FROM m a JOIN m b ON a.horizon = b.horizon AND a.model < b.model GROUP BY 1, 2"))

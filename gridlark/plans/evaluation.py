@@ -15,7 +15,7 @@ from ..operators import intervals as iv
 from ..operators import predictability as pr
 from ..registry import query
 from ..sources.panel import CPU
-from .fixtures import GRID, HORIZONS, LONG, PER_DAY, R2, WIDE, grid, long, r, rounded, wide
+from .fixtures import GRID, HORIZONS, LONG, PER_DAY, R2, WIDE, chi2_above, grid, long, phi_exact, r, rounded, t_above, t_beyond, wide
 
 MODELS = list(fc.MODELS)
 D = 8
@@ -162,7 +162,7 @@ def phi(z: str) -> str:
 _DSQ, _DAB = "(y_true - y_naive) * (y_true - y_naive) - (y_true - y_pred) * (y_true - y_pred)", "abs(y_true - y_naive) - abs(y_true - y_pred)"
 
 
-@query("paired_ttest", sql(LONG, f", t AS (SELECT horizon, model, count(*) AS n, avg({_DSQ}) / nullif(stddev_samp({_DSQ}) / sqrt(count(*)), 0) AS a, avg({_DAB}) / nullif(stddev_samp({_DAB}) / sqrt(count(*)), 0) AS b FROM fc WHERE {_NOT_NAIVE} GROUP BY 1, 2) SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('a', 't_sq', 6)}, {r('b', 't_abs', 6)}, {r(f'coalesce(1 - {phi("a")}, 1)', 'p_sq', 6)}, {r(f'coalesce(1 - {phi("b")}, 1)', 'p_abs', 6)} FROM t"))
+@query("paired_ttest", sql(LONG, f", t AS (SELECT horizon, model, count(*) AS n, avg({_DSQ}) / nullif(stddev_samp({_DSQ}) / sqrt(count(*)), 0) AS a, avg({_DAB}) / nullif(stddev_samp({_DAB}) / sqrt(count(*)), 0) AS b FROM fc WHERE {_NOT_NAIVE} GROUP BY 1, 2) SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('a', 't_sq', 6)}, {r('b', 't_abs', 6)}, {r(f'coalesce({t_above("a", "(n - 1)")}, 1)', 'p_sq', 6)}, {r(f'coalesce({t_above("b", "(n - 1)")}, 1)', 'p_abs', 6)} FROM t"))
 def paired_ttest(spark, sf_dir):
     return rounded(ev.paired_ttest(_models(spark, sf_dir), ["horizon", "model"]))
 
@@ -177,7 +177,7 @@ ds AS (SELECT *, g0 + {' + '.join(f'CASE WHEN least(greatest(horizon - 1, 1), n
 dr AS (SELECT horizon, model, n, mean_d / sqrt(greatest(v / n, 1e-12)) * sqrt((n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n) AS dm FROM ds)"""
 
 
-@query("dm_test", sql(LONG + _DM, f"SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('dm', 'dm', 6)}, {r(f'2 * (1 - {phi("abs(dm)")})', 'p_two', 6)}, {r(phi('dm'), 'p_one', 6)}, CASE WHEN n < 3 THEN 'too_few_points' END AS note FROM dr"))
+@query("dm_test", sql(LONG + _DM, f"SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('dm', 'dm', 6)}, {r(t_beyond('dm', '(n - 1)'), 'p_two', 6)}, {r(t_above('-dm', '(n - 1)'), 'p_one', 6)}, CASE WHEN n < 3 THEN 'too_few_points' END AS note FROM dr"))
 def dm_test(spark, sf_dir):
     return rounded(ev.dm_test(_models(spark, sf_dir), _MAXLAG))
 
@@ -196,15 +196,19 @@ _FR = """, fe AS (SELECT horizon, container_id, model, avg(abs(y_true - y_pred))
 ff AS (SELECT * FROM fe QUALIFY count(*) OVER (PARTITION BY horizon, container_id) = 4),
 fk AS (SELECT *, count(*) OVER (PARTITION BY horizon, container_id, mae) AS ties, rank() OVER (PARTITION BY horizon, container_id ORDER BY mae) + (count(*) OVER (PARTITION BY horizon, container_id, mae) - 1) / 2 AS rk FROM ff),
 fm AS (SELECT horizon, model, avg(rk) AS mean_rank, count(*) AS n, sum(ties * ties - 1) AS t FROM fk GROUP BY 1, 2),
-fr AS (SELECT horizon::BIGINT AS horizon, model, mean_rank, n::BIGINT AS n_series, (12 * n / 20.0 * (sum(mean_rank * mean_rank) OVER (PARTITION BY horizon) - 25.0)) / nullif(1 - sum(t) OVER (PARTITION BY horizon) / (n * 60), 0) AS chi2 FROM fm)"""
+fr AS (SELECT horizon::BIGINT AS horizon, model, mean_rank, n::BIGINT AS n_series, (12 * n / 20.0 * (sum(mean_rank * mean_rank) OVER (PARTITION BY horizon) - 25.0)) / nullif(1 - sum(t) OVER (PARTITION BY horizon) / (n * 60), 0) AS chi2 FROM fm WHERE n >= 10)"""
 
 
-@query("friedman_ranks", sql(LONG + _FR, f"SELECT horizon, model, {r('mean_rank', 'mean_rank', 7)}, n_series, {r('chi2', 'chi2', 5)} FROM fr"))
+@query("friedman_ranks", sql(LONG + _FR, f"SELECT horizon, model, {r('mean_rank', 'mean_rank', 7)}, n_series, {r('chi2', 'chi2', 5)}, {r(chi2_above('chi2', len(MODELS) - 1), 'p', 7)} FROM fr"))
 def friedman_ranks(spark, sf_dir):
     return rounded(ev.friedman_ranks(long(spark, sf_dir)), 7, {"chi2": 5})
 
 
-@query("nemenyi_pairs", sql(LONG + _FR, f"SELECT a.horizon, a.model AS model_a, b.model AS model_b, {r('abs(a.mean_rank - b.mean_rank)', 'diff', 7)}, {r('2.569 * sqrt(20 / (6.0 * a.n_series))', 'cd', 7)}, abs(a.mean_rank - b.mean_rank) > 2.569 * sqrt(20 / (6.0 * a.n_series)) AS significant FROM fr a JOIN fr b ON a.horizon = b.horizon AND a.model < b.model"))
+_RANGE = f"""greatest(0, 1 - {len(MODELS)} * 0.2 / sqrt(2 * pi()) * (SELECT sum(exp(-x.z * x.z / 2) * pow(greatest({phi_exact('x.z')} - {phi_exact('(x.z - q)')}, 0), {len(MODELS) - 1})) FROM (SELECT -9 + 0.2 * i AS z FROM range(91) AS y(i)) x))"""
+_PAIRED = ", np AS (SELECT a.horizon, a.model AS model_a, b.model AS model_b, abs(a.mean_rank - b.mean_rank) AS diff, sqrt(20 / (6.0 * a.n_series)) AS err, abs(a.mean_rank - b.mean_rank) / sqrt(20 / (6.0 * a.n_series)) * sqrt(2) AS q FROM fr a JOIN fr b ON a.horizon = b.horizon AND a.model < b.model)"
+
+
+@query("nemenyi_pairs", sql(LONG + _FR + _PAIRED, f"SELECT horizon, model_a, model_b, {r('diff', 'diff', 7)}, {r('2.569 * err', 'cd', 7)}, {r(_RANGE, 'p', 7)}, diff > 2.569 * err AS significant FROM np"))
 def nemenyi_pairs(spark, sf_dir):
     return rounded(ev.nemenyi_pairs(ev.friedman_ranks(long(spark, sf_dir)), len(MODELS)), 7)
 
@@ -215,7 +219,7 @@ rs AS (SELECT horizon, model, count(*) AS n, avg(e) AS bias, sum(c * c) AS g0, {
 _Q = " + ".join(f"pow(coalesce(g{k} / nullif(g0, 0), 0), 2) / (n - {k})" for k in range(1, 11))
 
 
-@query("residual_diagnostics", sql(LONG + _LB, f"SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('bias', 'bias', 7)}, {r('g1 / nullif(g0, 0)', 'acf1', 7)}, {r(f'n * (n + 2) * ({_Q})', 'ljung_box', 3)} FROM rs"))
+@query("residual_diagnostics", sql(LONG + _LB, f"SELECT horizon::BIGINT AS horizon, model, n::BIGINT AS n, {r('bias', 'bias', 7)}, {r('g1 / nullif(g0, 0)', 'acf1', 7)}, {r(f'n * (n + 2) * ({_Q})', 'ljung_box', 3)}, {r(chi2_above(f'(n * (n + 2) * ({_Q}))', 10), 'ljung_box_p', 7)} FROM rs"))
 def residual_diagnostics(spark, sf_dir):
     return rounded(ev.residual_diagnostics(long(spark, sf_dir)), 7, {"ljung_box": 3})
 

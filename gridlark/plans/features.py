@@ -10,7 +10,7 @@ from ..operators import features as ft
 from ..operators import predictability as pr
 from ..registry import query
 from ..sources.panel import CPU
-from .fixtures import GRID, HORIZONS, PANEL, PER_DAY, grid, panel, r, rounded
+from .fixtures import DISK_GRID, GRID, HORIZONS, PANEL, PER_DAY, disk_grid, grid, panel, r, rounded
 
 H, M = 2, 3  # the horizon of the checked feature frame in steps, and the newest row that its features see
 W = "PARTITION BY container_id ORDER BY time_stamp"
@@ -43,8 +43,8 @@ def _roll(c: str, kind: str, w: int) -> str:
 
 @query("rolling_features", sql(GRID, "SELECT container_id, time_stamp, " + ", ".join(r(_roll(a, k, w), f"{a}_{k}_{w}", 5 if k == "std" else 7) for a in ("cpu", "mem") for w in ft.WINDOWS for k in _AGG) + " FROM grid"))
 def rolling_features(spark, sf_dir):
-    cols = ft.rolling_features(H)
-    out = grid(spark, sf_dir).select("container_id", "time_stamp", *[c.alias(n) for n, c in cols.items()])
+    cols = list(ft.rolling_features(H))
+    out = ft.with_rolling(grid(spark, sf_dir), H).select("container_id", "time_stamp", *cols)
     return rounded(out, 7, {n: 5 for n in cols if "_std_" in n})
 
 
@@ -157,9 +157,46 @@ def vm_features(spark, sf_dir):
     return rounded(f.select("container_id", "time_stamp", *_VM_OUT, "trend_2", "trend_6", "trend_12", "momentum"), 5)
 
 
-@query("latest_feature_row", sql(GRID + _BASE, f"SELECT container_id, time_stamp, {r('cpu0', f'cpu_lag_{M}')}, {r('cpu_mean_6', 'cpu_mean_6')}, {r('cpu', 'cpu_util_percent')} FROM f WHERE cpu IS NOT NULL QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY time_stamp DESC) = 1"))
+_WINDOWED = {n: lag({"cpu": "cpu", "mem": "mem", "disk": "disk"}[n.split("_")[0]], k) for n, (_, k) in ft.lag_names(H, True).items()}
+_WINDOWED |= {f"{a}_{k}_{w}": _roll(a, k, w) for a in ("cpu", "mem") for w in ft.WINDOWS for k in _AGG} | {f"{a}_day": lag(a, PER_DAY + M) for a in ("cpu", "mem")} | {f"{a}_target": f"lead({a}, {H}) OVER ({W})" for a in ("cpu", "mem")}
+_NEWEST = {f"{{a}}{k}": f"{{a}}_lag_{M + k}" for k in (0, 1, 2, 3, 47)}
+
+
+def _of(x: str, a: str) -> str:
+    """An expression over the newest values allowed, in the names of the frame."""
+    for short, name in sorted(_NEWEST.items(), key=lambda p: -len(p[0])):
+        x = x.replace(short, name)
+    return x.format(a=a)
+
+
+_EVERY = {n: n for n in _WINDOWED if not n.endswith("_day")}
+_EVERY |= {f"{a}_{n}": _of(x, a) for a in ("cpu", "mem") for n, x in (_TREND | _DIFF | _VOL).items()}
+_EVERY |= {f"{a}_{n}": _of(x, a) for a in ("cpu", "mem") for n, x in (("same_time_1d", "coalesce({a}_day, {a}0)"), ("diff_1d", "coalesce({a}0 - {a}_day, 0)"))}
+_C, _D = f"cpu_lag_{M}", f"mem_lag_{M}"
+_PRODUCT = f"({_C} - cpu_lag_{M + 1}) * ({_D} - mem_lag_{M + 1})"
+_EVERY |= {"cpu_mem_ratio": f"{_C} / ({_D} + 1e-6)", "cpu_mem_product": f"{_C} * {_D} / 100", "cpu_mem_diff": f"{_C} - {_D}", "corr_proxy": f"CASE WHEN {_PRODUCT} IS NOT NULL THEN greatest(-100.0, least(100.0, {_PRODUCT})) END"}
+_EVERY |= {"hour": _HOUR, "hour_sin": f"sin({_HOUR} * {_T / 24})", "hour_cos": f"cos({_HOUR} * {_T / 24})", "dow_sin": f"sin({_DOW} * {_T / 7})", "dow_cos": f"cos({_DOW} * {_T / 7})"}
+_EVERY |= {"naive_cpu": "cpu", "naive_mem": "mem", "cpu_residual": "cpu_target - cpu", "mem_residual": "mem_target - mem"}
+_WHOLE = {"saturation": f"coalesce({_C} > 70 AND {_D} > 70, false)::BIGINT", "divergence": f"coalesce(sign({_C} - cpu_lag_{M + 1}) <> sign({_D} - mem_lag_{M + 1}), true)::BIGINT", "dow": _DOW, "business": f"({_HOUR} BETWEEN 9 AND 17)::BIGINT"}
+#: Digits of the results: fewer where a deviation is part of a value.
+_DIGITS = {n: 7 for n in _EVERY if "_mean_" in n} | {n: 4 if n.partition("_")[2] in ("volatility", "cv", "range") else 5 for n in _EVERY if "_std_" in n or n.partition("_")[2] in ("volatility", "cv", "range") or n.startswith("cpu_mem_") or n == "corr_proxy"}
+_ALL = sql(DISK_GRID, f", f AS (SELECT container_id, time_stamp, cpu, mem, {', '.join(f'{x} AS {n}' for n, x in _WINDOWED.items())} FROM grid) SELECT container_id, time_stamp, {', '.join(r(x, n, _DIGITS.get(n, 6)) for n, x in _EVERY.items())}, {', '.join(f'{x} AS {n}' for n, x in _WHOLE.items())} FROM f")
+
+
+def _every(frame):
+    return rounded(frame.select("container_id", "time_stamp", *_EVERY, *_WHOLE), 6, _DIGITS)
+
+
+@query("feature_frame", _ALL)
+def feature_frame(spark, sf_dir):
+    """The whole feature build: every feature and target of every row, lags of disk use among them."""
+    return _every(ft.feature_frame(disk_grid(spark, sf_dir), H, PER_DAY))
+
+
+@query("latest_feature_row", _ALL + " WHERE cpu IS NOT NULL QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY time_stamp DESC) = 1")
 def latest_feature_row(spark, sf_dir):
-    return _pick(ft.latest_feature_row(_frame(spark, sf_dir)), [f"cpu_lag_{M}", "cpu_mean_6", CPU])
+    """All features of the newest row of each series, for scoring now."""
+    return _every(ft.latest_feature_row(ft.feature_frame(disk_grid(spark, sf_dir), H, PER_DAY)))
 
 
 _N = ", n AS (SELECT container_id, count(*) AS n FROM grid GROUP BY 1), h(horizon) AS (VALUES " + ", ".join(f"({h})" for h in HORIZONS) + ")"

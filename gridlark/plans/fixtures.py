@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.forecast import long_forecasts, wide_forecasts
 from ..operators.prepare import asof_resample
-from ..sources.panel import CPU, MEM, clip, dedup_panel, no_nan
+from ..sources.panel import CPU, DISK, MEM, clip, dedup_panel, no_nan
 
 #: Step of the grid in seconds, points of a day, horizons in steps.
 STEP, PER_DAY, HORIZONS = 3600, 24, (1, 2, 6, 12)
@@ -30,9 +30,22 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_panel(events_panel(spark, sf_dir), "event_id")
 
 
+def by_series(events: DataFrame) -> DataFrame:
+    """Rows by series from the start: the deduplication, the resampling and all windows share one shuffle.
+
+    The number of partitions is given, so that it isn't lowered to fit the raw rows: the grid has many times as many.
+    """
+    return events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "container_id")
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # by series from the start: the deduplication and the resampling share one shuffle
-    return asof_resample(dedup_panel(events_panel(spark, sf_dir).repartition("container_id"), "event_id"), STEP)
+    return asof_resample(dedup_panel(by_series(events_panel(spark, sf_dir)), "event_id"), STEP)
+
+
+def disk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with a third metric: disk use, made from the event's number."""
+    e = events_panel(spark, sf_dir).withColumn(DISK, (F.col("event_id") * 37 % 101).cast("double"))
+    return asof_resample(dedup_panel(by_series(e), "event_id"), STEP, (CPU, MEM, DISK))
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +69,7 @@ GRID = PANEL + f""",
 bounds AS (SELECT container_id, min(time_stamp) AS lo, max(time_stamp) AS hi FROM panel GROUP BY 1 HAVING count(*) >= 10 AND (max(time_stamp) - min(time_stamp)) // {STEP} + 1 >= 50),
 points AS (SELECT container_id, unnest(generate_series(lo, hi, {STEP}))::BIGINT AS time_stamp FROM bounds),
 grid AS (SELECT g.container_id, g.time_stamp, p.cpu, p.mem FROM points g ASOF LEFT JOIN panel p ON g.container_id = p.container_id AND g.time_stamp >= p.time_stamp)"""
+DISK_GRID = GRID.replace("event_id FROM events", "event_id, (event_id * 37 % 101)::DOUBLE AS disk FROM events").replace("p.cpu, p.mem", "p.cpu, p.mem, p.disk")
 _W = "PARTITION BY container_id ORDER BY time_stamp"
 WIDE = GRID + f""",
 moved AS (SELECT container_id, time_stamp, cpu, round(avg(cpu) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 9) AS mean6, round(avg(cpu) OVER ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 9) AS mean24,
@@ -71,4 +85,32 @@ def r(x: str, name: str | None = None, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0" + (f" AS {name}" if name else "")
 
 
+def _simpson(density: str, to: str, steps: int = 2000) -> str:
+    """Integral of a density of ``u`` from 0 to ``to`` in the SQL."""
+    at = f"(({to}) * i / {steps}.0)"
+    return f"(({to}) / {3 * steps}.0 * list_sum(list_transform(range({steps + 1}), lambda i: (CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.replace('u', at)})))"
+
+
+def t_beyond(t: str, df: str) -> str:
+    """Two-sided probability of Student's law in the SQL, by quadrature of its density."""
+    x = f"least(abs({t}), 40.0)"
+    density = f"EXP(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0) - 0.5 * LN({df} * pi()) - ({df} + 1) / 2.0 * LN(1 + u * u / {df}))"
+    return f"greatest(0, 1 - 2 * {_simpson(density, x)})"
+
+
+def t_above(t: str, df: str) -> str:
+    return f"(CASE WHEN {t} >= 0 THEN {t_beyond(t, df)} / 2 ELSE 1 - {t_beyond(t, df)} / 2 END)"
+
+
+def chi2_above(x: str, df: int) -> str:
+    """Upper tail of the chi-squared law in the SQL, by quadrature over the square root."""
+    density = f"(2 * POW(u, {df - 1}) * EXP(-u * u / 2 - {df} / 2.0 * LN(2) - lgamma({df} / 2.0)))"
+    return f"greatest(0, 1 - {_simpson(density, f'least(sqrt({x}), 40.0)', 4000)})"
+
+
+def phi_exact(z: str) -> str:
+    """Normal distribution function in the SQL, by its series with double factorials as gamma functions."""
+    return f"(CASE WHEN abs({z}) >= 9 THEN (1 + sign({z})) / 2 ELSE 0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(160), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))) END)"
+
+
 R2 = "1 - sum((y_true - {p}) * (y_true - {p})) / nullif(var_pop(y_true) * count(*), 0)"

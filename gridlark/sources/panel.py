@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CPU, MEM = "cpu_util_percent", "mem_util_percent"
+CPU, MEM, DISK = "cpu_util_percent", "mem_util_percent", "disk_io_percent"
 KEYS = ["container_id", "time_stamp"]
 
 #: Columns of a raw container usage file without a header, in order.
