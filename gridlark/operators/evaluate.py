@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import binomial_sf, chi2_sf, studentised_range_sf, t_sf, t_two_sided
+from ..functions.distributions import binomial_sf, chi2_sf, one_sided, studentised_range_sf, t_sf, t_two_sided
 from ..functions.expressions import average_rank, correlation, mae, normal_cdf, poisson_one, r2, ratio, rmse, skill
 
 QQ_LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -150,27 +150,41 @@ def paired_ttest(long: DataFrame, by: list[str]) -> DataFrame:
     return got.withColumn("p_sq", p("t_sq")).withColumn("p_abs", p("t_abs"))
 
 
+def autocovariances(rows: DataFrame, by: list[str], value: str, lags: int) -> DataFrame:
+    """``by, n, mean, g0, ..., n1, ...``: means of products of centred values ``k`` rows apart in a series, for k up to ``lags``; ``nk`` pairs each.
+
+    One pass: a row's values before it come as one short array instead of a lag each, and the mean is taken off the
+    sums of products afterwards.
+    """
+    w = Window.partitionBy(*by, "container_id").orderBy("time_stamp")
+    rows = rows.withColumn("before*", F.collect_list(value).over(w.rowsBetween(-lags, -1)))
+    d, other = F.col(value), [F.get("before*", F.size("before*") - k) for k in range(1, lags + 1)]
+    sums = [F.sum(d * d).alias("p0")]
+    for k, x in enumerate(other, 1):
+        sums += [F.sum(d * x).alias(f"p{k}"), F.sum(F.when(x.isNotNull(), d + x)).alias(f"s{k}"), F.count(x).alias(f"n{k}")]
+    got = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *sums)
+    mean = F.col("mean")
+    centred = {f"g{k}": ratio(F.col(f"p{k}") - mean * F.col(f"s{k}"), F.col(f"n{k}").cast("double")) + mean * mean for k in range(1, lags + 1)}
+    return got.withColumns({"g0": ratio(F.col("p0"), F.col("n").cast("double")) - mean * mean} | centred).drop("p0", *[f"{c}{k}" for c in "ps" for k in range(1, lags + 1)])
+
+
 def dm_test(long: DataFrame, max_lag: int) -> DataFrame:
     """Diebold-Mariano statistic of model against naive forecast on squared errors, lags within series only.
 
     Autocovariances up to ``min(max(h-1, 1), n/4, max_lag)`` are means over their own pairs; the variance has a
     floor, and the statistic the small-sample factor. ``p_one``: that the model isn't better; both p by Student's law
-    of n - 1 degrees. All lags come from one window and one aggregation.
+    of n - 1 degrees.
     """
-    w = Window.partitionBy("horizon", "model", "container_id").orderBy("time_stamp")
     d = long.withColumn("d", (y_true() - y_pred()) * (y_true() - y_pred()) - (y_true() - y_naive()) * (y_true() - y_naive()))
-    mean = d.groupBy("horizon", "model").agg(F.avg("d").alias("mean_d"), F.count("*").alias("n"))
-    c = d.join(F.broadcast(mean), ["horizon", "model"]).withColumn("c", F.col("d") - F.col("mean_d"))  # one row for each horizon and model
-    c = c.withColumns({f"g{k}": F.col("c") * F.lag("c", k).over(w) for k in range(1, max_lag + 1)})
-    got = c.groupBy("horizon", "model").agg(F.first("n").alias("n"), F.first("mean_d").alias("mean_d"), F.avg(F.col("c") * F.col("c")).alias("g0"), *[F.avg(f"g{k}").alias(f"g{k}") for k in range(1, max_lag + 1)])
+    got = autocovariances(d, ["horizon", "model"], "d", max_lag)
     h, n = F.col("horizon"), F.col("n")
     lags = F.least(F.greatest(h - 1, F.lit(1)), F.floor(n / 4))
     v = F.col("g0")
     for k in range(1, max_lag + 1):
         v = v + F.when(lags >= k, 2 * F.coalesce(F.col(f"g{k}"), F.lit(0.0))).otherwise(0.0)
     hln = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)
-    stat = F.col("mean_d") / F.sqrt(F.greatest(v / n, F.lit(1e-12))) * hln
-    return got.withColumn("dm", F.when(n >= 3, stat)).select("horizon", "model", "n", "dm", t_two_sided(F.col("dm"), n - 1).alias("p_two"), t_sf(-F.col("dm"), n - 1).alias("p_one"), F.when(n < 3, "too_few_points").alias("note"))
+    stat = F.col("mean") / F.sqrt(F.greatest(v / n, F.lit(1e-12))) * hln
+    return got.withColumn("dm", F.when(n >= 3, stat)).withColumn("p_two", t_two_sided(F.col("dm"), n - 1)).select("horizon", "model", "n", "dm", "p_two", one_sided(-F.col("dm"), F.col("p_two")).alias("p_one"), F.when(n < 3, "too_few_points").alias("note"))
 
 
 def dm_matrix(wide: DataFrame, models: list[str], least: int = 30) -> DataFrame:
@@ -221,17 +235,13 @@ def nemenyi_pairs(ranks: DataFrame, k: int) -> DataFrame:
 
 def residual_diagnostics(long: DataFrame, lags: int = 10) -> DataFrame:
     """Bias, lag-1 correlation and Ljung-Box Q of the residuals with its p, lags within series only."""
-    w = Window.partitionBy("horizon", "model", "container_id").orderBy("time_stamp")
-    e = long.withColumn("e", y_true() - y_pred())
-    mean = e.groupBy("horizon", "model").agg(F.avg("e").alias("bias"))
-    c = e.join(F.broadcast(mean), ["horizon", "model"]).withColumn("c", F.col("e") - F.col("bias"))  # one row for each horizon and model
-    c = c.withColumns({f"g{k}": F.col("c") * F.lag("c", k).over(w) for k in range(1, lags + 1)})
-    got = c.groupBy("horizon", "model").agg(F.count("*").alias("n"), F.first("bias").alias("bias"), F.sum(F.col("c") * F.col("c")).alias("g0"), *[F.sum(f"g{k}").alias(f"g{k}") for k in range(1, lags + 1)])
+    got = autocovariances(long.withColumn("e", y_true() - y_pred()), ["horizon", "model"], "e", lags)
     n, q = F.col("n"), F.lit(0.0)
-    for k in range(1, lags + 1):
-        r = F.coalesce(ratio(F.col(f"g{k}"), F.col("g0")), F.lit(0.0))
+    acf = [ratio(F.col(f"g{k}") * F.col(f"n{k}"), F.col("g0") * n) for k in range(1, lags + 1)]
+    for k, r in enumerate(acf, 1):
+        r = F.coalesce(r, F.lit(0.0))
         q = q + r * r / (n - k)
-    return got.select("horizon", "model", "n", "bias", ratio(F.col("g1"), F.col("g0")).alias("acf1"), (n * (n + 2) * q).alias("ljung_box")).withColumn("ljung_box_p", chi2_sf(F.col("ljung_box"), lags))
+    return got.select("horizon", "model", "n", F.col("mean").alias("bias"), acf[0].alias("acf1"), (n * (n + 2) * q).alias("ljung_box")).withColumn("ljung_box_p", chi2_sf(F.col("ljung_box"), lags))
 
 
 def residual_histogram(long: DataFrame, width: float = 5.0) -> DataFrame:
