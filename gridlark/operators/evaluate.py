@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import binomial_sf, chi2_sf, one_sided, studentised_range_sf, t_sf, t_two_sided
 from ..functions.expressions import average_rank, correlation, mae, normal_cdf, poisson_one, r2, ratio, rmse, skill
+from ..scratch import materialise
+from .ordering import running_sum, tile
+from .selection import percentile_columns
 
 QQ_LEVELS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 SERIES_BINS = ((0.1, "[0,.1)"), (0.3, "[.1,.3)"), (0.5, "[.3,.5)"), (0.7, "[.5,.7)"))
@@ -54,7 +57,9 @@ def mda(long: DataFrame, by: list[str]) -> DataFrame:
 def mase(long: DataFrame, denominators: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     each = long.groupBy(*by, "container_id").agg(F.count("*").alias("n"), mae(y_true(), y_pred()).alias("mae")).filter(F.col("n") >= least)
     each = each.join(denominators.filter("denominator is not null"), "container_id").withColumn("mase", F.col("mae") / F.col("denominator"))
-    return each.groupBy(*by).agg(F.count("*").alias("n_series"), F.percentile("mase", F.lit(0.5)).alias("median_mase"), F.avg("mase").alias("mean_mase"))
+    each = materialise(each.select(*by, "mase"), "mase")  # a row for each series, read in several passes
+    middle = percentile_columns(each, by, "mase", {"median_mase": 0.5})
+    return each.groupBy(*by).agg(F.count("*").alias("n_series"), F.avg("mase").alias("mean_mase")).join(middle, by)
 
 
 def skill_and_winrate(long: DataFrame, by: list[str]) -> DataFrame:
@@ -308,7 +313,8 @@ def threshold_sensitivity(table: DataFrame, score: str, label: str, cutoffs: tup
 
 def quartile_skill(long: DataFrame, acfs: DataFrame) -> DataFrame:
     """Errors and skill by quartile of the series' autocorrelation; ties by name."""
-    q = acfs.filter("acf is not null").withColumn("quartile", F.ntile(4).over(Window.orderBy("acf", "container_id")))  # one row for each series
+    q = running_sum(acfs.filter("acf is not null").select("container_id", "acf"), ["acf", "container_id"], F.lit(1), "place")
+    q = q.withColumn("quartile", tile(F.col("place"), F.col("place_total"), 4))
     each = series_errors(long).join(q.select("container_id", "quartile"), "container_id")
     return each.groupBy("horizon", "model", "quartile").agg(F.count("*").alias("n"), F.percentile("mae_model", F.lit(0.5)).alias("median_mae"), F.percentile("skill", F.lit(0.5)).alias("median_skill"), F.avg("skill").alias("mean_skill"), (100 * F.avg("won")).alias("win_pct"))
 

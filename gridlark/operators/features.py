@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import correlation
 from ..sources.panel import CPU, DISK, MEM
+from .ordering import running_sum
 from .prepare import by_time
 
 OFFSETS, WINDOWS, LONGEST = (0, 1, 2, 3, 5, 11, 23, 47), (6, 12, 24, 48), 96
@@ -297,8 +298,8 @@ def series_arrays(panel: DataFrame) -> DataFrame:
 def container_index(panel: DataFrame) -> DataFrame:
     """Where each series begins and ends when series are laid out by name."""
     n = panel.groupBy("container_id").agg(F.count("*").alias("n_points"))
-    w = Window.orderBy("container_id").rowsBetween(Window.unboundedPreceding, 0)  # one row for each series
-    return n.withColumn("end_idx", F.sum("n_points").over(w)).withColumn("start_idx", F.col("end_idx") - F.col("n_points"))
+    ends = running_sum(n, ["container_id"], F.col("n_points"), "end_idx").drop("end_idx_total")
+    return ends.withColumn("start_idx", F.col("end_idx") - F.col("n_points"))
 
 
 def mase_denominator(panel: DataFrame, per_day: int) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ratio
+from ..functions.expressions import mae, r2, ratio
 from ..sources.panel import CPU
 from .prepare import by_time
 
@@ -67,14 +67,88 @@ def nnls_weights(wide: DataFrame, models: tuple[str, ...], by: list[str], leave_
     for r in gram(wide, models, by).collect():
         for gone in (None, *models) if leave_out else (None,):
             used = [m for m in models if m != gone]
-            at = lambda a, b: r[f"{a}*{b}"] if f"{a}*{b}" in r.__fields__ else r[f"{b}*{a}"]  # noqa: E731, B023
-            w = nnls(np.array([[at(a, b) for b in used] for a in used]), np.array([r[f"{a}*y"] for a in used]))
+            w = nnls(*gram_matrix(r, used))
             w = w / w.sum() if w.sum() > 1e-8 else np.full(len(used), 1 / len(used))
             out += [(*[r[c] for c in by], gone or "none", m, float(x)) for m, x in zip(used, w, strict=True)]
     types = dict(wide.dtypes)
     return wide.sparkSession.createDataFrame(out, ", ".join(f"{c} {types[c]}" for c in by) + ", left_out string, model string, weight double")
 
 
+def ridge_cv(wide: DataFrame, models: tuple[str, ...], by: list[str], sums: list, alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> dict[tuple, tuple[float, np.ndarray]]:
+    """Penalty and weights of a ridge regression without intercept for each group, the penalty by least leave-one-out error (the first of equal ones).
+
+    ``sums``: the rows of :func:`gram`. The eigenvectors of a group's sums give its weights and the matrix of its
+    leverages for every penalty; one pass over the rows then takes all left-out errors, ``(y - wx) / (1 - h)``.
+    """
+    k, fits = len(models), {}
+    for r in sums:
+        xx, xy = gram_matrix(r, models)
+        values, vectors = np.linalg.eigh(xx)
+        fits[tuple(r[c] for c in by)] = [(a, (inverse := (vectors / (values + a)) @ vectors.T) @ xy, inverse) for a in alphas]
+    types = dict(wide.dtypes)
+    rows = [(*key, [[*map(float, w), *map(float, inverse.ravel())] for _, w, inverse in fit]) for key, fit in fits.items()]
+    table = wide.sparkSession.createDataFrame(rows, ", ".join(f"{c} {types[c]}" for c in by) + ", fits array<array<double>>")
+    x = [F.col(m) - F.col("y_naive") for m in models]
+    errors = []
+    for j in range(len(alphas)):
+        fit = F.col("fits")[j]
+        e = F.col("y_true") - F.col("y_naive") - sum((fit[a] * x[a] for a in range(1, k)), fit[0] * x[0])
+        h = sum((fit[k + a * k + b] * x[a] * x[b] for a in range(k) for b in range(k)), F.lit(0.0))
+        left_out = ratio(e, 1 - h)
+        errors.append(F.avg(left_out * left_out).alias(f"e{j}"))
+    got = wide.join(F.broadcast(table), by).groupBy(*by).agg(*errors).collect()  # a row for each group
+    best = {}
+    for r in got:
+        key = tuple(r[c] for c in by)
+        j = min(range(len(alphas)), key=lambda j: (r[f"e{j}"] is None, r[f"e{j}"] or 0.0, j))  # noqa: B023
+        best[key] = fits[key][j][:2]
+    return best
+
+
+def gram_matrix(r, models: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the models with each other and with the target, from a row of :func:`gram`."""
+    at = lambda a, b: r[f"{a}*{b}"] if f"{a}*{b}" in r.__fields__ else r[f"{b}*{a}"]
+    return np.array([[at(a, b) for b in models] for a in models], float), np.array([r[f"{a}*y"] for a in models], float)
+
+
+METHODS = ("nnls", "simple_average", "ridge", "bates_granger", "best_individual")
+
+
+def weights_text(names: Column, weights: Column) -> Column:
+    """Names and weights to three digits in one string: ``a=0.250 b=0.750``."""
+    return F.array_join(F.transform(F.arrays_zip(names.alias("name"), weights.alias("weight")), lambda w: F.format_string("%s=%.3f", w["name"], F.round(w["weight"], 3) + 0.0)), " ")
+
+
+def combine_methods(train: DataFrame, test: DataFrame, models: tuple[str, ...], by: list[str], alphas: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> DataFrame:
+    """``by, method, n_models, alpha, weights, r2, mae``: five ways to combine forecasts in residual space, fitted on ``train`` and scored on ``test``.
+
+    ``nnls``: non-negative least squares, adding up to 1; ``simple_average``; ``ridge``: penalty by leave-one-out
+    error, no intercept, used as fitted and shown adding up to 1; ``bates_granger``: by inverse squared error;
+    ``best_individual``: the model of least absolute error. Three passes over all: sums of products, left-out errors,
+    scores. Groups without training rows have no row, those without test rows NULL scores.
+    """
+    k, spark = len(models), train.sparkSession
+    absolute = train.groupBy(*by).agg(*[F.sum(F.abs(F.col("y_true") - F.col(m))).alias(f"abs*{m}") for m in models])
+    sums = gram(train, models, by).join(absolute, by).collect()  # a row for each group
+    ridge, rows = ridge_cv(train, models, by, sums, alphas), []
+    for r in sums:
+        key, (xx, xy) = tuple(r[c] for c in by), gram_matrix(r, models)
+        w = nnls(xx, xy)
+        mse = (np.diag(xx) - 2 * xy + r["y*y"]) / r["n"]
+        inverse = 1 / np.maximum(mse, 1e-12)
+        best = np.eye(k)[min(range(k), key=lambda a: (r[f"abs*{models[a]}"], a))]  # noqa: B023
+        alpha, ridge_w = ridge[key]
+        for method, w in zip(METHODS, (w / w.sum() if w.sum() > 1e-8 else np.full(k, 1 / k), np.full(k, 1 / k), ridge_w, inverse / inverse.sum(), best), strict=True):
+            shown = w / w.sum() if method == "ridge" and abs(w.sum()) > 1e-8 else w
+            rows.append((*key, method, 1 if method == "best_individual" else k, alpha if method == "ridge" else None, [*map(float, w)], [*map(float, shown)]))
+    types = dict(train.dtypes)
+    table = spark.createDataFrame(rows, ", ".join(f"{c} {types[c]}" for c in by) + ", method string, n_models long, alpha double, w array<double>, shown array<double>")
+    p = F.col("y_naive") + sum((F.col("w")[a] * (F.col(m) - F.col("y_naive")) for a, m in enumerate(models)), F.lit(0.0))
+    scored = test.join(F.broadcast(table.select(*by, "method", "w")), by).groupBy(*by, "method").agg(r2(F.col("y_true"), p).alias("r2"), mae(F.col("y_true"), p).alias("mae"))
+    text = weights_text(F.array(*map(F.lit, models)), F.col("shown"))
+    return table.select(*by, "method", "n_models", "alpha", text.alias("weights")).join(scored, [*by, "method"], "left")
+
+
 def apply_weights(long: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
     """Combined forecasts: naive plus the weighted residuals of the models that a row has, by weights rescaled to those."""
     got = long.join(F.broadcast(weights), [*by, "model"])  # one row for each group and model

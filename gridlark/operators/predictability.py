@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio
+from ..scratch import materialise
 from .prepare import by_time
+from .selection import exact_percentiles
 
 
 def series_cv(panel: DataFrame, metric: str) -> DataFrame:
@@ -34,6 +36,15 @@ def hurst_rs(panel: DataFrame, metric: str, powers: tuple[int, ...] = (3, 4, 5,
     return mean.groupBy("container_id").agg(F.regr_slope(F.log("rs"), F.log("size")).alias("hurst"), F.count("*").alias("n_sizes")).filter("n_sizes >= 3").drop("n_sizes")
 
 
+def predictability_table(panel: DataFrame, metric: str, lags: tuple[int, ...]) -> DataFrame:
+    """One row: medians over all series of variation, Hurst exponent and autocorrelations; NULL where no series has one."""
+    long = lambda df: df.unpivot(["container_id"], [c for c in df.columns if c != "container_id"], "measure", "value")
+    names = ["cv", "hurst", *[f"acfg_{k}" for k in lags]]
+    rows = long(series_cv(panel, metric)).unionByName(long(hurst_rs(panel, metric))).unionByName(long(acf_global_mean(panel, metric, lags)))
+    middle = exact_percentiles(materialise(rows.select("measure", "value"), "measures"), ["measure"], "value", (0.5,))
+    return middle.agg(*[F.max(F.when(F.col("measure") == n, F.col("percentile"))).alias(f"median_{n.replace('acfg', 'acf')}") for n in names])
+
+
 def spectral_omega(panel: DataFrame, metric: str, periods: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 24, 48)) -> DataFrame:
     """One less the entropy of the power at a few periods over its largest value: 1 for one period alone, 0 for equal powers."""
     c = panel.withColumn("pos", F.row_number().over(by_time()) - 1).withColumn("c", F.col(metric) - F.avg(metric).over(Window.partitionBy("container_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import correlation
 from ..sources.panel import CPU, MEM
 from .prepare import by_time
+from .selection import percentile_columns
 
 # Tier rules (lifespan in hours, records, completeness), best tier first.
 TIERS_A = ((168, 1700, 0.85), (120, 1000, 0.70), (72, 500, 0.60), (24, 140, 0.50), (6, 30, 0.40))
@@ -62,10 +63,10 @@ def completeness_grades(panel: DataFrame, metrics: tuple[str, ...] = (CPU, MEM))
 
 
 def resource_summary(panel: DataFrame, metrics: tuple[str, ...] = (CPU, MEM)) -> DataFrame:
-    """Moments and percentiles of each metric over its valid range."""
+    """Moments and percentiles of each metric over its valid range; the percentiles are exact however many values there are."""
     long = panel.unpivot([], list(metrics), "metric", "value").filter("value between 0 and 100")
-    q = [F.percentile("value", F.lit(p)).alias(f"p{int(100 * p):02d}") for p in (0.25, 0.5, 0.75, 0.95)]
-    return long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), *q)
+    q = percentile_columns(long, ["metric"], "value", {f"p{int(100 * p):02d}": p for p in (0.25, 0.5, 0.75, 0.95)})
+    return long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi")).join(q, "metric")
 
 
 def cpu_mem_correlation(panel: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import features as ft
 from ..operators import forecast as fc
 from ..operators import intervals as iv
 from ..operators import predictability as pr
+from ..operators.prepare import temporal_split
 from ..registry import query
 from ..sources.panel import CPU
 from .fixtures import GRID, HORIZONS, LONG, PER_DAY, R2, WIDE, chi2_above, grid, long, phi_exact, r, rounded, t_above, t_beyond, wide
@@ -394,6 +395,44 @@ def loo_combine(spark, sf_dir):
     return rounded(got.groupBy("horizon", "left_out").agg(r2_of(F.col("y_true"), F.col("y_pred")).alias("r2"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
 
 
+# fitted before the test split of the global clock, scored on it
+_SPLIT = WIDE + ", tb AS (SELECT min(time_stamp) + 0.85::DOUBLE * (max(time_stamp) - min(time_stamp)) AS cut FROM wide), tr AS (SELECT * FROM wide WHERE time_stamp < (SELECT cut FROM tb)), te AS (SELECT * FROM wide WHERE time_stamp >= (SELECT cut FROM tb))"
+_FITTED = _SPLIT + _NNLS[len(WIDE) :].replace("FROM wide", "FROM tr")
+_AT = [f"x_{min(a, b)}_{max(a, b)}" for a in _THREE for b in _THREE]
+
+
+def _cofactor(i: int, j: int) -> str:
+    """Entry of the inverse of the 3 by 3 matrix of sums with the penalty, times its determinant."""
+    at = lambda a, b: f"({_AT[3 * a + b]} + {'alpha' if a == b else '0'})"
+    p, q = ([k for k in range(3) if k != x] for x in (j, i))
+    return f"{'' if (i + j) % 2 == 0 else '-'}({at(p[0], q[0])} * {at(p[1], q[1])} - {at(p[0], q[1])} * {at(p[1], q[0])})"
+
+
+_DETERMINANT = " + ".join(f"(x_{min(_THREE[0], m)}_{max(_THREE[0], m)} + {'alpha' if j == 0 else '0'}) * ({_cofactor(j, 0)})" for j, m in enumerate(_THREE))
+_D3 = [f"({m} - y_naive)" for m in _THREE]
+_RIDGE = f""", rd AS (SELECT gs.*, alpha, {_DETERMINANT} AS det FROM gs, (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0)) AS p(alpha)),
+ri AS (SELECT horizon, alpha, {', '.join(f'({_cofactor(i, j)}) / det AS v{i}{j}' for i in range(3) for j in range(3))}, {', '.join(f'y_{m}' for m in _THREE)} FROM rd),
+rw AS (SELECT *, {', '.join(f"{' + '.join(f'v{i}{j} * y_{m}' for j, m in enumerate(_THREE))} AS w{i}" for i in range(3))} FROM ri),
+rl AS (SELECT horizon, alpha, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, avg(pow((y_true - y_naive - {' - '.join(f'w{i} * {d}' for i, d in enumerate(_D3))}) / (1 - ({' + '.join(f'v{i}{j} * {a} * {b}' for i, a in enumerate(_D3) for j, b in enumerate(_D3))})), 2)) AS loo FROM tr JOIN rw USING (horizon) GROUP BY 1, 2),
+rb AS (SELECT horizon, first(alpha ORDER BY loo, alpha) AS alpha, first([w0, w1, w2] ORDER BY loo, alpha) AS w FROM rl GROUP BY 1),
+em AS (SELECT horizon, {', '.join(f'1 / greatest(avg(pow(y_true - {m}, 2)), 1e-12) AS i{k}, avg(abs(y_true - {m})) AS a{k}' for k, m in enumerate(_THREE))} FROM tr GROUP BY 1),
+cm AS (SELECT horizon, 'nnls' AS method, 3 AS n_models, NULL::DOUBLE AS alpha, [{', '.join(f"max(weight) FILTER (model = {m!r})" for m in _THREE)}] AS w FROM nw WHERE left_out = 'none' GROUP BY 1
+  UNION ALL SELECT horizon, 'simple_average', 3, NULL, [1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE] FROM em
+  UNION ALL SELECT horizon, 'ridge', 3, alpha, w FROM rb
+  UNION ALL SELECT horizon, 'bates_granger', 3, NULL, [i0 / (i0 + i1 + i2), i1 / (i0 + i1 + i2), i2 / (i0 + i1 + i2)] FROM em
+  UNION ALL SELECT horizon, 'best_individual', 1, NULL, CASE WHEN a0 <= a1 AND a0 <= a2 THEN [1.0, 0.0, 0.0] WHEN a1 <= a2 THEN [0.0, 1.0, 0.0] ELSE [0.0, 0.0, 1.0] END FROM em),
+cs AS (SELECT *, CASE WHEN method = 'ridge' AND abs(list_sum(w)) > 1e-8 THEN list_sum(w) ELSE 1 END AS total FROM cm),
+ct AS (SELECT horizon, method, n_models, alpha, {" || ' ' || ".join(f"printf('{m}=%.3f', round(w[{k + 1}] / total, 3) + 0.0)" for k, m in enumerate(_THREE))} AS weights, w FROM cs),
+cv AS (SELECT ct.horizon, method, n_models, alpha, weights, y_true, y_naive + {' + '.join(f'w[{k + 1}] * {d}' for k, d in enumerate(_D3))} AS y_pred FROM te JOIN ct USING (horizon))"""
+
+
+@query("combine_methods", f"WITH {_FITTED}{_RIDGE} SELECT horizon::BIGINT AS horizon, method, n_models::BIGINT AS n_models, {r('alpha', 'alpha')}, weights, {r(r2('y_pred'), 'r2')}, {r('avg(abs(y_true - y_pred))', 'mae')} FROM cv GROUP BY ALL")
+def combine_methods(spark, sf_dir):
+    """Five combinations of three models for each horizon, fitted before the test split and scored on it."""
+    rows = temporal_split(wide(spark, sf_dir), (0.85, 0.85))
+    return rounded(fc.combine_methods(rows.filter("split = 'train'"), rows.filter("split = 'test'"), tuple(_THREE), ["horizon"]))
+
+
 _GAP = ", gap AS (SELECT * FROM fc WHERE NOT (model = 'mean24' AND (time_stamp // 3600) % 3 = 0)), gw AS (SELECT horizon, model, 1 / greatest(avg((y_true - y_pred) * (y_true - y_pred)), 1e-12) AS weight FROM fc GROUP BY 1, 2)"
 
 

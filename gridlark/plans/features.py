@@ -298,10 +298,7 @@ def hurst_rs(spark, sf_dir):
 
 @query("predictability_table", sql(GRID + _HURST + _ACFG, f"SELECT {r('(SELECT median(CASE WHEN m >= 1e-6 THEN s / m END) FROM (SELECT avg(cpu) AS m, stddev_samp(cpu) AS s FROM grid GROUP BY container_id))', 'median_cv', 8)}, {r('(SELECT median(hurst) FROM hurst)', 'median_hurst', 8)}, {', '.join(r(f'(SELECT median(acfg_{k}) FROM acfg)', f'median_acf_{k}', 8) for k in _LAGS)}"))
 def predictability_table(spark, sf_dir):
-    g = grid(spark, sf_dir)
-    mid = lambda c: F.percentile(c, F.lit(0.5)).alias(f"median_{c.replace('acfg', 'acf')}")
-    parts = [pr.series_cv(g, CPU).agg(mid("cv")), pr.hurst_rs(g, CPU).agg(mid("hurst")), pr.acf_global_mean(g, CPU, _LAGS).agg(*[mid(f"acfg_{k}") for k in _LAGS])]
-    return rounded(parts[0].crossJoin(parts[1]).crossJoin(parts[2]), 8)  # one row each
+    return rounded(pr.predictability_table(grid(spark, sf_dir), CPU, _LAGS), 8)
 
 
 _PERIODS = (2, 3, 4, 6, 8, 12, 24, 48)

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..scratch import scratch_path
 from ..sources.panel import CPU
 from ..streaming.jobs import stream_adaptive_interval, stream_grid_rollup
 from .fixtures import rounded
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="gridlark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/gridlark-stream-{uuid.uuid4().hex}"
-
-
 def run_once(stream: DataFrame, schema: str) -> DataFrame:
     """Write all that a stream has now to files in the shared folder, and read them."""
-    spark, path = stream.sparkSession, _shared(stream.sparkSession)
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/out")
@@ -33,7 +22,7 @@ def run_once(stream: DataFrame, schema: str) -> DataFrame:
 
 def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Write what each batch changes of an aggregate to a folder of its own in the shared folder; the last row of each key."""
-    spark, path = stream.sparkSession, _shared(stream.sparkSession)
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
     schema = stream.schema
 
     def save(rows: DataFrame, batch: int) -> None:
