@@ -86,23 +86,90 @@ def adaptive_fold(y: np.ndarray, p: np.ndarray, gamma: float, alpha: float = 0.2
     return n, misses, width, a
 
 
+class AdaptiveSeries:
+    """Adaptive intervals of one series for several step sizes, fed residual by residual: the step sizes share the buffer of the last absolute residuals."""
+
+    def __init__(self, gammas: tuple[float, ...], alpha: float, buffer: int, warm: int):
+        self.gammas, self.alpha, self.buffer, self.warm = gammas, alpha, buffer, warm
+        self.levels, self.ordered, self.recent, self.seen = [alpha] * len(gammas), [], deque(), 0
+        self.misses, self.widths, self.steps = [0] * len(gammas), [0.0] * len(gammas), 0
+
+    def feed(self, e: float) -> list[float] | None:
+        """Half-widths before this residual is known; None while the buffer only fills. Then the residual is taken in."""
+        half = None
+        if self.ordered and self.seen >= self.warm:
+            half = [quantile(self.ordered, 1 - a) for a in self.levels]
+            self.steps += 1
+            for j, (q, g) in enumerate(zip(half, self.gammas, strict=True)):
+                miss = e > q
+                self.misses[j] += miss
+                self.widths[j] += 2 * q
+                self.levels[j] = min(0.99, max(0.01, self.levels[j] + g * (self.alpha - miss)))
+        self.seen += 1
+        insort(self.ordered, e)
+        self.recent.append(e)
+        if len(self.recent) > self.buffer:
+            del self.ordered[bisect_left(self.ordered, self.recent.popleft())]
+        return half
+
+
+SERIES = ["horizon", "model", "container_id"]
+
+
+def _in_order(long: DataFrame, more: list[str]) -> DataFrame:
+    """Rows by series and time with the number of the series' rows, ``n``: what a task reads as one stream, batch by batch."""
+    rows = long.select(F.col("horizon").cast("int").alias("horizon"), "model", "container_id", "time_stamp", "y_true", "y_pred", *more, F.count("*").over(Window.partitionBy(*SERIES)).alias("n"))
+    return rows.sortWithinPartitions(*SERIES, "time_stamp")
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, bool, pd.DataFrame]]:
+    """Stretches of one series in the batches of a sorted stream: its key, whether it begins there, its rows."""
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        new = (b[SERIES] != b[SERIES].shift()).any(axis=1).to_numpy()
+        new[0] = True
+        cuts = [*np.flatnonzero(new).tolist(), len(b)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = b.iloc[i:j]
+            key = tuple(part[SERIES].iloc[0])
+            yield key, key != last, part
+            last = key
+
+
 def adaptive_conformal(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), alpha: float = 0.2, buffer: int = 2000, calibration: float = 0.5) -> DataFrame:
-    """Coverage and mean width of each series' adaptive intervals for each step size; a series on its grid is the unit of work.
+    """Coverage and mean width of each series' adaptive intervals for each step size.
 
-    The first ``calibration`` share of a series' residuals stands in for those of a validation split.
+    The first ``calibration`` share of a series' residuals stands in for those of a validation split. A task reads its
+    series one after the other in order of time and keeps the last ``buffer`` residuals of the one at hand over batch
+    borders, so that a series of any length passes through.
     """
+    columns = [*SERIES, "gamma", "n", "coverage", "width", "last_alpha"]
 
-    def fold(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("time_stamp")
-        out = []
-        for g in gammas:
-            n, misses, width, last = adaptive_fold(b.y_true.to_numpy(float), b.y_pred.to_numpy(float), g, alpha, buffer, int(calibration * len(b)))
-            if n:
-                out.append((*key, g, n, 1 - misses / n, width / n, last))
-        return pd.DataFrame(out, columns=["horizon", "model", "container_id", "gamma", "n", "coverage", "width", "last_alpha"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
 
-    rows = long.select(F.col("horizon").cast("int"), "model", "container_id", "time_stamp", "y_true", "y_pred")
-    return rows.groupBy("horizon", "model", "container_id").applyInPandas(fold, "horizon int, model string, container_id string, gamma double, n long, coverage double, width double, last_alpha double")
+        def result() -> list[tuple]:
+            if state is None or not state.steps:
+                return []
+            return [(*key, g, state.steps, 1 - state.misses[j] / state.steps, state.widths[j] / state.steps, state.levels[j]) for j, g in enumerate(gammas)]
+
+        out = []
+        for now, begins, part in _runs(batches):
+            if begins:
+                out += result()
+                key, state = now, AdaptiveSeries(gammas, alpha, buffer, int(calibration * part["n"].iloc[0]))
+                if len(out) > 10_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            for e in (part.y_true - part.y_pred).abs().tolist():
+                state.feed(e)
+        out += result()
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    return _in_order(long, []).mapInPandas(fold, "horizon int, model string, container_id string, gamma double, n long, coverage double, width double, last_alpha double")
 
 
 def aggregate_experts(adaptive: DataFrame, eta: float = 10.0) -> DataFrame:
@@ -118,18 +185,27 @@ def aggregate_experts(adaptive: DataFrame, eta: float = 10.0) -> DataFrame:
 def expert_bounds(long: DataFrame, gammas: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1), eta: float = 10.0, alpha: float = 0.2, buffer: int = 2000, calibration: float = 0.5) -> DataFrame:
     """``lower, upper`` of every step after the calibration share: the step sizes' intervals weighted by ``exp(-eta * miss rate)``.
 
-    Miss rates are those of the same steps (in sample), as in ``aggregate_experts``. A series of one residual gives no rows.
+    Miss rates are those of the same steps (in sample), as in ``aggregate_experts``; so the series are read twice, first
+    for the weights. A series of one residual gives no rows.
     """
-
-    def fold(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("time_stamp", kind="stable")
-        errors = (b.y_true - b.y_pred).abs().tolist()
-        runs = [list(adaptive_steps(errors, g, alpha, buffer, int(calibration * len(b)))) for g in gammas]
-        kept = b.iloc[[k for k, *_ in runs[0]]]
-        missed = np.array([np.mean([miss for _, _, miss, _ in run] or [0.0]) for run in runs])
-        weights = np.exp(-eta * (missed - missed.min()))
-        half = weights @ np.array([[q for _, q, _, _ in run] for run in runs]) / weights.sum()
-        return kept.assign(lower=kept.y_pred - half, upper=kept.y_pred + half).drop(columns="y_pred")
-
-    rows = long.select(F.col("horizon").cast("int"), "model", "container_id", "time_stamp", "y_true", "y_pred")
-    return rows.groupBy("horizon", "model", "container_id").applyInPandas(fold, "horizon int, model string, container_id string, time_stamp long, y_true double, lower double, upper double")
+    rates = adaptive_conformal(long, gammas, alpha, buffer, calibration)
+    raw = F.transform(F.array_sort(F.collect_list(F.struct("gamma", (1 - F.col("coverage")).alias("miss")))), lambda r: r["miss"])
+    rates = rates.groupBy(*SERIES).agg(raw.alias("missed"))
+    order = np.argsort(gammas)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = weights = None
+        for _, begins, part in _runs(batches):
+            if begins:
+                missed = np.empty(len(gammas))
+                missed[order] = part["missed"].iloc[0]
+                weights = np.exp(-eta * (missed - missed.min()))
+                weights, state = weights / weights.sum(), AdaptiveSeries(gammas, alpha, buffer, int(calibration * part["n"].iloc[0]))
+            half = [state.feed(e) for e in (part.y_true - part.y_pred).abs().tolist()]
+            at = [k for k, h in enumerate(half) if h is not None]
+            if at:
+                kept, width = part.iloc[at], np.array([half[k] for k in at]) @ weights
+                yield kept.assign(lower=kept.y_pred - width, upper=kept.y_pred + width)[[*SERIES, "time_stamp", "y_true", "lower", "upper"]]
+
+    rows = long.select(F.col("horizon").cast("int").alias("horizon"), "model", "container_id", "time_stamp", "y_true", "y_pred").join(rates, SERIES)
+    return _in_order(rows, ["missed"]).mapInPandas(fold, "horizon int, model string, container_id string, time_stamp long, y_true double, lower double, upper double")

@@ -476,6 +476,35 @@ def aggregate_experts(spark, sf_dir):
     return rounded(iv.aggregate_experts(iv.adaptive_conformal(rows)))
 
 
+_GAMMAS = (0.01, 0.02, 0.05, 0.1)
+_SHORT = f""", au AS (SELECT horizon, container_id, list(abs(y_true - y_pred) ORDER BY time_stamp) AS e, count(*) AS n FROM fc WHERE model = 'mean24' GROUP BY 1, 2),
+ak AS (SELECT horizon, container_id, unnest(range(greatest(1, n // 2), n)) AS k, n, e FROM au),
+ao AS (SELECT horizon, container_id, k, e[k + 1] AS e, list_sort(e[greatest(1, k - 199) : k]) AS s FROM ak),
+al AS (SELECT horizon, container_id, list({{'e': e, 's': s}} ORDER BY k) AS steps FROM ao GROUP BY 1, 2),
+af AS (SELECT horizon, container_id, gamma, list_reduce(steps, lambda acc, x: {{'e': 0.0::DOUBLE, 's': [
+    least(0.99, greatest(0.01, acc.s[1] + gamma * (0.2::DOUBLE - (x.e > x.s[1 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT] + ((len(x.s) - 1) * (1 - acc.s[1]) - floor((len(x.s) - 1) * (1 - acc.s[1]))) * (x.s[least(len(x.s), 2 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT)] - x.s[1 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT]))::INT))),
+    acc.s[2] + 1,
+    acc.s[3] + (x.e > x.s[1 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT] + ((len(x.s) - 1) * (1 - acc.s[1]) - floor((len(x.s) - 1) * (1 - acc.s[1]))) * (x.s[least(len(x.s), 2 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT)] - x.s[1 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT]))::INT,
+    acc.s[4] + 2 * (x.s[1 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT] + ((len(x.s) - 1) * (1 - acc.s[1]) - floor((len(x.s) - 1) * (1 - acc.s[1]))) * (x.s[least(len(x.s), 2 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT)] - x.s[1 + floor((len(x.s) - 1) * (1 - acc.s[1]))::BIGINT]))]}},
+    {{'e': 0.0::DOUBLE, 's': [0.2::DOUBLE, 0.0, 0.0, 0.0]}}).s AS f FROM al, (VALUES {', '.join(f'({g}::DOUBLE)' for g in _GAMMAS)}) AS g(gamma)),
+ac2 AS (SELECT horizon, 'mean24' AS model, container_id, gamma, f[2] AS n, 1 - f[3] / f[2] AS coverage, f[4] / f[2] AS width, f[1] AS last_alpha FROM af)"""
+
+
+@query("adaptive_conformal_short", sql(LONG + _SHORT, f"SELECT horizon::BIGINT AS horizon, model, container_id, {r('gamma', 'gamma')}, n::BIGINT AS n, {r('coverage', 'coverage')}, {r('width', 'width')}, {r('last_alpha', 'last_alpha')} FROM ac2"))
+def adaptive_conformal_short(spark, sf_dir):
+    """Adaptive intervals with a buffer of 200 residuals, which SQL can fold."""
+    return rounded(iv.adaptive_conformal(fc.long_forecasts(wide(spark, sf_dir), ("mean24",)), _GAMMAS, buffer=200))
+
+
+_EXPERTS = """, ar AS (SELECT *, exp(-10 * (1 - coverage - min(1 - coverage) OVER (PARTITION BY horizon, container_id))) AS raw FROM ac2), aw AS (SELECT *, raw / sum(raw) OVER (PARTITION BY horizon, container_id) AS weight FROM ar)"""
+
+
+@query("aggregate_experts_short", sql(LONG + _SHORT + _EXPERTS, f"SELECT horizon::BIGINT AS horizon, model, {r('sum(weight * width) / sum(weight)', 'width')}, {r('avg(coverage)', 'mean_coverage')} FROM aw GROUP BY 1, 2"))
+def aggregate_experts_short(spark, sf_dir):
+    """Step sizes weighted by their misses, over intervals with a buffer of 200 residuals."""
+    return rounded(iv.aggregate_experts(iv.adaptive_conformal(fc.long_forecasts(wide(spark, sf_dir), ("mean24",)), _GAMMAS, buffer=200)))
+
+
 @query("expert_bounds")
 def expert_bounds(spark, sf_dir):
     """Bounds of every step by all step sizes together; a fold by series, which tests hold against a plain loop."""
