@@ -112,13 +112,21 @@ def auc_bca(cells: DataFrame, by: list[str], score: str, label: str, key: str, r
     drawn = cells.select(*by, key, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = drawn.withColumn("c", poisson_one(hash_part(F.concat_ws("/", key, "replicate")) / float(2**32))).filter("c > 0")
     drawn = drawn.groupBy(*by, "replicate", score).agg(F.sum(F.col("c") * yes).alias("p"), F.sum(F.col("c") * no).alias("q"))
+    got = own.join(_replicated_aucs(drawn, by, score), by, "left").withColumn("auc", F.when(F.col("boot").isNotNull(), F.col("auc")))
+    return _bca_interval(got, by, F.lit(1e-6), alpha)
+
+
+def _replicated_aucs(drawn: DataFrame, by: list[str], score: str) -> DataFrame:
+    """``by, boot``: the AUCs of the replicates in order, from the numbers of positives and negatives at each score."""
     below = F.sum("q").over(Window.partitionBy(*by, "replicate").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("q") / 2
     boot = drawn.withColumn("below", below).groupBy(*by, "replicate").agg(ratio(F.sum(F.col("p") * F.col("below")), (F.sum("p") * F.sum("q")).cast("double")).alias("b")).filter("b is not null")
-    boot = boot.groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("boot"))  # at most one number a replicate
+    return boot.groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("boot"))  # at most one number a replicate
+
 
-    got = own.join(boot, by, "left").withColumn("auc", F.when(F.col("boot").isNotNull(), F.col("auc")))
+def _bca_interval(got: DataFrame, by: list[str], least: Column, alpha: float) -> DataFrame:
+    """Interval from ``auc, acceleration, boot``; ``least``: smallest share of replicates below the AUC that counts."""
     share = F.size(F.filter("boot", lambda b: b < F.col("auc"))) / F.size("boot")
-    got = got.withColumn("z0", normal_inverse(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))))
+    got = got.withColumn("z0", normal_inverse(F.greatest(least, F.least(1 - least, share))))
 
     def bound(level: float) -> Column:
         z = F.col("z0") + NormalDist().inv_cdf(level)
@@ -131,6 +139,30 @@ def auc_bca(cells: DataFrame, by: list[str], score: str, label: str, key: str, r
     return got.select(*by, "n", "pos", "auc", only("z0"), only("acceleration"), bound(alpha / 2).alias("lo"), bound(1 - alpha / 2).alias("hi"))
 
 
+def auc_bca_stratified(cells: DataFrame, by: list[str], score: str, label: str, key: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
+    """As :func:`auc_bca`, drawing positives and negatives apart, as many of each as there are, and with the acceleration that the skewness of the replicates gives.
+
+    Each cell of a class draws one of the class by an md5 hash of its key and the replicate, so that no replicate has
+    one class only. Cells without a score or label are left out; with one class only all figures are NULL.
+    """
+    cells = cells.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    kind = Window.partitionBy(*by, label)
+    cells = cells.withColumn("place", F.row_number().over(kind.orderBy(key))).withColumn("m", F.count("*").over(kind))
+    picks = cells.select(*by, label, key, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    picks = picks.select(*by, label, "replicate", (F.floor(hash_part(F.concat_ws("/", key, "replicate")) / float(2**32) * F.col("m")) + 1).cast("int").alias("place"))
+    drawn = picks.join(cells.select(*by, label, "place", score), [*by, label, "place"]).groupBy(*by, "replicate", score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    ranked = cells.withColumn("rank", average_rank(by, F.col(score)))
+    own = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(label).alias("pos"), F.sum(F.when(F.col(label) == 1, F.col("rank")).otherwise(0.0)).alias("s"))
+    n, pos = F.col("n"), F.col("pos")
+    own = own.select(*by, "n", "pos", ratio(F.col("s") - pos * (pos + 1) / 2, (pos * (n - pos)).cast("double")).alias("auc"))
+    got = own.join(_replicated_aucs(drawn, by, score), by, "left").withColumn("auc", F.when(F.col("boot").isNotNull(), F.col("auc")))
+    mean = F.aggregate("boot", F.lit(0.0), lambda s, b: s + b) / F.size("boot")
+    got = got.withColumn("mean", mean)
+    moment = lambda k: F.aggregate("boot", F.lit(0.0), lambda s, b: s + F.pow(F.col("mean") - b, F.lit(float(k))))
+    got = got.withColumn("acceleration", F.when(F.col("boot").isNotNull(), F.coalesce(ratio(moment(3), 6 * F.pow(moment(2), F.lit(1.5))), F.lit(0.0))))
+    return _bca_interval(got, by, 1 / (2.0 * F.size("boot")), alpha)
+
+
 def bootstrap_weights(wide: DataFrame, models: tuple[str, str], by: list[str], replicates: int = 200) -> DataFrame:
     """Weight of the first of two models in their best convex combination over resampled series: mean, deviation, share at zero, extremes.
 

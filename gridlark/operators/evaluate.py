@@ -74,6 +74,11 @@ def series_errors(long: DataFrame, least: int = 5) -> DataFrame:
     return got.filter(F.col("n") >= least).withColumn("skill", skill(F.col("mae_model"), F.col("mae_naive"))).withColumn("won", (F.col("mae_model") < F.col("mae_naive")).cast("int"))
 
 
+def comparable_subset(each: DataFrame, cvs: DataFrame, below: float = 0.7) -> DataFrame:
+    """Rows of the series whose variation is below a bound, with it (``cv``); series of unknown variation are left out."""
+    return each.join(cvs.filter(F.col("cv") < below).select("container_id", "cv"), "container_id")
+
+
 def series_winrate(long: DataFrame) -> DataFrame:
     return series_errors(long).groupBy("horizon", "model").agg(F.count("*").alias("n_series"), (100 * F.avg("won")).alias("win_pct"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,11 +13,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import mae, r2, ratio
+from ..scratch import materialise
 from .features import drop_null_targets, time_folds
 from .prepare import temporal_split
 from .profile import workload_name
@@ -38,7 +42,7 @@ def residual_model(frame: DataFrame, features: list[str], kind: str = "ridge", a
     trees stop early by the validation split, after ``rounds`` at the latest; ``forest`` is a random forest of
     ``trees`` trees of twice the depth.
     """
-    rows = residual_rows(frame, features).persist()  # read by every fitting step; lost parts are computed again
+    rows = materialise(residual_rows(frame, features), "residuals")  # read by every fitting step
     train = rows.filter("split = 'train'")
     if kind == "ridge":
         steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LinearRegression(featuresCol="x", labelCol="cpu_residual", elasticNetParam=0.0, regParam=alpha / max(1, train.count()), standardization=False)]
@@ -118,7 +122,7 @@ def group_ablation(frame: DataFrame, groups: dict[str, list[str]], alpha: float
     All models come from one pass over the training rows and are scored in one pass over the test rows.
     """
     features = [f for g in groups.values() for f in g]
-    rows = residual_rows(frame, features)
+    rows = materialise(residual_rows(frame, features), "ablation")
     sums = product_sums(rows.filter("split = 'train'"), [*features, "cpu_residual"], "split").get("train", np.zeros((len(features) + 2,) * 2))
     kept = {gone: [i for i, f in enumerate(features) if f not in groups.get(gone, [])] for gone in ("none", *groups)}
     scores = variant_scores(rows.filter("split = 'test'"), features, "cpu_residual", {gone: ridge_weights(sums, at, alpha) for gone, at in kept.items()})
@@ -128,16 +132,17 @@ def group_ablation(frame: DataFrame, groups: dict[str, list[str]], alpha: float
     return got.select(F.col("variant").alias("removed"), "n_features", "n", "r2", "mae", (F.col("base_r2") - F.col("r2")).alias("r2_drop"), (F.col("mae") - F.col("base_mae")).alias("mae_rise"))
 
 
-def permutation_importance(frame: DataFrame, features: list[str], alpha: float = 1.0, repeats: int = 3, buckets: int = 1024) -> DataFrame:
+def permutation_importance(frame: DataFrame, features: list[str], alpha: float = 1.0, repeats: int = 3, buckets: int | None = None) -> DataFrame:
     """``feature, importance``: the test split's loss of R² when one feature's values are dealt anew among its rows.
 
-    The model is a ridge regression. Rows fall into ``buckets`` by a hash; in a bucket each row takes the values of the
+    The model is a ridge regression. Rows fall into ``buckets`` by a hash (as many as give some 4,096 rows each); in a bucket each row takes the values of the
     next one in an order by another hash (the last those of the first), for each of the repeats. One shuffle; a feature's new error is the
     old one plus its weight times the change of its value, so that all features share a pass.
     """
-    rows = residual_rows(frame, features)
+    rows = materialise(residual_rows(frame, features), "importance")
     sums = product_sums(rows.filter("split = 'train'"), [*features, "cpu_residual"], "split").get("train", np.zeros((len(features) + 2,) * 2))
     w = ridge_weights(sums, list(range(len(features))), alpha)
+    buckets = buckets or max(1, -(-rows.filter("split = 'test'").count() // 4_096))
     test = rows.filter("split = 'test'").select("container_id", "time_stamp", "cpu_residual", F.array(*features).alias("x"), F.pmod(F.xxhash64("container_id", "time_stamp"), F.lit(buckets)).alias("bucket"))
     over = [Window.partitionBy("bucket").orderBy(F.xxhash64("container_id", "time_stamp", F.lit(k)), "container_id", "time_stamp") for k in range(1, repeats + 1)]
     dealt = test.withColumns({f"d{k}": F.coalesce(F.lead("x").over(o), F.first("x").over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) for k, o in enumerate(over)})
@@ -163,7 +168,7 @@ def oof_predictions(frame: DataFrame, features: list[str], folds: int = 5, alpha
     fold -1 and the mean of the folds' models, which for linear models is the model of mean weights. All models come
     from one pass.
     """
-    rows = residual_rows(frame, features)
+    rows = materialise(residual_rows(frame, features), "residuals")
     train = time_folds(rows.filter("split = 'train'"), folds)
     lo, hi = train.filter("fold = 0").agg(F.min("time_stamp"), F.max("time_stamp")).first()
     early = (F.col("fold") == 0) & (F.col("time_stamp") < lo + 0.8 * (hi - lo)) if lo is not None else F.lit(False)
@@ -193,6 +198,96 @@ def oof_predictions(frame: DataFrame, features: list[str], folds: int = 5, alpha
     return got.withColumn("y_pred", F.nanvl("y_pred", F.lit(None).cast("double")))
 
 
+# ---------------------------------------------------------------- tree learners
+def tree_steps(features: list[str], kind: str, rounds: int, depth: int, trees: int) -> Pipeline:
+    """``boosted`` or ``forest`` over the features, forecasting ``cpu_residual``."""
+    shape = {"featuresCol": "x", "labelCol": "cpu_residual", "maxDepth": depth, "seed": 42}
+    learner = GBTRegressor(maxIter=rounds, **shape) if kind == "boosted" else RandomForestRegressor(numTrees=trees, **shape)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), learner])
+
+
+def fit_all(jobs: dict[object, tuple[DataFrame, list[str]]], kind: str, rounds: int, depth: int, trees: int, at_once: int = 3) -> dict:
+    """A model for each job of rows and features; ``at_once`` fits share the cluster, so that the small stages of one fill the gaps of another."""
+    with ThreadPoolExecutor(at_once) as pool:
+        fits = {k: pool.submit(tree_steps(features, kind, rounds, depth, trees).fit, rows) for k, (rows, features) in jobs.items()}
+        return {k: f.result() for k, f in fits.items()}
+
+
+def scored(model, rows: DataFrame, name: str) -> DataFrame:
+    return model.transform(rows).withColumnRenamed("prediction", name).drop("x")
+
+
+def oof_tree_predictions(frame: DataFrame, features: list[str], kind: str = "forest", folds: int = 5, least: int = 50, rounds: int = 20, depth: int = 5, trees: int = 20) -> DataFrame:
+    """As :func:`oof_predictions`, with a tree learner: fold k by the model of all blocks before it, the test rows (fold -1) by the mean of the folds' models.
+
+    The first block is forecast by a model of its own first 80 % of time, or not at all (NULL) where these are at most
+    ``least`` rows. The feature table is written once; the folds are fitted side by side.
+    """
+    rows = residual_rows(frame, features)
+    train = time_folds(rows.filter("split = 'train'"), folds)
+    table = materialise(train.unionByName(rows.filter("split = 'test'").withColumn("fold", F.lit(-1))), "folds")
+    lo, hi = table.filter("fold = 0").agg(F.min("time_stamp"), F.max("time_stamp")).first()
+    early = table.filter((F.col("fold") == 0) & (F.col("time_stamp") < lo + 0.8 * (hi - lo))) if lo is not None else table.limit(0)
+    jobs = {k: (table.filter(F.col("fold").between(0, k - 1)), features) for k in range(1, folds + 1)}
+    if early.count() > least:
+        jobs[0] = (early, features)
+    sizes = {r.fold: r["count"] for r in table.groupBy("fold").count().collect()}  # a row for each fold
+    jobs = {k: j for k, j in jobs.items() if k == 0 or any(sizes.get(b, 0) for b in range(k))}
+    models = fit_all(jobs, kind, rounds, depth, trees)
+    keep = [F.col("container_id"), F.col("time_stamp"), F.col("fold"), F.col("cpu_target").alias("y_true"), F.col("naive_cpu").alias("y_naive")]
+    out = table.filter("fold = 0").select(*keep, F.lit(None).cast("double").alias("y_pred")) if 0 not in models else None
+    for k, model in models.items():
+        part = scored(model, table.filter(F.col("fold") == k), "p").select(*keep, (F.col("naive_cpu") + F.col("p")).alias("y_pred"))
+        out = part if out is None else out.unionByName(part)
+    test, means = table.filter("fold = -1"), [f"p{k}" for k in models if k]
+    for k in (k for k in models if k):
+        test = scored(models[k], test, f"p{k}")
+    mean = sum(map(F.col, means[1:]), F.col(means[0])) / len(means) if means else F.lit(None).cast("double")
+    return out.unionByName(test.select(*keep, (F.col("naive_cpu") + mean).alias("y_pred")))
+
+
+def _fit_scores(rows: DataFrame, by: list[str]) -> DataFrame:
+    p = F.col("naive_cpu") + F.col("p")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), r2(F.col("cpu_residual"), F.col("p")).alias("r2"), mae(F.col("cpu_target"), p).alias("mae"))
+
+
+def group_ablation_trees(frame: DataFrame, groups: dict[str, list[str]], kind: str = "forest", rounds: int = 20, depth: int = 5, trees: int = 20) -> DataFrame:
+    """As :func:`group_ablation`, with a tree learner refitted without each group of features; the fits share one written table."""
+    features = [f for g in groups.values() for f in g]
+    rows = materialise(residual_rows(frame, features).filter("split <> 'val'"), "ablation")
+    kept = {gone: [f for f in features if f not in groups.get(gone, [])] for gone in ("none", *groups)}
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    models = fit_all({gone: (train, used) for gone, used in kept.items() if used}, kind, rounds, depth, trees)
+    parts = [_fit_scores(scored(m, test, "p"), []).select(F.lit(gone).alias("removed"), F.lit(len(kept[gone])).cast("long").alias("n_features"), "*") for gone, m in models.items()]
+    got = materialise(reduce(DataFrame.unionByName, parts), "scores")
+    base = got.filter("removed = 'none'").select(F.col("r2").alias("base_r2"), F.col("mae").alias("base_mae"))
+    got = got.crossJoin(F.broadcast(base))  # one row
+    return got.select("removed", "n_features", "n", "r2", "mae", (F.col("base_r2") - F.col("r2")).alias("r2_drop"), (F.col("mae") - F.col("base_mae")).alias("mae_rise"))
+
+
+def permutation_importance_trees(frame: DataFrame, features: list[str], kind: str = "forest", per_bucket: int = 4_096, rounds: int = 20, depth: int = 5, trees: int = 20) -> DataFrame:
+    """``feature, importance``: the test split's loss of R2 when one feature's values are dealt anew among its rows, with a tree learner.
+
+    Rows fall by a hash into buckets of about ``per_bucket``; in a bucket each takes the values of the next one in an
+    order by another hash. Each row then comes once for each feature, with that one replaced, and all are scored by
+    one ``transform``.
+    """
+    rows = materialise(residual_rows(frame, features).filter("split <> 'val'"), "importance")
+    model = tree_steps(features, kind, rounds, depth, trees).fit(rows.filter("split = 'train'"))
+    test = rows.filter("split = 'test'")
+    buckets = max(1, -(-test.count() // per_bucket))
+    test = test.select("container_id", "time_stamp", "cpu_residual", "cpu_target", "naive_cpu", F.array(*features).alias("own"), F.pmod(F.xxhash64("container_id", "time_stamp"), F.lit(buckets)).alias("bucket"))
+    w = Window.partitionBy("bucket").orderBy(F.xxhash64("container_id", "time_stamp", F.lit(1)), "container_id", "time_stamp")
+    other = F.coalesce(F.lead("own").over(w), F.first("own").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    each = test.withColumn("other", other).withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))  # -1: as it is
+    swapped = F.transform("own", lambda x, i: F.when(i == F.col("k"), F.col("other")[i]).otherwise(x))
+    each = each.withColumn("x", array_to_vector(swapped))
+    got = model.stages[-1].transform(each).withColumnRenamed("prediction", "p")
+    got = materialise(_fit_scores(got, ["k"]), "scores")
+    base = got.filter("k = -1").select(F.col("r2").alias("base_r2"))
+    return got.filter("k >= 0").crossJoin(F.broadcast(base)).select(F.array(*map(F.lit, features))[F.col("k")].alias("feature"), (F.col("base_r2") - F.col("r2")).alias("importance"))  # one row
+
+
 def win_classifier(table: DataFrame, features: list[str], label: str = "won", key: str = "container_id") -> DataFrame:
     """Logistic regression of a 0/1 label on standardised features: accuracy, areas, confusion on the fifth held out by a hash of the key.
 
@@ -202,7 +297,8 @@ def win_classifier(table: DataFrame, features: list[str], label: str = "won", ke
     """
     names = [f"feature_{i}" for i in range(len(features))]
     held = F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
-    rows = table.select(held.alias("held"), F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]).dropna().persist()  # a row for each series
+    rows = table.select(held.alias("held"), F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]).dropna()
+    rows = materialise(rows, "classifier")  # a row for each series
     counts = {(r.held, int(r.label)): r["count"] for r in rows.groupBy("held", "label").count().collect()}  # at most four rows
     n_train, area, dominant = sum(n for (held, _), n in counts.items() if not held), {}, None
     if len(counts) == 4:

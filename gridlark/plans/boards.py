@@ -11,8 +11,10 @@ from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import forecast as fc
 from ..operators import intervals as iv
+from ..operators import resume
 from ..registry import query
-from .fixtures import GRID, LONG, R2, WIDE, grid, long, r, rounded, wide
+from ..scratch import scratch_path
+from .fixtures import GRID, HORIZONS, LONG, R2, WIDE, grid, long, r, rounded, wide
 
 MODELS = list(fc.MODELS)
 D = 8
@@ -96,6 +98,22 @@ def stage_metrics(spark, sf_dir):
     return rounded(m.unpivot(["horizon", "stage"], ["r2", "mae", "rmse"], "metric", "value"), D)
 
 
+@query("stage_metrics_resumed", sql(LONG + _RESULTS, f"SELECT 'events' AS dataset, horizon::BIGINT AS horizon, stage, metric, {r('value', 'value', D)}, true AS timed FROM s"))
+def stage_metrics_resumed(spark, sf_dir):
+    """The same scores filled in by two runs, the second of which finds some horizons done."""
+    path = scratch_path(spark, "stages")
+    rows = long(spark, sf_dir)
+
+    def compute(_, horizon):
+        m = ev.forecast_metrics(rows.filter(F.col("horizon") == horizon), ["model"]).withColumnRenamed("model", "stage")
+        return m.unpivot(["stage"], ["r2", "mae", "rmse"], "metric", "value")
+
+    for part in (HORIZONS[:2], HORIZONS):
+        resume.run_missing(spark, path, [("events", h) for h in part], compute)
+    got = resume.stage_table(spark, path)
+    return rounded(got.select("dataset", "horizon", "stage", "metric", "value", (F.col("elapsed_s") > 0).alias("timed")), D)
+
+
 @query("results_summary", sql(LONG + _RESULTS, f"SELECT horizon::BIGINT AS horizon, {', '.join(r(f'max(value) FILTER (stage = {m!r} AND metric = {x!r})', f'{m}_{x}', D) for m in MODELS for x in ('r2', 'mae'))} FROM s GROUP BY 1"))
 def results_summary(spark, sf_dir):
     s = stage_metrics(spark, sf_dir).filter("metric in ('r2', 'mae')").withColumn("name", F.concat_ws("_", "stage", "metric"))
@@ -231,7 +249,26 @@ za AS (SELECT *, (len(boot) - 1) * ({_PHI.format(z='z', u=_UP.format(z='z'))}) A
 zl AS (SELECT *, boot[floor(place)::INT + 1] + (place - floor(place)) * (boot[least(floor(place)::INT + 2, len(boot))] - boot[floor(place)::INT + 1]) AS x FROM za)"""
 
 
-@query("auc_bca_ci", sql(LONG + _CELLS + _BCA, f"SELECT horizon::BIGINT AS horizon, n::BIGINT AS n, pos::BIGINT AS pos, {r('any_value(auc)', 'auc')}, {r('any_value(z0)', 'z0')}, {r('any_value(acceleration) FILTER (boot IS NOT NULL)', 'acceleration')}, {r('max(x) FILTER (side = $$lo$$)', 'lo', 5)}, {r('max(x) FILTER (side = $$hi$$)', 'hi', 5)} FROM zl GROUP BY horizon, n, pos").replace("$$", "'"))
+_BCA_QUERY = sql(LONG + _CELLS + _BCA, f"SELECT horizon::BIGINT AS horizon, n::BIGINT AS n, pos::BIGINT AS pos, {r('any_value(auc)', 'auc')}, {r('any_value(z0)', 'z0')}, {r('any_value(acceleration) FILTER (boot IS NOT NULL)', 'acceleration')}, {r('max(x) FILTER (side = $$lo$$)', 'lo', 5)}, {r('max(x) FILTER (side = $$hi$$)', 'hi', 5)} FROM zl GROUP BY horizon, n, pos").replace("$$", "'")
+
+
+@query("auc_bca_ci", _BCA_QUERY)
 def auc_bca_ci(spark, sf_dir):
     """Interval of the AUC of a series' coefficient of variation for where the daily mean beats persistence, over 200 replicates."""
     return rounded(bd.auc_bca(_cells(spark, sf_dir), ["horizon"], "cv", "won", "container_id", 200), 6, {"lo": 5, "hi": 5})
+
+
+_DRAWS = """st AS (SELECT horizon, container_id, cv, won, row_number() OVER (PARTITION BY horizon, won ORDER BY container_id) AS place, count(*) OVER (PARTITION BY horizon, won) AS m FROM ce),
+sp AS (SELECT horizon, won, replicate, 1 + floor(""" + _U + """ * m)::BIGINT AS place FROM st, range(1, 201) AS x(replicate)),
+dl AS (SELECT sp.horizon, replicate, cv, sum(won) AS p, sum(1 - won) AS q FROM sp JOIN st USING (horizon, won, place) GROUP BY ALL),
+"""
+_SKEW = "CASE WHEN boot IS NOT NULL THEN coalesce(list_sum(list_transform(boot, lambda b: pow(list_avg(boot) - b, 3))) / nullif(6 * pow(list_sum(list_transform(boot, lambda b: pow(list_avg(boot) - b, 2))), 1.5), 0), 0) END"
+_STRATIFIED = _BCA[: _BCA.index("dw AS (")] + _DRAWS + _BCA[_BCA.index("dc AS (") :]
+_STRATIFIED = _STRATIFIED.replace("AS auc, acceleration, boot FROM tot JOIN us USING (horizon) JOIN ac USING (horizon)", f"AS auc, {_SKEW} AS acceleration, boot FROM tot JOIN us USING (horizon)")
+_STRATIFIED = _STRATIFIED.replace("greatest(1e-6, least(1 - 1e-6,", "greatest(1 / (2.0::DOUBLE * len(boot)), least(1 - 1 / (2.0::DOUBLE * len(boot)),")
+
+
+@query("auc_bca_stratified", _BCA_QUERY.replace(_BCA, _STRATIFIED))
+def auc_bca_stratified(spark, sf_dir):
+    """The same interval with classes drawn apart and the acceleration from the replicates' skewness."""
+    return rounded(bd.auc_bca_stratified(_cells(spark, sf_dir), ["horizon"], "cv", "won", "container_id", 200), 6, {"lo": 5, "hi": 5})

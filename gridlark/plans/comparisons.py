@@ -92,6 +92,13 @@ def join_cv_lookup(spark, sf_dir):
     return rounded(e.groupBy("horizon").agg(F.count("*").alias("n"), F.count_if(F.col("cv").isNull()).alias("n_unmatched"), F.count_if(low).alias("n_comparable"), F.avg(F.when(low, F.col("skill"))).alias("skill_comparable")), 7)
 
 
+@query("comparable_subset", sql(LONG + _ERR + _CV, f"SELECT horizon::BIGINT AS horizon, model, container_id, {r('cv', 'cv')}, {r('mae_model', 'mae_model')}, {r('skill', 'skill')}, won::BIGINT AS won FROM err JOIN cvs USING (container_id) WHERE cv < 0.7 AND {_NOT_NAIVE}"))
+def comparable_subset(spark, sf_dir):
+    """Errors of the series that vary by less than 0.7."""
+    got = ev.comparable_subset(ev.series_errors(_models(spark, sf_dir)), pr.series_cv(grid(spark, sf_dir), CPU))
+    return rounded(got.select("horizon", "model", "container_id", "cv", "mae_model", "skill", "won"))
+
+
 @query("hurst_stratified", sql(LONG + _ERR + _HURST, f", b AS (SELECT *, CASE WHEN hurst > 0 AND hurst <= .3 THEN '(0,.3]' WHEN hurst > .3 AND hurst <= .5 THEN '(.3,.5]' WHEN hurst > .5 THEN '(.5,inf)' END AS hurst_class FROM err JOIN hurst USING (container_id) WHERE {_NOT_NAIVE}) SELECT horizon::BIGINT AS horizon, model, hurst_class, count(*)::BIGINT AS n, {r('median(skill)', 'median_skill', 7)} FROM b WHERE hurst_class IS NOT NULL GROUP BY 1, 2, 3"))
 def hurst_stratified(spark, sf_dir):
     h = F.col("hurst")
@@ -165,12 +172,36 @@ def oof_predictions(spark, sf_dir):
 @query("group_ablation")
 def group_ablation(spark, sf_dir):
     """R² lost and MAE risen on the test split without each group of features."""
+    return rounded(learned.group_ablation(_frame(spark, sf_dir), _groups(spark)))
+
+
+def _groups(spark):
     names = ft.feature_sets(ft.feature_names(2), 2)["ablation"]
     of = spark.createDataFrame([(n,) for n in names], "f string").select("f", ft.feature_group(F.col("f"), 2).alias("g")).collect()  # one row for each feature
     groups: dict[str, list[str]] = {}
     for row in of:
         groups.setdefault(row.g, []).append(row.f)
-    return rounded(learned.group_ablation(_frame(spark, sf_dir), groups))
+    return groups
+
+
+@query("oof_tree_predictions")
+def oof_tree_predictions(spark, sf_dir):
+    """Out-of-fold forecasts of two tree learners, each with its own features."""
+    frame, sets = _frame(spark, sf_dir), ft.feature_sets(ft.feature_names(2), 2)
+    parts = [learned.oof_tree_predictions(frame, sets[s], kind, rounds=6, depth=4, trees=10).withColumn("learner", F.lit(kind)) for kind, s in (("forest", "all"), ("boosted", "lags"))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query("group_ablation_trees")
+def group_ablation_trees(spark, sf_dir):
+    """R² lost and MAE risen on the test split when a forest is refitted without each group of features."""
+    return rounded(learned.group_ablation_trees(_frame(spark, sf_dir), _groups(spark), depth=4, trees=10))
+
+
+@query("permutation_importance_trees")
+def permutation_importance_trees(spark, sf_dir):
+    """R² that a forest loses when one feature's values are dealt anew."""
+    return rounded(learned.permutation_importance_trees(_frame(spark, sf_dir), ft.feature_sets(ft.feature_names(2), 2)["all"], depth=4, trees=10))
 
 
 @query("permutation_importance")
