@@ -37,7 +37,7 @@ THRESHOLD = 0.95
 RADIUS = 0.49 * math.acos(THRESHOLD)
 #: Shards to build side by side, vectors for which one more of them pays, and bytes of a shard's vectors at most.
 SHARDS, SMALL, SHARD_BYTES = 4, 1024, 64 << 20
-#: Queries of a task and of a search; graph neighbours, beam when building and when searching, audited queries, recall.
+#: Queries of a task at least, and of a search; graph neighbours, beam when building and when searching, audited queries, recall.
 TASK, BLOCK, NEIGHBOURS, BUILD_BEAM, BEAM, AUDITED, RECALL = 4_096, 256, 12, 32, 16, 64, 0.995
 #: Nodes of a level that are compared directly to find where a search begins; neighbour lists that are chosen at a time.
 TOP, CHOSEN = 2_048, 512
@@ -382,13 +382,15 @@ def vector_links(distinct: DataFrame) -> DataFrame:
     # a row for each shard comes to the driver: names and sizes
     sizes = indexes.select(F.col("_metadata.file_path").alias("file"), "shard", "dim", "n").orderBy("shard", "dim").collect()
     files = sorted({r.file for r in sizes})
-    slices = [(r.file, r.shard, r.dim, i) for r in sizes for i in range(0, r.n, TASK)]
+    # a task opens every index, so it asks for as many vectors as it may: a shard's, or fewer where there are more cores than shards
+    per = max(1, -(-spark.sparkContext.defaultParallelism // max(1, len(sizes))))
+    slices = [(r.file, r.shard, r.dim, i, step) for r in sizes for step in (max(TASK, -(-r.n // per)),) for i in range(0, r.n, step)]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number in (int(i) for b in batches for i in b.id):
-            file, shard, dim, at = slices[number]
+            file, shard, dim, at, step = slices[number]
             mine = next(index for k, d, index in _indexes(file) if (k, d) == (shard, dim))
-            rid, q = mine["rid"][at : at + TASK], mine["x"][at : at + TASK].copy()
+            rid, q = mine["rid"][at : at + step], mine["x"][at : at + step].copy()
             del mine
             links, stars, width, reached, expected = np.zeros(len(rid), np.int64), _Stars(), BEAM, 0, 0
             for uri in files:

@@ -107,3 +107,14 @@ def test_query_against_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert H.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_audits_reach_the_stated_recall(spark, monkeypatch):
+    """Every task's sample, against an exact comparison; tasks are shards, or as many parts of them as there are cores."""
+    monkeypatch.setattr(H, "SMALL", 300)
+    monkeypatch.setattr(H, "TASK", 50)
+    x = vectors(6)
+    frame = spark.createDataFrame([(i, len(r), [float(v) for v in r], 1) for i, r in enumerate(x)], "rid long, dim int, vec array<double>, n long")
+    audits = H.vector_links(frame).filter("rid is null").select("reached", "expected").collect()
+    assert 4 <= len(audits) <= spark.sparkContext.defaultParallelism + 4
+    assert sum(a.expected for a in audits) > 0 and sum(a.reached for a in audits) >= H.RECALL * sum(a.expected for a in audits)
