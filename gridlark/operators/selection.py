@@ -80,3 +80,26 @@ def percentile_columns(rows: DataFrame, by: list[str], value: str, names: dict[s
     """``by`` and one column for each named level."""
     got = exact_percentiles(rows, by, value, tuple(dict.fromkeys(names.values())))
     return got.groupBy(*by).agg(*[F.max(F.when(F.col("level") == p, F.col("percentile"))).alias(n) for n, p in names.items()])
+
+
+def binned_percentile(rows: DataFrame, by: list[str], value: str, level: float, name: str, width: float = 1e-3) -> DataFrame:
+    """``by, name``: a linearly interpolated percentile of each group of a bounded metric, exactly, in two passes.
+
+    The first counts bins of ``width``, whose number the metric's bounds limit; the second counts the distinct values of
+    the one or two bins that the wanted ranks lie in. Groups without values give no row. ``rows`` is read twice.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.select(*by, v.alias("v*"), F.lit(0).alias("all*")).filter(F.col("v*").isNotNull() & ~F.isnan("v*")).withColumn("bin*", F.floor(F.col("v*") / width))
+    keys = [*by, "all*"]
+    over = Window.partitionBy(*keys)
+    sofar = lambda order: F.sum("c*").over(over.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    at = F.lit(float(level)) * (F.col("n*") - 1)
+    bins = rows.groupBy(*keys, "bin*").agg(F.count("*").alias("c*")).withColumns({"upto*": sofar("bin*"), "n*": F.sum("c*").over(over)}).withColumns({"low*": F.floor(at), "high*": F.ceil(at), "share*": at - F.floor(at)})
+    bins = bins.filter((F.col("upto*") > F.col("low*")) & (F.col("upto*") - F.col("c*") <= F.col("high*")))
+    before = F.min(F.col("upto*") - F.col("c*")).over(over)
+    bins = materialise(bins.select(*keys, "bin*", before.alias("before*"), "low*", "high*", "share*"), "bins")  # at most two rows a group
+    values = rows.join(F.broadcast(bins), [*keys, "bin*"]).groupBy(*keys, "v*").agg(F.count("*").alias("c*"), *[F.first(c).alias(c) for c in ("before*", "low*", "high*", "share*")])
+    values = values.withColumn("upto*", F.col("before*") + sofar("v*"))
+    reach = lambda rank: F.min(F.when(F.col("upto*") > F.col(rank), F.col("v*")))
+    got = values.groupBy(*keys).agg(reach("low*").alias("a*"), reach("high*").alias("b*"), F.first("share*").alias("share*"))
+    return got.select(*by, (F.col("a*") * (1 - F.col("share*")) + F.col("b*") * F.col("share*")).alias(name))
