@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expressions import INVERSE_MIDDLE, INVERSE_TAIL, INVERSE_TAIL_FROM, correlation, ratio
+from ..functions.expressions import INVERSE_MIDDLE, INVERSE_TAIL, INVERSE_TAIL_FROM, correlation, ratio, round_to
 from ..functions.expressions import r2 as r2_of
 from ..operators import boards as bd
 from ..operators import evaluate as ev
@@ -12,8 +12,10 @@ from ..operators import features as ft
 from ..operators import forecast as fc
 from ..operators import intervals as iv
 from ..operators import resume
+from ..operators.forecast import long_forecasts
+from ..operators.selection import binned_percentile
 from ..registry import query
-from ..scratch import scratch_path
+from ..scratch import materialise, scratch_path
 from .fixtures import GRID, HORIZONS, LONG, R2, WIDE, grid, long, r, rounded, wide
 
 MODELS = list(fc.MODELS)
@@ -128,13 +130,11 @@ ab AS (SELECT horizon, model, y_true, y_naive + (p - q) AS lower, y_naive + (p +
 @query("to_absolute_intervals", sql(LONG + _ABS, f"SELECT horizon::BIGINT AS horizon, model, count(*)::BIGINT AS n, {r('100 * avg((y_true BETWEEN lower AND upper)::INT)', 'coverage_pct', 2)}, {r('avg(lower)', 'mean_lower')}, {r('avg(upper)', 'mean_upper')} FROM ab GROUP BY 1, 2"))
 def to_absolute_intervals(spark, sf_dir):
     """Residual intervals from the earlier half of every series, as intervals of the target on the later half."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("horizon", "model", "container_id")
-    rows = long(spark, sf_dir).filter("model <> 'persistence'")
-    rows = rows.withColumn("early", F.row_number().over(w.orderBy("time_stamp")) * 2 <= F.count("*").over(w)).withColumn("p", F.col("y_pred") - F.col("y_naive")).withColumn("e", F.abs(F.col("y_true") - F.col("y_pred")))
-    q = rows.filter("early").groupBy("horizon", "model").agg(F.percentile("e", F.lit(0.8)).alias("q"))
-    late = rows.filter("not early").join(q, ["horizon", "model"]).withColumn("lower", F.col("p") - F.col("q")).withColumn("upper", F.col("p") + F.col("q"))
+    rows = long_forecasts(wide(spark, sf_dir, placed=True), tuple(m for m in MODELS if m != "persistence"), ("place", "n"))
+    rows = rows.withColumn("early", F.col("place") * 2 <= F.col("n")).withColumn("p", F.col("y_pred") - F.col("y_naive")).withColumn("e", F.abs(F.col("y_true") - F.col("y_pred")))
+    early = materialise(rows.filter("early").select("horizon", "model", "e"), "residuals")  # read twice
+    q = binned_percentile(early, ["horizon", "model"], "e", 0.8, "q")
+    late = rows.filter("not early").join(F.broadcast(q), ["horizon", "model"]).withColumn("lower", F.col("p") - F.col("q")).withColumn("upper", F.col("p") + F.col("q"))
     got = iv.to_absolute(late).groupBy("horizon", "model").agg(F.count("*").alias("n"), (100 * F.avg(F.col("y_true").between(F.col("lower"), F.col("upper")).cast("double"))).alias("coverage_pct"), F.avg("lower").alias("mean_lower"), F.avg("upper").alias("mean_upper"))
     return rounded(got, 6, {"coverage_pct": 2})
 
@@ -193,9 +193,10 @@ def _cells(spark, sf_dir):
     """Each series' coefficient of variation and, for each horizon, whether the daily mean beats persistence on it."""
     from ..sources.panel import CPU
 
-    cv = grid(spark, sf_dir).groupBy("container_id").agg(F.round(ratio(F.stddev_samp(CPU), F.avg(CPU)), 9).alias("cv"))
+    cv = grid(spark, sf_dir).groupBy("container_id").agg(ratio(F.stddev_samp(CPU), F.avg(CPU)).alias("cv")).withColumn("cv", round_to(F.col("cv"), 9))
     err = lambda p: F.avg(F.abs(F.col("y_true") - F.col(p)))
-    return long(spark, sf_dir).filter("model = 'mean24'").groupBy("horizon", "container_id").agg((err("y_pred") < err("y_naive")).cast("int").alias("won")).join(cv, "container_id")
+    rows = long_forecasts(wide(spark, sf_dir), ("mean24",)).groupBy("horizon", "container_id").agg((err("y_pred") < err("y_naive")).cast("int").alias("won"))
+    return materialise(rows.join(cv, "container_id"), "cells")  # a row for each series and horizon, read by several branches
 
 
 def _thresholds() -> list[float]:
