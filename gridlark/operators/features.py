@@ -248,8 +248,19 @@ def vm_features(panel: DataFrame, horizon: int, per_day: int = 288) -> DataFrame
     return frame.filter("target is not null and lag_1 is not null and lag_12 is not null")
 
 
+NEWEST = "newest_row"
+
+
+def mark_newest(panel: DataFrame) -> DataFrame:
+    """``panel`` with ``newest_row``: whether no later row of the series has a current value. From the sort that the features use."""
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return panel.withColumn(NEWEST, F.col(CPU).isNotNull() & (F.col("time_stamp") == F.max(F.when(F.col(CPU).isNotNull(), F.col("time_stamp"))).over(whole)))
+
+
 def latest_feature_row(frame: DataFrame) -> DataFrame:
-    """The newest row of each series that has a current value."""
+    """The newest row of each series that has a current value; where the panel was marked by :func:`mark_newest`, other rows go before their features are worked out and sorted."""
+    if NEWEST in frame.columns:
+        frame = frame.filter(NEWEST).drop(NEWEST)
     newest = F.row_number().over(Window.partitionBy("container_id").orderBy(F.desc("time_stamp")))
     return frame.filter(f"{CPU} is not null").select(F.struct("*").alias("row"), newest.alias("number")).filter("number = 1").select("row.*")
 

@@ -196,7 +196,7 @@ def feature_frame(spark, sf_dir):
 @query("latest_feature_row", _ALL + " WHERE cpu IS NOT NULL QUALIFY row_number() OVER (PARTITION BY container_id ORDER BY time_stamp DESC) = 1")
 def latest_feature_row(spark, sf_dir):
     """All features of the newest row of each series, for scoring now."""
-    return _every(ft.latest_feature_row(ft.feature_frame(disk_grid(spark, sf_dir), H, PER_DAY)))
+    return _every(ft.latest_feature_row(ft.feature_frame(ft.mark_newest(disk_grid(spark, sf_dir)), H, PER_DAY)))
 
 
 _N = ", n AS (SELECT container_id, count(*) AS n FROM grid GROUP BY 1), h(horizon) AS (VALUES " + ", ".join(f"({h})" for h in HORIZONS) + ")"
