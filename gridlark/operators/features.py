@@ -1,12 +1,17 @@
 """Leakage-safe features of a series on its grid: nothing looks at a row newer than ``min_lag`` steps ago.
 
-All features of a call come from one window specification, so that Spark plans one shuffle and one sort.
+All features of a call come from one window specification, so that Spark plans one shuffle and one sort. What a frame
+reads of other rows is worked out in Arrow batches of that sort; what it makes of a row alone are column expressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,62 +39,92 @@ def lag_features(horizon: int, disk: bool = False) -> dict[str, Column]:
     return {n: F.lag(c, k).over(by_time()) for n, (c, k) in lag_names(horizon, disk).items()}
 
 
-#: Grids that prefix sums of values and of squares are split on: multiples add up without rounding (percentages: 2^26 rows).
-_COARSE, _COARSE_SQUARE = 2.0**20, 2.0**12
-_SOFAR, _ROW = "rolling*", "row*"
+#: Position of a row in its series (from 1), and what a row reads of others.
+_POSITION = "position*"
 
 
-def _parts(x: Column, grid: float) -> tuple[Column, Column]:
-    """A value as a multiple of 1/``grid`` and the rest, so that the sums of both keep their digits however long a series is."""
-    high = F.rint(x * grid) / grid
-    return high, x - high
+def _back(a: np.ndarray, k: int, known: np.ndarray, other: float = math.nan) -> np.ndarray:
+    """``a`` of ``k`` rows before, ``other`` where the series has none (``known`` tells)."""
+    return np.where(known, np.concatenate([np.full(min(k, len(a)), other), a[: max(len(a) - k, 0)]]), other)
 
 
-def _rolling_base(windows: tuple[int, ...]) -> Column:
-    """What rolling features read of a row, as a struct: sums and counts of its series so far, and extremes of a short block up to it.
+def _moments(x: np.ndarray, position: np.ndarray, windows: tuple[int, ...]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Number, mean, squared deviations, minimum and maximum of the last rows up to each row, by window; NaN counts as unknown.
 
-    Sums so far cost the same for any row, and the block is the only frame that is gone through for each row.
+    A short block is gone through value by value; windows are merged from blocks, without differences of large sums.
     """
-    sofar, block, out = by_time().rowsBetween(Window.unboundedPreceding, 0), by_time().rowsBetween(1 - math.gcd(*windows), 0), []
-    for a, c in METRICS.items():
-        x = F.when(F.abs(c) < float("inf"), F.col(c))
-        for name, (high, low) in (("sum", _parts(x, _COARSE)), ("square", _parts(x * x, _COARSE_SQUARE))):
-            out += [F.sum(high).over(sofar).alias(f"{a}_{name}"), F.sum(low).over(sofar).alias(f"{a}_{name}_rest")]
-        out += [F.count(x).over(sofar).alias(f"{a}_n"), F.min(x).over(block).alias(f"{a}_min"), F.max(x).over(block).alias(f"{a}_max")]
-    return F.struct(*out)
+    block, out = math.gcd(*windows), {}
+    near = [_back(x, j, position > j) for j in range(block)]
+    n = sum((~np.isnan(v)).astype(float) for v in near)
+    mean = sum(np.nan_to_num(v) for v in near) / np.maximum(n, 1)
+    squares, low, high = sum(np.nan_to_num((v - mean) ** 2) for v in near), reduce(np.fmin, near), reduce(np.fmax, near)
+    one = all_ = (n, mean, squares, low, high)
+    for w in range(block, max(windows) + 1, block):
+        if w > block:
+            n, mean, squares, low, high = all_
+            m, other, more, lo, hi = (_back(a, w - block, position > w - block, e) for a, e in zip(one, (0.0, 0.0, 0.0, math.nan, math.nan), strict=True))
+            share, gap = m / np.maximum(n + m, 1), other - mean
+            all_ = n + m, mean + gap * share, squares + more + gap * gap * n * share, np.fmin(low, lo), np.fmax(high, hi)
+        if w in windows:
+            out[w] = all_
+    return out
 
 
-def _rolling_lags(horizon: int, windows: tuple[int, ...]) -> dict[str, Column]:
-    """The rows that :func:`rolling_features` reads, by how far back they are: each a single lag."""
-    m, block = horizon + 1, math.gcd(*windows)
-    return {f"{_SOFAR}{k}": F.lag(_SOFAR, k).over(by_time()) for k in sorted({m + j * block for j in range(max(windows) // block)} | {m + w for w in windows})}
+def rolling_names(windows: tuple[int, ...] = WINDOWS) -> list[str]:
+    return [f"{a}_{s}_{w}" for a in METRICS for w in windows for s in ("mean", "std", "min", "max")]
 
 
-def rolling_features(horizon: int, windows: tuple[int, ...] = WINDOWS) -> dict[str, Column]:
-    """Moments over the last rows up to ``min_lag`` ago; a window that the series' start cuts short counts with what it has.
+def _rolling(x: np.ndarray, position: np.ndarray, m: int, windows: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Mean, deviation, minimum and maximum over each window that ends ``m`` rows ago, NaN where there is none."""
+    for n, mean, squares, low, high in _moments(x, position, windows).values():
+        flat = low == high
+        spread = np.where((n > 1) & ~flat, np.sqrt(squares / np.maximum(n - 1, 1)), 0.0)
+        mean = np.where(n > 0, np.where(flat, low, mean), math.nan)
+        yield from (_back(a, m, position > m, e) for a, e in ((mean, math.nan), (spread, 0.0), (low, math.nan), (high, math.nan)))
 
-    For :func:`with_rolling`: sums are differences of sums so far, extremes those of the blocks that make up the
-    window, so that the cost doesn't depend on the width. Infinite values count as unknown.
-    """
-    m, block, out = horizon + 1, math.gcd(*windows), {}
-    at = lambda a, name, k: F.col(f"`{_SOFAR}{k}`.{a}_{name}")
-    for a in METRICS:
-        for w in windows:
-            change = lambda name: F.coalesce(at(a, name, m), F.lit(0)) - F.coalesce(at(a, name, m + w), F.lit(0))  # noqa: E731, B023
-            low, high = (f(*[at(a, name, m + j * block) for j in range(w // block)], F.lit(None)) for f, name in ((F.least, "min"), (F.greatest, "max")))
-            n, total, squares = change("n"), change("sum") + change("sum_rest"), change("square") + change("square_rest")
-            spread = F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
-            out[f"{a}_mean_{w}"] = F.when(n > 0, F.when(low == high, low).otherwise(total / n))
-            out[f"{a}_std_{w}"] = F.when((n > 1) & (low < high), F.sqrt(spread)).otherwise(0.0)
-            out |= {f"{a}_min_{w}": low, f"{a}_max_{w}": high}
-    return out
 
+def with_rolling(panel: DataFrame, horizon: int, lags: dict[str, tuple[str, int]] | None = None, more: dict[str, Column] | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """``panel`` with ``lags`` (by name: of what, by how much), ``more`` columns of the same window, and moments over the last rows up to ``min_lag`` ago.
 
-def with_rolling(panel: DataFrame, horizon: int, more: dict[str, Column] | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """``panel`` with rolling features and ``more`` columns of the same window: one shuffle, one sort, two passes."""
-    lags = _rolling_lags(horizon, windows)
-    frame = panel.withColumn(_SOFAR, _rolling_base(windows)).withColumns(lags | (more or {})).drop(_SOFAR)
-    return frame.withColumns(rolling_features(horizon, windows)).drop(*lags)
+    A window that the series' start cuts short counts with what it has; infinite values count as unknown. Spark sorts the
+    series and numbers their rows; a task then reads its rows batch by batch, a column at a time, and keeps the few last
+    ones, so that a series of any length passes through and no row is buffered with all that it reads of others.
+    """
+    m, lags = horizon + 1, lags or {}
+    windows = tuple(sorted(windows))
+    reach = max([m + max(windows), *(k for _, k in lags.values())])
+    rows = panel.withColumns((more or {}) | {_POSITION: F.row_number().over(by_time())})
+    kept = [c for c in rows.columns if c != _POSITION]
+    needed = list(dict.fromkeys([_POSITION, *METRICS.values(), *(c for c, _ in lags.values())]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            near = now.select(needed)
+            if before is not None:
+                near = pa.concat_tables([before, near])
+            near, old = near.combine_chunks(), near.num_rows - b.num_rows
+            position = near[_POSITION].to_numpy()
+            at = np.arange(old, near.num_rows)
+            out = [now[c].combine_chunks() for c in kept]
+            for c, k in lags.values():
+                known = position[old:] > k
+                out.append(near[c].take(pa.array(np.where(known, at - k, 0), mask=~known)))
+            for c in METRICS.values():
+                x = near[c].to_numpy().astype(float)
+                x = np.where(np.isfinite(x), x, math.nan)
+                out += [pa.array(v[old:], from_pandas=True) for v in _rolling(x, position, m, windows)]
+            before = near.slice(max(near.num_rows - reach, 0))
+            for part in pa.table(out, names=names).to_batches():
+                yield part
+
+    names = [*kept, *lags, *rolling_names(windows)]
+    types = dict(rows.dtypes)
+    schema = [(c, types[c]) for c in kept] + [(n, types[c]) for n, (c, _) in lags.items()] + [(n, "double") for n in rolling_names(windows)]
+    return rows.mapInArrow(add, ", ".join(f"`{c}` {t}" for c, t in schema))
 
 
 def trend_momentum(horizon: int) -> dict[str, Column]:
@@ -133,11 +168,11 @@ def cross_resource_features(horizon: int) -> dict[str, Column]:
     }
 
 
-def same_time_yesterday(horizon: int, per_day: int = 288) -> dict[str, Column]:
-    """Value a day before the newest one allowed, or else that one; the difference is taken before falling back."""
+def same_time_yesterday(horizon: int) -> dict[str, Column]:
+    """Value a day before the newest one allowed (``{metric}_day*``), or else that one; the difference is taken before falling back."""
     m, out = horizon + 1, {}
-    for a, c in METRICS.items():
-        first, day = F.col(f"{a}_lag_{m}"), F.col(f"`{_ROW}{per_day + m}`.{c}")
+    for a in METRICS:
+        first, day = F.col(f"{a}_lag_{m}"), F.col(f"{a}_day*")
         out |= {f"{a}_same_time_1d": F.coalesce(day, first), f"{a}_diff_1d": F.coalesce(first - day, F.lit(0.0))}
     return out
 
@@ -182,15 +217,22 @@ def drop_null_targets(frame: DataFrame) -> DataFrame:
 
 def feature_frame(panel: DataFrame, horizon: int, per_day: int = 288) -> DataFrame:
     """All features and targets of a panel on its grid, for one horizon in steps; lags of disk use where the panel has it."""
-    disk, ahead = DISK in panel.columns, f"{_ROW}+{horizon}"
-    names, metrics = lag_names(horizon, disk), [*METRICS.values(), *([DISK] if disk else [])]
-    # the metrics of a row as one value: a lag of it for each distance, whatever the number of metrics
-    rows = {f"{_ROW}{k}": F.lag(_ROW, k).over(by_time()) for k in sorted({k for _, k in names.values()} | {per_day + horizon + 1})} | {ahead: F.lead(_ROW, horizon).over(by_time())}
-    frame = with_rolling(panel.withColumn(_ROW, F.struct(*metrics)), horizon, rows)
-    frame = frame.withColumns({n: F.col(f"`{_ROW}{k}`.{c}") for n, (c, k) in names.items()} | {f"{a}_target": F.col(f"`{ahead}`.{c}") for a, c in METRICS.items()} | {f"naive_{a}": F.col(c) for a, c in METRICS.items()})
-    frame = frame.withColumns(accel_jerk(horizon) | same_time_yesterday(horizon, per_day) | {f"{a}_residual": F.col(f"{a}_target") - F.col(f"naive_{a}") for a in METRICS}).drop(_ROW, *rows)
-    frame = frame.withColumns(trend_momentum(horizon) | volatility_features() | cyclic_calendar())
-    return frame.withColumns(cross_resource_features(horizon))
+    lags = lag_names(horizon, DISK in panel.columns) | {f"{a}_day*": (c, per_day + horizon + 1) for a, c in METRICS.items()}
+    targets = {f"{a}_target": F.lead(c, horizon).over(by_time()) for a, c in METRICS.items()}
+    frame = with_rolling(panel, horizon, lags, targets)
+    frame = frame.withColumns(accel_jerk(horizon) | same_time_yesterday(horizon) | {f"naive_{a}": F.col(c) for a, c in METRICS.items()} | {f"{a}_residual": F.col(f"{a}_target") - F.col(c) for a, c in METRICS.items()})
+    frame = frame.drop(*[f"{a}_day*" for a in METRICS]).withColumns(trend_momentum(horizon) | volatility_features() | cyclic_calendar())
+    frame = in_short_methods(frame)  # columns that others are made of are a step of their own
+    return in_short_methods(frame.withColumns(cross_resource_features(horizon)))
+
+
+def in_short_methods(frame: DataFrame) -> DataFrame:
+    """``frame``, its expressions and those put upon it compiled in short methods, for tables of many columns.
+
+    Spark would make one method of a row's expressions, too long for the JVM, which then interprets it for every row. A
+    higher-order function, here one that changes nothing, has them cut up instead.
+    """
+    return frame.withColumn("container_id", F.element_at(F.transform(F.array("container_id"), lambda c: c), 1))
 
 
 def feature_names(horizon: int, disk: bool = False) -> list[str]:

@@ -43,7 +43,7 @@ def _roll(c: str, kind: str, w: int) -> str:
 
 @query("rolling_features", sql(GRID, "SELECT container_id, time_stamp, " + ", ".join(r(_roll(a, k, w), f"{a}_{k}_{w}", 5 if k == "std" else 7) for a in ("cpu", "mem") for w in ft.WINDOWS for k in _AGG) + " FROM grid"))
 def rolling_features(spark, sf_dir):
-    cols = list(ft.rolling_features(H))
+    cols = ft.rolling_names()
     out = ft.with_rolling(grid(spark, sf_dir), H).select("container_id", "time_stamp", *cols)
     return rounded(out, 7, {n: 5 for n in cols if "_std_" in n})
 
