@@ -109,6 +109,17 @@ def workload_name(cpu_mean: Column, cpu_std: Column, mem_mean: Column) -> Column
     return F.when(cpu_std > 15, "VOLATILE").when(cpu_mean > 50, "CPU_HEAVY").when(mem_mean > 70, "MEM_HEAVY").when((cpu_mean < 10) & (mem_mean < 30), "IDLE").otherwise("BALANCED")
 
 
+def with_workload(panel: DataFrame) -> DataFrame:
+    """``panel`` with ``workload``, the class of its series by :func:`workload_profile`'s moments; series without a profile go.
+
+    From the sort by series that resampling uses, so that nothing is joined to the longer tables made of the panel.
+    """
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = panel.withColumns({f"{m}_{n}*": f(c).over(whole) for m, c in (("cpu", CPU), ("mem", MEM)) for n, f in (("mean", F.avg), ("std", F.stddev_samp))})
+    rows = rows.filter("`cpu_std*` is not null and `mem_std*` is not null").withColumn("workload", workload_name(F.col("cpu_mean*"), F.col("cpu_std*"), F.col("mem_mean*")))
+    return rows.drop(*[f"{m}_{n}*" for m in ("cpu", "mem") for n in ("mean", "std")])
+
+
 def vm_scan(panel: DataFrame) -> DataFrame:
     """Records, moments, variation (NULL for a mean not above 0) and lag-1 correlation of each series."""
     lagged = panel.withColumn("before", F.lag(CPU).over(by_time()))
