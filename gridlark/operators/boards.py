@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import average_rank, normal_cdf, normal_inverse, poisson_one, ratio
+from ..scratch import materialise
 from ..sources.panel import hash_part
 
 
@@ -139,6 +144,45 @@ def _bca_interval(got: DataFrame, by: list[str], least: Column, alpha: float) ->
     return got.select(*by, "n", "pos", "auc", only("z0"), only("acceleration"), bound(alpha / 2).alias("lo"), bound(1 - alpha / 2).alias("hi"))
 
 
+def _stratified_aucs(cells: DataFrame, by: list[str], score: str, label: str, key: str, replicates: int) -> DataFrame:
+    """``by, boot``: the AUCs of the replicates in order, from ``cells`` with their ``place`` among the ``m`` of their class.
+
+    A draw is never a row: a task draws for the cells that it has and hands on the places drawn, four bytes each, packed
+    by class and replicate. What a replicate drew comes together with the order of the scores, of four bytes a cell.
+    """
+    of = {c: t for c, t in cells.dtypes if c in by}
+    keys = ", ".join(f"`{c}` {t}" for c, t in of.items())
+    ranked = cells.select(*by, F.col(label).cast("int").alias("y"), "place", F.col(key).cast("string").alias("key"), "m", F.dense_rank().over(Window.partitionBy(*by).orderBy(score)).alias("level"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = [f"/{k}".encode() for k in range(1, replicates + 1)]
+        for b in batches:
+            for _, part in b.groupby([*by, "y"], dropna=False):
+                starts, m = [k.encode() for k in part["key"]], part["m"].to_numpy(float)
+                first = {c: part[c].iloc[0] for c in (*by, "y")}
+                hashes = (np.frombuffer(b"".join([md5(s + e).digest()[:4] for s in starts]), ">u4") for e in ends)
+                places = [np.floor(h / float(2**32) * m).astype("<i4").tobytes() for h in hashes]
+                yield pd.DataFrame(first | {"replicate": range(1, replicates + 1), "places": places})
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        levels = [part[part.y == y].sort_values("place")["level"].to_numpy("<i4").tobytes() for y in (0, 1)]
+        return pd.DataFrame({c: part[c].iloc[:1] for c in by} | {"no": levels[:1], "yes": levels[1:]})
+
+    def auc(row: pd.DataFrame) -> pd.DataFrame:
+        levels = [np.frombuffer(row[c].iloc[0], "<i4") for c in ("no", "yes")]
+        n = 1 + max(int(x.max(initial=0)) for x in levels)
+        q, p = (sum((np.bincount(x[np.frombuffer(d["places"], "<i4")], minlength=n) for d in row["drawn"].iloc[0] if d["y"] == y), np.zeros(n)) for y, x in enumerate(levels))
+        pairs = p.sum() * q.sum()
+        return pd.DataFrame({c: row[c] for c in by} | {"b": [float(p @ (q.cumsum() - q / 2) / pairs) if pairs else None]})
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the orders above lie in few tasks, the draws shall not
+    ranked = materialise(ranked, "ranked")
+    drawn = ranked.repartition(parts, "key").mapInPandas(draw, f"{keys}, y int, replicate int, places binary").groupBy(*by, "replicate").agg(F.collect_list(F.struct("y", "places")).alias("drawn"))
+    packed = ranked.select(*by, "y", "place", "level").groupBy(*by).applyInPandas(pack, f"{keys}, no binary, yes binary")
+    boot = drawn.join(F.broadcast(packed), by).groupBy(*by, "replicate").applyInPandas(auc, f"{keys}, b double").filter("b is not null")  # a row for each group
+    return boot.groupBy(*by).agg(F.array_sort(F.collect_list("b")).alias("boot"))  # one number a replicate
+
+
 def auc_bca_stratified(cells: DataFrame, by: list[str], score: str, label: str, key: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
     """As :func:`auc_bca`, drawing positives and negatives apart, as many of each as there are, and with the acceleration that the skewness of the replicates gives.
 
@@ -148,14 +192,11 @@ def auc_bca_stratified(cells: DataFrame, by: list[str], score: str, label: str,
     cells = cells.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
     kind = Window.partitionBy(*by, label)
     cells = cells.withColumn("place", F.row_number().over(kind.orderBy(key))).withColumn("m", F.count("*").over(kind))
-    picks = cells.select(*by, label, key, "m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    picks = picks.select(*by, label, "replicate", (F.floor(hash_part(F.concat_ws("/", key, "replicate")) / float(2**32) * F.col("m")) + 1).cast("int").alias("place"))
-    drawn = picks.join(cells.select(*by, label, "place", score), [*by, label, "place"]).groupBy(*by, "replicate", score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
     ranked = cells.withColumn("rank", average_rank(by, F.col(score)))
     own = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(label).alias("pos"), F.sum(F.when(F.col(label) == 1, F.col("rank")).otherwise(0.0)).alias("s"))
     n, pos = F.col("n"), F.col("pos")
     own = own.select(*by, "n", "pos", ratio(F.col("s") - pos * (pos + 1) / 2, (pos * (n - pos)).cast("double")).alias("auc"))
-    got = own.join(_replicated_aucs(drawn, by, score), by, "left").withColumn("auc", F.when(F.col("boot").isNotNull(), F.col("auc")))
+    got = own.join(_stratified_aucs(cells, by, score, label, key, replicates), by, "left").withColumn("auc", F.when(F.col("boot").isNotNull(), F.col("auc")))
     mean = F.aggregate("boot", F.lit(0.0), lambda s, b: s + b) / F.size("boot")
     got = got.withColumn("mean", mean)
     moment = lambda k: F.aggregate("boot", F.lit(0.0), lambda s, b: s + F.pow(F.col("mean") - b, F.lit(float(k))))
