@@ -322,6 +322,25 @@ def rolling_origins(panel: DataFrame, horizons: tuple[int, ...], k: int = 20, mi
     return n.select("container_id", "horizon", F.bround(F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / float(k - 1)).cast("long").alias("origin")).distinct()
 
 
+def mark_origins(panel: DataFrame, horizons: tuple[int, ...], ks: tuple[int, ...], min_context: int = 24) -> DataFrame:
+    """``panel`` with ``origins_k`` for each of ``ks`` (2 or more): a bit for each horizon that a row is one of the :func:`rolling_origins` (rule ``a``) of; from the sort that windows by time use, without a join.
+
+    Where there are fewer rows than ``k`` all are origins; else a row can only be that of the number next to where it lies.
+    """
+    whole = by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = panel.withColumns({"place*": F.row_number().over(by_time()) - 1, "rows*": F.count("*").over(whole)})
+    lo, p = min_context - 1, F.col("place*")
+
+    def hit(h: int, k: int) -> Column:
+        hi = F.col("rows*") - h - 1
+        span = F.greatest(hi - lo, F.lit(1))
+        number = F.rint((p - lo) * float(k - 1) / span)
+        return (p >= lo) & (p <= hi) & ((hi - lo < k - 1) | (F.rint(lo + number * span / float(k - 1)) == p))
+
+    bits = {f"origins_{k}": sum((F.when(hit(h, k), 2**i).otherwise(0) for i, h in enumerate(horizons)), F.lit(0)) for k in ks}
+    return rows.withColumns(bits).drop("place*", "rows*")
+
+
 def strided_origins(panel: DataFrame, horizon: int, stride: int = 3, context: int = 128) -> DataFrame:
     """Every ``stride``-th position with a target, with the size and mean of the context before it."""
     over = by_time().rowsBetween(-(context - 1), 0)
